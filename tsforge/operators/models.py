@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tsforge.constants import AR_LAGS, FOLDS, HORIZON_HOURS
 from tsforge.functions.columns import round2, signed_exp
+from tsforge.session import literal_table
 
 # ------------------------------------------------------------- boosted trees
 
@@ -109,7 +110,7 @@ def random_search(
         (i, *[one[n] for n in names], float(mse), i == best)
         for i, (one, mse) in enumerate(zip(drawn, model.avgMetrics))
     ]
-    return model.bestModel, df.sparkSession.createDataFrame(scores, ddl)
+    return model.bestModel, literal_table(df.sparkSession, scores, ddl)
 
 
 # ------------------------------------------------------- linear autoregression

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.constants import CHUNK_DAYS, MARKET_ZONE, ZONE_VALIDITY
+from tsforge.session import literal_table
 from tsforge.operators.clean import STEPS, clean_steps
 
 # --------------------------------------------------------------- load control
@@ -58,8 +59,8 @@ def pending(expected: DataFrame, log: DataFrame, keys: Sequence[str] = CHUNK_KEY
 def zone_table(spark: SparkSession, zones: Sequence[tuple] = ZONE_VALIDITY) -> DataFrame:
     """Zone validity as ``(country, zone_code, valid_from, valid_to)``; ``valid_to`` is
     exclusive and nulls are open. Dates are local midnights of the market zone."""
-    rows = spark.createDataFrame(
-        [tuple(z) for z in zones], "country STRING, zone_code STRING, valid_from STRING, valid_to STRING"
+    rows = literal_table(
+        spark, [tuple(z) for z in zones], "country STRING, zone_code STRING, valid_from STRING, valid_to STRING"
     )
     return rows.withColumns(
         {

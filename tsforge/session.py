@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "tsforge", master: str | None = None, **conf) -> SparkSession:
@@ -65,3 +67,20 @@ def materialise(df, name: str = "cut"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A handful of constant rows as part of the plan, so that Spark knows their size."""
+    schema = StructType.fromDDL(ddl)
+    if len(rows) > 10_000:
+        raise ValueError("literal_table is for constants; write data to a table")
+
+    def cell(value, kind):
+        if isinstance(value, (list, tuple)):
+            return F.array(*[F.lit(x) for x in value]).cast(kind)
+        return F.lit(value).cast(kind)
+
+    structs = [
+        F.struct(*[cell(value, f.dataType).alias(f.name) for value, f in zip(row, schema.fields)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))

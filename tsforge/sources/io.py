@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tsforge.session import literal_table
 from tsforge.sources.schemas import schema as table_schema
 
 # --------------------------------------------------------------------- scans
@@ -94,7 +95,7 @@ def export_tables(tables: Mapping[str, DataFrame], out: str) -> DataFrame:
         stats.append((name, seen.get["rows"], len(df.columns)))
     if spark is None:
         raise ValueError("no tables to export")
-    return spark.createDataFrame(stats, "table STRING, rows BIGINT, cols INT")
+    return literal_table(spark, stats, "table STRING, rows BIGINT, cols INT")
 
 
 def head(df: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
@@ -104,7 +105,8 @@ def head(df: DataFrame, keys: Sequence[str], n: int = 10) -> DataFrame:
 
 def manifest(df: DataFrame, target: str, past: Sequence[str], future: Sequence[str]) -> DataFrame:
     """The column-role manifest as one row, ready for ``write.json``."""
-    return df.sparkSession.createDataFrame(
+    return literal_table(
+        df.sparkSession,
         [(list(past), list(future), target)],
         "past_cols ARRAY<STRING>, future_cols ARRAY<STRING>, target_col STRING",
     )
@@ -190,6 +192,6 @@ def roles_from(df: DataFrame, target: str, past: Sequence[str], future: Sequence
     roles = [("past", i, c) for i, c in enumerate(past)]
     roles += [("future", i, c) for i, c in enumerate(future)]
     roles += [("target", 0, target)]
-    listed = df.sparkSession.createDataFrame(roles, "role STRING, position INT, column STRING")
+    listed = literal_table(df.sparkSession, roles, "role STRING, position INT, column STRING")
     return listed.join(known, "column").select("role", "position", "column", "known")
 
