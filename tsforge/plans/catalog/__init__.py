@@ -1,6 +1,20 @@
 """All catalog queries. Importing a module registers its queries."""
 
-from tsforge.plans.catalog import clean, columns, features, joins, quality, reshape, sources, windows  # noqa: F401
+from tsforge.plans.catalog import (  # noqa: F401
+    clean,
+    columns,
+    evaluate,
+    features,
+    joins,
+    models,
+    quality,
+    reshape,
+    scaling,
+    sources,
+    splits,
+    streaming,
+    windows,
+)
 from tsforge.plans.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

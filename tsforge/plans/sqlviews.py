@@ -116,7 +116,7 @@ VIEWS = {
     "daily_windows": "SELECT series, ts AS anchor, ts + INTERVAL 12 HOUR AS window_date, value FROM {daily}",
     "daily_ranked": (
         "SELECT *, row_number() OVER (PARTITION BY series ORDER BY anchor) AS rk, count(*) OVER (PARTITION BY series) AS n, "
-        "epoch(anchor)::BIGINT AS at FROM {daily_windows}"
+        "epoch(anchor)::BIGINT AS sec FROM {daily_windows}"
     ),
 }
 
