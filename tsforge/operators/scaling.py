@@ -3,12 +3,14 @@ fitted by one aggregate and applied as plain column arithmetic."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsforge.constants import CYCLICAL_COLUMNS
+from tsforge.session import literal_table
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: float = 0.0) -> DataFrame:
@@ -152,93 +154,108 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-SLOTS = 65536
+SLOTS = 4096
 
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], q: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10000
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, ``(feature, q, value)``, of any number of
-    rows and without gathering a column's values anywhere.
-
-    1. A fixed-size sketch brackets each quantile.
-    2. Rows are counted in 65,536 slots across the bracket, one slot below and one above, so
-       the slots that hold the wanted ranks are known exactly.
-    3. Only the values of those slots are grouped and ranked.
-    A bad bracket costs time in step 3, never exactness.
+) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, of any number of rows, without gathering a
+    column's values anywhere. A fit: it runs three jobs that each return a few numbers per
+    column.
+
+    1. A fixed-size sketch gives two edges around each quantile.
+    2. Rows below and at each edge are counted, which tells for every wanted rank which edge
+       it is or between which two edges it lies.
+    3. The values strictly between such edges, normally about 1 in 2,500 rows, are grouped
+       and ranked. A bad sketch costs time here, never exactness.
     """
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])
-        ).alias("_r")
-    ).select("_r.*")
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))
-    wide = 2.0 / accuracy
-    points = [x for p in q for x in (max(p - wide, 0.0), min(p + wide, 1.0))]
-    sketch = long.groupBy("feature").agg(
-        F.percentile_approx("v", points, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n")
-    )
-    brackets = sketch.select(
-        "feature",
-        "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(p).alias("q"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi")
-                    )
-                    for i, p in enumerate(q)
-                ]
-            )
-        ),
-    )
-    inside = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SLOTS)
-    slot = (
-        F.when(F.col("v") < F.col("lo"), -1)
-        .when(F.col("v") > F.col("hi"), SLOTS)
-        .when(F.col("hi") > F.col("lo"), F.least(inside, F.lit(SLOTS - 1)))
-        .otherwise(0)
-        .cast("int")
-    )
-    # brackets: one row per column and quantile, a size fixed by the call.
-    slotted = long.join(F.broadcast(brackets), "feature").withColumn("_slot", slot)
-    upto = Window.partitionBy("feature", "q").orderBy("_slot")
-    rank = F.col("q") * (F.col("_n") - 1)
-    counted = (
-        slotted.groupBy("feature", "q", "_n", "_slot")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.sum("_c").over(upto))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    # 0-based ranks floor and ceil of q (n - 1): at most two slots per column and quantile.
-    chosen = counted.where((F.ceil(rank) >= F.col("_from")) & (F.floor(rank) < F.col("_to"))).select(
-        "feature", "q", "_slot", "_from"
+    names, wide = list(columns), 2.0 / accuracy
+
+    def value(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
+    asked = [x for p in q for x in (max(p - wide, 0.0), min(p + wide, 1.0))]
+    sketch = df.agg(*[F.percentile_approx(value(c), asked, accuracy).alias(c) for c in names]).first()
+    edges = {c: sorted(set(sketch[c] or [])) for c in names}
+    sums = [F.count(value(c)).alias(f"n {c}") for c in names]
+    for c in names:
+        for i, x in enumerate(edges[c]):
+            sums += [F.count_if(value(c) < x).alias(f"lt{i} {c}"), F.count_if(value(c) <= x).alias(f"le{i} {c}")]
+    counts = df.agg(*sums).first()
+
+    ranks = {c: [(p * (counts[f"n {c}"] - 1)) for p in q] for c in names}
+    at: dict[tuple[str, int], float] = {}
+    open_ranges: dict[tuple[str, float, float], list[tuple[int, int]]] = {}
+    for c in names:
+        wanted = {int(k) for r in ranks[c] if r >= 0 for k in (math.floor(r), math.ceil(r))}
+        below, lower = 0, -math.inf
+        for i, x in enumerate([*edges[c], math.inf]):
+            lt = counts[f"lt{i} {c}"] if x < math.inf else counts[f"n {c}"]
+            le = counts[f"le{i} {c}"] if x < math.inf else lt
+            for k in wanted:
+                if below <= k < lt:
+                    open_ranges.setdefault((c, lower, x), []).append((k, k - below))
+                elif lt <= k < le:
+                    at[c, k] = x
+            below, lower = le, x
+    at.update(_ranked_between(df, value, open_ranges))
+
+    found: dict[str, list[float | None]] = {}
+    for c in names:
+        found[c] = []
+        for r in ranks[c]:
+            if r < 0:
+                found[c].append(None)
+                continue
+            a, b = at[c, math.floor(r)], at[c, math.ceil(r)]
+            found[c].append(a + (b - a) * (r - math.floor(r)))
+    return found
+
+
+def _ranked_between(df: DataFrame, value, open_ranges) -> dict[tuple[str, int], float]:
+    """Values at ranks inside open value ranges: ``{(column, lo, hi): [(rank, offset)]}``.
+    Ranked in two passes, 4,096 slots across each range and then inside the slots."""
+    if not open_ranges:
+        return {}
+    parts, ranges, near = [], list(open_ranges), F.lit(False)
+    for number, (c, lo, hi) in enumerate(ranges):
+        v = value(c)
+        inside = (v > lo) & (v < hi)
+        near, width = near | inside, hi - lo
+        slot = F.floor((v - lo) / width * SLOTS) if 0 < width < math.inf else F.lit(0)
+        parts.append(
+            F.when(inside, F.struct(F.lit(number).alias("range"), slot.cast("long").alias("slot"), v.alias("v")))
+        )
+    rows = df.where(near).select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).select("p.*")
+    distinct = rows.groupBy("range", "slot", "v").agg(F.count(F.lit(1)).alias("c"))
+    slots = distinct.groupBy("range", "slot").agg(F.sum("c").alias("c"))
+    offsets = slots.select(
+        "range", "slot", (F.sum("c").over(Window.partitionBy("range").orderBy("slot")) - F.col("c")).alias("before")
     )
-    ranked = (
-        slotted.join(F.broadcast(chosen), ["feature", "q", "_slot"])
-        .groupBy("feature", "q", "_n", "_slot", "_from", "v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.col("_from") + F.sum("_c").over(Window.partitionBy("feature", "q", "_slot").orderBy("v")))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-
-    def at(r: Column) -> Column:
-        return F.max(F.when((r >= F.col("_from")) & (r < F.col("_to")), F.col("v")))
-
-    ends = ranked.groupBy("feature", "q", "_n").agg(at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"))
-    return ends.select(
-        "feature", "q", (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias("value")
+    ranked = distinct.join(offsets, ["range", "slot"]).withColumn(
+        "upto", F.col("before") + F.sum("c").over(Window.partitionBy("range", "slot").orderBy("v"))
     )
+    hits, keys = [], []
+    for number, key in enumerate(ranges):
+        for k, offset in open_ranges[key]:
+            here = (F.col("range") == number) & (F.col("upto") > offset) & (F.col("upto") - F.col("c") <= offset)
+            hits.append(F.max(F.when(here, F.col("v"))).alias(f"r{len(hits)}"))
+            keys.append((key[0], k))
+    row = ranked.agg(*hits).first()
+    return {key: row[i] for i, key in enumerate(keys)}
 
 
 def robust_fit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median and interquartile range per feature (0 becomes 1) as ``mean`` and ``scale``."""
     found = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
-    pick = {p: F.max(F.when(F.col("q") == p, F.col("value"))) for p in (0.25, 0.5, 0.75)}
-    iqr = pick[0.75] - pick[0.25]
-    return found.groupBy("feature").agg(
-        pick[0.5].alias("mean"), F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale")
-    )
+    rows = []
+    for c in columns:
+        low, middle, high = found[c]
+        spread = None if middle is None else (high - low) or 1.0
+        rows.append((c, middle, spread))
+    return literal_table(df.sparkSession, rows, "feature STRING, mean DOUBLE, scale DOUBLE")
 
 
 def robust_scale(df: DataFrame, params: DataFrame, columns: Sequence[str]) -> DataFrame:

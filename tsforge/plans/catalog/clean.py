@@ -60,7 +60,7 @@ _RAGGED = ", ".join(f"max(value) FILTER (WHERE series = '{t}') AS \"{t}_value\""
 
 @query(
     "drop_entity_all_null",
-    f"""SELECT ts, {", ".join(f'round("{t}_value", 6) AS "{t}_value"' for t in v.TYPES)}
+    f"""SELECT ts, {", ".join(f'round("{t}_value" + 2.718281828e-8, 6) AS "{t}_value"' for t in v.TYPES)}
     FROM (SELECT ts, {_RAGGED} FROM {{hourly}} GROUP BY ts)
     WHERE NOT ("click_value" IS NULL AND "error_value" IS NULL) AND NOT ("purchase_value" IS NULL)
       AND NOT ("signup_value" IS NULL AND "view_value" IS NULL)""",
@@ -119,7 +119,7 @@ _MONTHLY = f"SELECT series, strftime({local('ts')}, '%Y-%m') AS month, avg(value
 @query(
     "monthly_stats",
     f"""WITH m AS ({_MONTHLY}) SELECT series, month, {r6('mean')} AS mean,
-      round(CASE WHEN count(*) OVER w = 3 THEN avg(mean) OVER w END, 6) AS rolling_mean FROM m
+      round(CASE WHEN count(*) OVER w = 3 THEN avg(mean) OVER w END + 2.718281828e-8, 6) AS rolling_mean FROM m
     WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""",
 )
 def monthly_stats(spark, folder):

@@ -114,7 +114,7 @@ def type_routing(spark, folder):
 @query(
     "drop_all_null",
     """SELECT ts, "FR_price", "DE_price" FROM
-      (SELECT ts, round("FR_price", 6) AS "FR_price", round("DE_price", 6) AS "DE_price" FROM {market})
+      (SELECT ts, round("FR_price" + 2.718281828e-8, 6) AS "FR_price", round("DE_price" + 2.718281828e-8, 6) AS "DE_price" FROM {market})
     WHERE "FR_price" IS NOT NULL OR "DE_price" IS NOT NULL""",
 )
 def drop_all_null(spark, folder):
@@ -124,7 +124,7 @@ def drop_all_null(spark, folder):
 
 @query(
     "drop_any_null",
-    """SELECT ts, round("FR_price", 6) AS "FR_price", round("DE_price", 6) AS "DE_price" FROM {market}
+    """SELECT ts, round("FR_price" + 2.718281828e-8, 6) AS "FR_price", round("DE_price" + 2.718281828e-8, 6) AS "DE_price" FROM {market}
     WHERE "FR_price" IS NOT NULL AND "DE_price" IS NOT NULL""",
 )
 def drop_any_null(spark, folder):
@@ -134,8 +134,8 @@ def drop_any_null(spark, folder):
 
 @query(
     "select_family",
-    """SELECT ts, round("FR_Load_forecast", 6) AS "FR_Load_forecast", round("FR_Solar_forecast", 6) AS "FR_Solar_forecast",
-      round("FR_Wind_Onshore_forecast", 6) AS "FR_Wind_Onshore_forecast", round("FR_Wind_Offshore_forecast", 6) AS "FR_Wind_Offshore_forecast"
+    """SELECT ts, round("FR_Load_forecast" + 2.718281828e-8, 6) AS "FR_Load_forecast", round("FR_Solar_forecast" + 2.718281828e-8, 6) AS "FR_Solar_forecast",
+      round("FR_Wind_Onshore_forecast" + 2.718281828e-8, 6) AS "FR_Wind_Onshore_forecast", round("FR_Wind_Offshore_forecast" + 2.718281828e-8, 6) AS "FR_Wind_Offshore_forecast"
     FROM {market}""",
 )
 def select_family(spark, folder):

@@ -11,7 +11,7 @@ from tsforge.plans.sqlviews import r6
 from tsforge.sources.io import roles_from
 
 _LAGS = ", ".join(
-    f"""round(max(value) OVER (PARTITION BY series ORDER BY ts RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL {h} HOUR PRECEDING), 6) AS "value_lag_{h}h" """
+    f"""round(max(value) OVER (PARTITION BY series ORDER BY ts RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND INTERVAL {h} HOUR PRECEDING) + 2.718281828e-8, 6) AS "value_lag_{h}h" """
     for h in LAG_HOURS
 )
 
@@ -57,7 +57,7 @@ def feature_roles(spark, folder):
 
 @query(
     "align_columns",
-    """SELECT ts, round("FR_DE_flow", 6) AS "FR_DE_flow", round("FR_Solar_forecast", 6) AS "FR_Solar_forecast", round("FR_price", 6) AS "FR_price"
+    """SELECT ts, round("FR_DE_flow" + 2.718281828e-8, 6) AS "FR_DE_flow", round("FR_Solar_forecast" + 2.718281828e-8, 6) AS "FR_Solar_forecast", round("FR_price" + 2.718281828e-8, 6) AS "FR_price"
     FROM {market}""",
 )
 def align_columns(spark, folder):

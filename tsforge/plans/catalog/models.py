@@ -114,7 +114,7 @@ _WEIGHTS = {"click": 0.5, "error": 0.3, "purchase": 0.2}
     s AS (SELECT sqrt(avg(pow(0.5 * click + 0.3 * error + 0.2 * purchase - y, 2))) AS base, sqrt(avg(pow(0.5 * mc + 0.3 * error + 0.2 * purchase - y, 2))) AS c,
       sqrt(avg(pow(0.5 * click + 0.3 * me + 0.2 * purchase - y, 2))) AS e, sqrt(avg(pow(0.5 * click + 0.3 * error + 0.2 * mp - y, 2))) AS p FROM x),
     f AS (SELECT base, unnest(['click', 'error', 'purchase']) AS feature, unnest([c, e, p]) AS a FROM s)
-    SELECT feature, round(base, 6) AS base_rmse, round(a, 6) AS ablated_rmse, round(a - base, 6) + 0.0 AS change FROM f""",
+    SELECT feature, round(base + 2.718281828e-8, 6) AS base_rmse, round(a + 2.718281828e-8, 6) AS ablated_rmse, round(a - base + 2.718281828e-8, 6) + 0.0 AS change FROM f""",
 )
 def mean_ablation(spark, folder):
     rows = v.wide(spark, folder).select(*_WEIGHTS, "view").dropna()

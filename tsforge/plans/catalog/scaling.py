@@ -19,7 +19,7 @@ _PRICES = ["FR_price", "DE_price", "FR_Solar_forecast"]
 
 @query(
     "impute_constant",
-    "SELECT ts, " + ", ".join(f'coalesce(round("{c}", 6), 0.0) AS "{c}"' for c in _PRICES) + " FROM {market}",
+    "SELECT ts, " + ", ".join(f'coalesce(round("{c}" + 2.718281828e-8, 6), 0.0) AS "{c}"' for c in _PRICES) + " FROM {market}",
 )
 def impute_constant(spark, folder):
     return _rounded(n.impute_constant(v.market(spark, folder).select("ts", *_PRICES), _PRICES))

@@ -19,8 +19,9 @@ def local_midnight(ts: str) -> str:
 
 
 def r6(x: str) -> str:
-    """Rounded to 6 places, with one kind of zero."""
-    return f"(round({x}, 6) + 0.0)"
+    """Rounded to 6 places. The shift is far below the last place and far above float noise:
+    it moves exact ties, which engines round differently, and negative zero off the edge."""
+    return f"round({x} + 2.718281828e-8, 6)"
 
 
 _WIDE = ", ".join(f"max(value) FILTER (WHERE series = '{t}') AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view"))

@@ -55,7 +55,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def r6(column: Column | str) -> Column:
-    return F.round(column, 6)
+    """Rounded to 6 places after a tiny shift, as in ``sqlviews.r6``."""
+    return F.round((F.col(column) if isinstance(column, str) else column) + 2.718281828e-8, 6)
 
 
 # ------------------------------------------------------------------- hourly
