@@ -35,9 +35,12 @@ def hour_grid(df: DataFrame, series: Sequence[str], ts: str) -> DataFrame:
 def resample_grid(
     df: DataFrame, series: Sequence[str], ts: str, aggs: Mapping[str, Column] | Sequence[str] = ("value",)
 ) -> DataFrame:
-    """Hourly mean on a gapless grid; empty hours are null."""
-    hourly = resample(df, series, ts, "hour", aggs)
-    return hour_grid(df, series, ts).join(hourly, [*series, ts], "left")
+    """Hourly mean on a gapless grid; empty hours are null. The grid needs only the span of
+    each series, a narrow second scan that shuffles one row per series and task. Readings
+    without a series or a time have no place on a grid and are left out."""
+    keyed = df.dropna(subset=[*series, ts])
+    hourly = resample(keyed, series, ts, "hour", aggs)
+    return hour_grid(keyed, series, ts).join(hourly, [*series, ts], "left")
 
 
 def unpivot_types(
