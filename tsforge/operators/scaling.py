@@ -57,16 +57,19 @@ def standard_fit_windows(
     return standard_fit(rows, columns, keys)
 
 
-def _one_row(params: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The parameters of ``columns`` as a single struct of structs."""
+def _one_row(params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The parameters of ``columns`` as a single struct of structs, one row per ``keys``."""
     both = F.struct(F.col("mean"), F.col("scale"))
     picked = [F.max(F.when(F.col("feature") == c, both)).alias(c) for c in columns]
-    return params.agg(F.struct(*picked).alias("p"))
+    return params.groupBy(*keys).agg(F.struct(*picked).alias("_p"))
 
 
-def _attach(df: DataFrame, params: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A scalar subquery: Spark evaluates it once and hands every task one struct."""
-    return df.withColumn("_p", _one_row(params, columns).scalar())
+def _attach(df: DataFrame, params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Without keys, a scalar subquery: Spark evaluates it once and hands every task one
+    struct. With keys (a fold number), a join to one row per key, left to Spark's own size
+    check to broadcast."""
+    row = _one_row(params, columns, keys)
+    return df.join(row, list(keys), "left") if keys else df.withColumn("_p", row.scalar())
 
 
 def _z(value: Column, p: Column) -> Column:
@@ -80,16 +83,17 @@ def standard_apply(df: DataFrame, params: DataFrame, columns: Sequence[str]) ->
 
 
 def standard_apply_windows(
-    windows: DataFrame, array: str, params: DataFrame, columns: Sequence[str]
+    windows: DataFrame, array: str, params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """The same on an array of hour structs; other fields are kept as they are."""
+    """The same on an array of hour structs; other fields are kept as they are. ``keys``
+    picks the parameters of the window's fold."""
     fields = windows.schema[array].dataType.elementType.fieldNames()
     p = F.col("_p")
 
     def scaled(h: Column) -> Column:
         return F.struct(*[(_z(h[f], p[f]) if f in columns else h[f]).alias(f) for f in fields])
 
-    return _attach(windows, params, columns).withColumn(array, F.transform(array, scaled)).drop("_p")
+    return _attach(windows, params, columns, keys).withColumn(array, F.transform(array, scaled)).drop("_p")
 
 
 def scale_passthrough(
@@ -123,24 +127,24 @@ def scale_passthrough(
     return df.withColumn("_p", stats.scalar()).withColumns({c: z(c) for c in names}).drop("_p")
 
 
-def target_fit(windows: DataFrame, y: str = "y") -> DataFrame:
+def target_fit(windows: DataFrame, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     """One mean and deviation over all target hours of the (training) windows."""
-    return standard_fit(windows.select(F.explode(y).alias("y")), ["y"])
+    return standard_fit(windows.select(*keys, F.explode(y).alias("y")), ["y"], keys)
 
 
-def target_scale(windows: DataFrame, params: DataFrame, y: str = "y") -> DataFrame:
+def target_scale(windows: DataFrame, params: DataFrame, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     p = F.col("_p")["y"]
     return (
-        _attach(windows, params, ["y"])
+        _attach(windows, params, ["y"], keys)
         .withColumn(y, F.transform(y, lambda v: (v - p["mean"]) / p["scale"]))
         .drop("_p")
     )
 
 
-def target_unscale(windows: DataFrame, params: DataFrame, y: str = "y") -> DataFrame:
+def target_unscale(windows: DataFrame, params: DataFrame, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
     p = F.col("_p")["y"]
     return (
-        _attach(windows, params, ["y"])
+        _attach(windows, params, ["y"], keys)
         .withColumn(y, F.transform(y, lambda v: v * p["scale"] + p["mean"]))
         .drop("_p")
     )
