@@ -125,12 +125,11 @@ def previous_row(
     """Add ``out``: a struct of ``ts`` and ``cols`` of the row before, null on the first."""
     keys = [*series, BUCKET]
     rows = bucketed(df, ts, width)
-    me = F.struct(ts, *[c for c in cols if c != ts])
-    carried = (
-        rows.groupBy(*keys)
-        .agg(F.max_by(me, ts).alias("_last"))
-        .select(*keys, F.lag("_last").over(Window.partitionBy(*series).orderBy(BUCKET)).alias("_carried"))
-    )
+    rest = [c for c in cols if c != ts]
+    # One max_by per column and not one of a struct: fixed-width buffers aggregate by hash.
+    summary = rows.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in rest])
+    me = F.struct(ts, *rest)
+    carried = summary.select(*keys, F.lag(me).over(Window.partitionBy(*series).orderBy(BUCKET)).alias("_carried"))
     return (
         rows.join(carried, keys, "left")
         .withColumn(out, F.coalesce(F.lag(me).over(row_window(series, ts)), F.col("_carried")))

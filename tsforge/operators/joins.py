@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tsforge.constants import CANONICAL_ENTITIES, ENTITY_CODES, FORECAST_RENAMES, MARKET_ZONE
 from tsforge.functions.columns import canonical_names, map_codes, month_key, rename_substring
-from tsforge.operators.reshape import pivot_entity, pivot_pairs, pivot_type_mean, resample
 
 
 def merge_outer(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
@@ -69,34 +68,47 @@ def assemble_market(
 ) -> DataFrame:
     """One wide row per hour from the four typed tables.
 
-    Readings are averaged to the hour before any join, so each join sees one row per
-    (hour, entity) at most, and duplicate names of an entity merge under its code. Entities
-    and flow ends without a code stop the job and are dropped, respectively.
+    The result is that of merging price, load and forecasts on (hour, entity), pivoting by
+    entity code and merging the pivoted flows on the hour, all full outer. As every merge
+    only lines cells up by hour, the tables become ``(hour, column, value)`` cells instead:
+    each table is averaged to the hour in its own partial-combining aggregate, and one
+    aggregate by hour lays all cells out, so no reading is shuffled for a join.
+
+    Entities without a code stop the job; flows with such an end are dropped. Where two
+    names of one entity report the same flow, the later name in sort order wins.
     """
-    price = resample(
-        canonical_names(prices, CANONICAL_ENTITIES, ["country"]), ["country"], "timestamp", "hour", ["price"]
-    )
-    demand = resample(load, ["country"], "timestamp", "hour", ["forecast_load"])
-    weather = pivot_type_mean(
-        wind_solar.withColumn("timestamp", F.date_trunc("hour", "timestamp")),
-        ["timestamp", "country"],
-        "forecast_type",
-        forecast_types,
-    )
-    merged = merge_outer([price, demand, weather], ["timestamp", "country"])
-    coded = map_codes(merged, "country", entity_codes, "code", strict=True)
-    wide = pivot_entity(coded, ["timestamp"], "code", codes, ["price", "forecast_load", *forecast_types])
-    wide = rename_substring(wide, FORECAST_RENAMES)
 
+    def column(suffix):
+        return F.concat_ws("_", "code", F.lit(suffix) if isinstance(suffix, str) else suffix)
+
+    def cells(df, suffix, value):
+        coded = map_codes(df, "country", entity_codes, "code", strict=True)
+        return coded.groupBy(F.date_trunc("hour", "timestamp").alias("ts"), column(suffix).alias("column")).agg(
+            F.avg(value).alias("value")
+        )
+
+    canonical = canonical_names(prices, CANONICAL_ENTITIES, ["country"])
     directed = map_codes(map_codes(flows, "country_from", entity_codes, "_from"), "country_to", entity_codes, "_to")
-    hourly = resample(
-        directed.where(F.col("_from").isNotNull() & F.col("_to").isNotNull()),
-        ["_from", "_to", "country_from", "country_to"],
-        "timestamp",
-        "hour",
-        ["flow"],
+    hourly = (
+        directed.where(F.col("_from").isNotNull() & F.col("_to").isNotNull())
+        .groupBy(
+            F.date_trunc("hour", "timestamp").alias("ts"),
+            F.concat_ws("_", "_from", "_to", F.lit("flow")).alias("column"),
+            "country_from",
+            "country_to",
+        )
+        .agg(F.avg("flow").alias("flow"))
+    )
+    latest = hourly.groupBy("ts", "column").agg(
+        F.max_by("flow", F.struct("country_from", "country_to")).alias("value")
+    )
+    long = (
+        cells(canonical, "price", "price")
+        .unionByName(cells(load, "forecast_load", "forecast_load"))
+        .unionByName(cells(wind_solar, F.col("forecast_type"), "value"))
+        .unionByName(latest)
     )
-    # Two names of one entity may report the same pair: the later name in sort order wins.
-    ordered = hourly.withColumn("_order", F.struct("country_from", "country_to"))
-    crossing = pivot_pairs(ordered, ["timestamp"], "_from", "_to", "flow", "_order", pairs)
-    return merge_outer_ts(wide, crossing, "timestamp").withColumnRenamed("timestamp", "ts")
+    measures = ["price", "forecast_load", *forecast_types]
+    names = [f"{c}_{m}" for m in measures for c in codes] + [f"{a}_{b}_flow" for a, b in pairs]
+    wide = long.groupBy("ts").agg(*[F.max(F.when(F.col("column") == n, F.col("value"))).alias(n) for n in names])
+    return rename_substring(wide, FORECAST_RENAMES)

@@ -26,6 +26,8 @@ def session(app: str = "tsforge", master: str | None = None, **conf) -> SparkSes
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here have hundreds of columns; recording a call site for each costs seconds.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

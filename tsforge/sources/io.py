@@ -175,7 +175,8 @@ def upsert_table(
         touched = batch.select(*partitions).distinct()
         merged = upsert(current.join(touched, list(partitions), "left_semi").select(*batch.columns), batch, keys, ingest)
     (
-        merged.repartition(*partitions)
+        # Rows of a partition go together, a partition that is too big for one task is split.
+        merged.hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
