@@ -108,6 +108,17 @@ def test_lags_are_by_time(spark, hours):
     assert f.drop_incomplete_lags(f.time_lags(df, S, "ts", "value", [1, 24, 96])).count() == (1000 - 96 - 1) - 4
     with pytest.raises(ValueError):
         f.drop_incomplete_lags(f.time_lags(df, S, "ts", "value", [5000]), require_rows=True)
+    frames = f.time_lags(df, S, "ts", "value", [1, 24, 96], step=None)
+    assert sorted(map(str, frames.collect())) == sorted(map(str, got.values()))
+
+
+def test_lags_refuse_rows_off_the_grid(spark, hours):
+    off = hours("2024-01-01 00:20:00", 5)
+    with pytest.raises(Exception, match="off the 3600 s grid"):
+        f.time_lags(off, S, "ts", "value", [1]).collect()
+    with pytest.raises(Exception, match="repeated"):
+        f.time_lags(hours("2024-01-01", 5).unionByName(hours("2024-01-01", 1)), S, "ts", "value", [1]).collect()
+    assert f.time_lags(off, S, "ts", "value", [1], step=None).where("value_lag_1h is not null").count() == 4
 
 
 def test_requests_have_a_status(spark, hours):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.constants import CYCLICAL_COLUMNS, HOUR, LAG_HOURS
@@ -19,19 +19,43 @@ def time_lags(
     column: str,
     hours: Sequence[int] = LAG_HOURS,
     prefix: str | None = None,
+    step: int | None = HOUR,
 ) -> DataFrame:
     """Add ``<column>_lag_<h>h``: the value exactly ``h`` hours earlier, by time.
 
     All lags share one exchange, in which a row is copied only into the next time bucket
     when that bucket looks back to it (15 % of rows for 96 hours).
+
+    Stamps are expected on a grid of ``step`` seconds, once each; anything else stops the
+    job. Missing steps are then filled with empty rows inside the bucket, so that rows and
+    time run in parallel and a lag is an offset, which costs a fraction of a range frame.
+    ``step=None`` takes any stamps, with one range frame per lag.
     """
     name = prefix or column
     near = ordered.with_context(df, ts, before=max(hours) * HOUR, after=0)
-    over = ordered.range_window(series, ts)
-    lags = {
-        f"{name}_lag_{h}h": F.max(column).over(over.rangeBetween(-h * HOUR, -h * HOUR)) for h in hours
-    }
-    return near.withColumns(lags).where(ordered.OWN).select(*df.columns, *lags)
+    if step is None:
+        over = ordered.range_window(series, ts)
+        lags = {
+            f"{name}_lag_{h}h": F.max(column).over(over.rangeBetween(-h * HOUR, -h * HOUR)) for h in hours
+        }
+        return near.withColumns(lags).where(ordered.OWN).select(*df.columns, *lags)
+    if any(h * HOUR % step for h in hours):
+        raise ValueError("lags must be whole steps")
+    second = F.unix_seconds(ts)
+    seen = near.withColumn("_before", F.lag(second).over(ordered.row_window(series, ts)))
+    fits = (F.pmod(F.unix_micros(ts), F.lit(step * 1_000_000)) == 0) & (
+        F.col("_before").isNull() | (F.col("_before") < second)
+    )
+    start = F.coalesce(F.col("_before"), second - step) + step
+    steps = F.when(fits, F.sequence(start, second, F.lit(step).cast("long"))).otherwise(
+        F.raise_error(F.concat(F.lit(f"{ts} is off the {step} s grid or repeated: "), F.col(ts).cast("string")))
+    )
+    dense = seen.withColumn("_second", F.explode(steps))
+    real = F.col("_second") == second
+    value = F.when(real, F.col(column))
+    over = Window.partitionBy(*series, ordered.BUCKET).orderBy("_second")
+    lags = {f"{name}_lag_{h}h": F.lag(value, h * HOUR // step).over(over) for h in hours}
+    return dense.withColumns(lags).where(F.col(ordered.OWN) & real).select(*df.columns, *lags)
 
 
 def drop_incomplete_lags(df: DataFrame, token: str = "_lag_", require_rows: bool = False) -> DataFrame:

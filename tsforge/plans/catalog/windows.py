@@ -131,7 +131,7 @@ def windows_between(spark, folder):
     c AS (SELECT target_date, series, count(*) FILTER (WHERE before AND k <= 168) AS np, count(*) FILTER (WHERE NOT before AND k <= 24) AS nf,
       sum(value) FILTER (WHERE before AND k <= 168) AS sp, sum(value) FILTER (WHERE NOT before AND k <= 24) AS sf FROM r GROUP BY 1, 2)
     SELECT target_date, series, CASE WHEN series IS NULL THEN 'no_data' WHEN np < 168 THEN 'short_past' WHEN nf < 24 THEN 'short_future' ELSE 'ok' END AS status,
-      np::INTEGER AS past_hours, nf::INTEGER AS future_hours, {r6('coalesce(sp, CASE WHEN series IS NOT NULL THEN 0 END)')} AS past_sum,
+      coalesce(np, 0)::INTEGER AS past_hours, coalesce(nf, 0)::INTEGER AS future_hours, {r6('coalesce(sp, CASE WHEN series IS NOT NULL THEN 0 END)')} AS past_sum,
       {r6('coalesce(sf, CASE WHEN series IS NOT NULL THEN 0 END)')} AS actual_sum FROM req LEFT JOIN c USING (target_date)""",
 )
 def request_window(spark, folder):
@@ -146,8 +146,8 @@ def request_window(spark, folder):
         "target_date",
         "series",
         "status",
-        F.when(F.col("past").isNotNull(), F.size("past")).alias("past_hours"),
-        F.when(F.col("future").isNotNull(), F.size("future")).alias("future_hours"),
+        F.coalesce(F.array_size("past"), F.lit(0)).alias("past_hours"),
+        F.coalesce(F.array_size("future"), F.lit(0)).alias("future_hours"),
         v.r6(F.aggregate("past", F.lit(0.0), lambda a, r: a + r["value"])).alias("past_sum"),
         v.r6(F.aggregate("actual", F.lit(0.0), lambda a, x: a + x)).alias("actual_sum"),
     )
