@@ -208,7 +208,8 @@ def _ranked(rows: DataFrame, groups, order, rank, total) -> DataFrame:
         F.sum("_count").over(each).alias(total),
     )
     return (
-        rows.join(offsets, keys, "inner")
+        # Left, so that a row without a series is handed on unranked and not lost.
+        rows.join(offsets, keys, "left")
         .withColumn(
             rank,
             F.col("_offset") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order)),
