@@ -4,8 +4,10 @@ from tsforge.llm import (  # noqa: F401
     bytebpe,
     ordinal,
     packing,
+    quality,
     tokencount,
     urlfilter,
+    vectors,
 )
 from tsforge.llm.base import ORACLES, QUERIES
 
