@@ -2,6 +2,8 @@
 
 from tsforge.llm import (  # noqa: F401
     bytebpe,
+    chunks,
+    jaccard,
     ordinal,
     packing,
     quality,
