@@ -4,6 +4,7 @@ from tsforge.llm import (  # noqa: F401
     bytebpe,
     chunks,
     jaccard,
+    lines,
     ordinal,
     packing,
     quality,

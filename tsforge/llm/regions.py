@@ -42,8 +42,8 @@ class Stream:
     Members before ``skip`` were pivots of an earlier round and are left out.
     """
 
-    def __init__(self, near: Near, skip: int, pivots: int, limit: float):
-        self.near, self.skip, self.pivots, self.limit = near, skip, pivots, limit
+    def __init__(self, near: Near, skip: int, pivots: int, window: float):
+        self.near, self.skip, self.pivots, self.window = near, skip, pivots, window
         self.head: dict[str, np.ndarray] | None = None
         self.seen, self.last = 0, 0
 
@@ -76,14 +76,11 @@ class Stream:
         over = over[over >= old]
         heads = (begin[over][:, None] + np.arange(top + 1)[None, :]).ravel()
         crowd = np.union1d(heads, np.flatnonzero((place > top) & (np.arange(len(key)) >= old)))
-        kept = columns
         final = start[-1]
-        same_run = go_on and len(start) == 1
         self.seen = int(place[-1]) + 1
         self.last = ids[-1]
         self.head = {c: x[final : final + top + 1].copy() for c, x in columns.items()}
-        del same_run
-        return a, b, crowd, kept
+        return a, b, crowd, columns
 
     def _pairs(self, columns, begin, place, old) -> tuple[np.ndarray, np.ndarray]:
         many = np.clip(place - self.skip, 0, self.pivots)
@@ -102,7 +99,7 @@ class Stream:
             keep = self.near(columns["aux"][pivot], columns["aux"][member])
             if "root" in columns:
                 keep &= columns["root"][pivot] != columns["root"][member]
-                apart = np.abs(columns["away"][pivot] - columns["away"][member]) > self.limit + 1e-9
+                apart = np.abs(columns["away"][pivot] - columns["away"][member]) > self.window + 1e-9
                 keep &= ~(apart & (columns["home"][pivot] == columns["home"][member]))
             out_a.append(columns["id"][pivot[keep]])
             out_b.append(columns["id"][member[keep]])
@@ -111,12 +108,12 @@ class Stream:
         return pairs[:, 0], pairs[:, 1]
 
 
-def _pass(members: DataFrame, near: Near, skip: int, pivots: int, limit: float, crowd: bool) -> DataFrame:
+def _pass(members: DataFrame, near: Near, skip: int, pivots: int, window: float, crowd: bool) -> DataFrame:
     """(what, x, y, aux): pairs (0, a, b, -) and, if asked for, members of crowded regions (1, key, id, aux)."""
     names = members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Stream(near, skip, pivots, limit)
+        stream = Stream(near, skip, pivots, window)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -134,14 +131,18 @@ def _pass(members: DataFrame, near: Near, skip: int, pivots: int, limit: float,
     return dealt.mapInArrow(run, "what int, x long, y long, aux long")
 
 
-def connect(members: DataFrame, near: Near, prepare: Callable[[DataFrame], Compare], limit: float) -> DataFrame:
+def connect(
+    members: DataFrame, near: Near, prepare: Callable[[DataFrame], Compare], limit: float, metric: bool = True
+) -> DataFrame:
     """(id, root) of all items that are linked, directly or not, to another.
 
     ``members`` (key, id, aux) are the regions; ``near(aux, aux)`` is false only for pairs that
     cannot link; ``prepare(ids)`` gets the ids that will ever be compared and gives the function
-    that adds the distance ``d`` to pairs (a, b). A pair links when d <= limit.
+    that adds the distance ``d`` to pairs (a, b). A pair links when d <= limit. Windows are used
+    only where ``metric`` says that d keeps the triangle inequality.
     """
-    found = materialise(_pass(members, near, 0, PIVOTS, limit, True), "regions")
+    window = limit if metric else float("inf")
+    found = materialise(_pass(members, near, 0, PIVOTS, window, True), "regions")
     pairs = materialise(found.filter("what = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     crowded = found.filter("what = 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "aux")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -160,7 +161,7 @@ def connect(members: DataFrame, near: Near, prepare: Callable[[DataFrame], Compa
         open_ = _open(crowded, roots, known, skip)
         if open_.isEmpty():
             return roots
-        more = _pass(open_, near, skip, pivots, limit, False).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        more = _pass(open_, near, skip, pivots, window, False).select(F.col("x").alias("a"), F.col("y").alias("b"))
         known = _more(materialise(more.distinct(), "pairs"), known, roots, compare)
         roots = _roots(known, limit)
         skip, pivots = skip + pivots, pivots * GROWTH
