@@ -1,25 +1,49 @@
 """Corpus pipeline: documents in, packed training sequences out.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next stage's ``docs``.
+which is written as Parquet and read again as the next stage's ``docs``. Stages that change texts
+bring ``n_chars`` up to date and drop documents that they leave without a word.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tsforge.llm import base, ordinal, packing
+from tsforge.llm import base, chunks, jaccard, lines, ordinal, packing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _rewritten(docs: DataFrame, removed: str) -> DataFrame:
+    """Documents after a stage that cut texts by ``removed`` items."""
+    left = docs.filter((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
+    return left.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject."""
     model = ordinal.fit_labelled(docs, base.table(spark, sf_dir, "labels"))
     return ordinal.score(docs, model).filter("NOT toxic").select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of each group of like lines."""
+    return _rewritten(lines.deduplicate(docs.select(*COLUMNS)), "removed_lines")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join."""
+    return jaccard.one_of_each_group(docs.select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of each repeated passage."""
+    return _rewritten(chunks.deduplicate(docs.select(*COLUMNS)), "removed_words")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens holding every token of the documents that are left."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -27,6 +51,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("packing", pack),
 ]
 
