@@ -1,24 +1,26 @@
 """Toxicity severity by cumulative-link (proportional odds) ordinal regression.
 
 ``P(grade > k) = sigmoid(w x - t_k)``: one weight vector shared by ordered thresholds. Features
-are hashed lower-cased words, valued by the log of their share in the text, so a few words count
-alike in short and long texts. The model is fitted on a bounded, documented sample of labelled
-rows (``SAMPLE_ROWS``, lowest hashes of the document id first); every document is scored, over
-its whole text. The output is the expected grade, and a document whose expected grade reaches
-``LIMIT`` is toxic.
+are lower-cased words and word beginnings of 4, 5 and 6 bytes (inflected forms share one), valued
+by the log of their share in the text, so a few words count alike in short and long texts. The
+model is fitted on a bounded, documented sample of labelled rows (``SAMPLE_ROWS``, lowest hashes
+of the document id first): Spark counts every feature of the sample by label, the at most
+``FEATURES`` ones that are clearly more common in toxic texts (``LEAST_Z`` standard errors, and in
+``LEAST_SHARE`` of them) enter the regression. Every document is scored, over its whole text. The
+output is the expected grade; a document whose expected grade reaches ``LIMIT`` is toxic.
 
 Labels say toxic or not. Severity grades come from them: 0 is not toxic; a toxic text gets
-grade 1, 2 or 3 by the share of its words that are tell-tale in the sample (more than
-``TELLING`` times as common in toxic texts as in others), at the shares in ``STEPS``.
+grade 1, 2 or 3 by the share of its words that have such a feature, at the shares in ``STEPS``.
 
 Defined results: null and empty texts have no features and are scored by the thresholds alone;
-labels with a null are left out; without toxic or without other labels nothing is
-toxic and severity is 0. Ties and repeated rows are harmless (rows map one to one), and extra
-columns pass through.
+labels with a null are left out; without toxic or without other labels nothing is toxic and
+severity is 0. Ties and repeated rows are harmless (rows map one to one), and extra columns pass
+through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,34 +29,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.llm import text as tx
-from tsforge.llm.base import query, table
+from tsforge.llm.base import materialise, query, table
 
-SAMPLE_ROWS, BITS, LEAST_TEXTS, TELLING, STEPS = 8_000, 18, 3, 20.0, (0.03, 0.06)
-LIMIT, ROUNDS, RIDGE = 0.5, 250, 1e-4
+SAMPLE_ROWS, FEATURES, LEAST_Z, LEAST_SHARE, STEPS = 8_000, 1_024, 6.0, 0.04, (0.03, 0.06)
+BEGINNINGS = (4, 5, 6)
+LIMIT, ROUNDS, RIDGE = 0.5, 300, 1e-4
 
 
 @dataclass(frozen=True)
 class Model:
-    """Nonzero weights by feature, and the thresholds."""
+    """Features (sorted hashes), their weights, and the thresholds."""
 
     feature: np.ndarray
     weight: np.ndarray
     threshold: np.ndarray
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) of all features of the texts, and words per row."""
-    rows, feats, counts, totals = [], [], [], []
+def _word_features(raw: np.ndarray, w: tx.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, text) of the words of a slice, then of their beginnings of each length."""
+    yield tx.word_hashes(raw, w, lower=True), w.doc
+    for n in BEGINNINGS:
+        longer = w.end - w.start > n
+        part = tx.Words(w.start[longer], w.start[longer] + n, w.doc[longer], w.count)
+        yield tx.word_hashes(raw, part, lower=True), part.doc
+
+
+def _texts_by_feature(column: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, texts with it, toxic texts with it)."""
+    parts = []
+    for first, raw, offsets in tx.slices(column):
+        w = tx.words(raw, offsets, tx.PUNCTUATION)
+        for h, doc in _word_features(raw, w):
+            parts.append(np.unique(np.stack([h, (doc + first).astype(np.uint64)], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 2), dtype=np.uint64)
+    feature, start, n = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+    bad = toxic[pairs[:, 1].astype(np.int64)].astype(np.int64)
+    return feature, n, np.add.reduceat(bad, start) if len(start) else n
+
+
+def occurrences(column: pa.Array, feature: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, feature number, count) of the given features, and for each text its words and those that have one."""
+    texts = len(column)
+    total, flagged = np.zeros(texts, dtype=np.int64), np.zeros(texts, dtype=np.int64)
+    maybe = np.zeros(1 << 16, dtype=bool)
+    maybe[(feature >> np.uint64(48)).astype(np.int64)] = True
+    keys = [np.zeros(0, dtype=np.int64)]
     for first, raw, offsets in tx.slices(column):
         w = tx.words(raw, offsets, tx.PUNCTUATION)
-        h = tx.word_hashes(raw, w, lower=True) >> np.uint64(64 - BITS)
-        key, n = np.unique((w.doc.astype(np.uint64) << np.uint64(BITS)) | h, return_counts=True)
-        rows.append((key >> np.uint64(BITS)).astype(np.int64) + first)
-        feats.append((key & np.uint64((1 << BITS) - 1)).astype(np.int64))
-        counts.append(n)
-        totals.append(w.count)
-    none = np.zeros(0, dtype=np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (rows, feats, counts, totals))
+        total[first : first + len(w.count)] = w.count
+        starts = []
+        for n, (h, doc) in zip((0, *BEGINNINGS), _word_features(raw, w)):
+            at = np.flatnonzero(maybe[(h >> np.uint64(48)).astype(np.int64)])
+            place = np.searchsorted(feature, h[at])
+            hit = feature[np.minimum(place, len(feature) - 1)] == h[at] if len(feature) else np.zeros(0, dtype=bool)
+            keys.append((doc[at[hit]] + first) * len(feature) + place[hit])
+            begin = w.start if not n else w.start[w.end - w.start > n]
+            starts.append(begin[at[hit]])
+        word = np.searchsorted(w.start, np.unique(np.concatenate(starts)))
+        flagged[first : first + len(w.count)] = np.bincount(w.doc[word], minlength=len(w.count))
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    return key // max(len(feature), 1), key % max(len(feature), 1), count, total, flagged
 
 
 def value(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -62,41 +96,23 @@ def value(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.log1p(1000.0 * count / np.maximum(total, 1))
 
 
-def grades(row, feat, count, total, toxic) -> np.ndarray:
-    """Severity grades of labelled texts."""
-    size = 1 << BITS
-    bad, good = max(toxic.sum(), 1), max((~toxic).sum(), 1)
-    in_bad = np.bincount(feat[toxic[row]], minlength=size)
-    in_good = np.bincount(feat[~toxic[row]], minlength=size)
-    telling = (in_bad >= LEAST_TEXTS) & ((in_bad + 0.5) / (bad + 1) > TELLING * (in_good + 0.5) / (good + 1))
-    share = np.bincount(row, weights=count * telling[feat], minlength=len(toxic)) / np.maximum(total, 1)
-    return np.where(toxic, 1 + sum((share >= s).astype(np.int64) for s in STEPS), 0)
-
-
-def fit(row, feat, count, total, grade, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
+def fit(row, col, x, grade, feature, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
     """Maximum likelihood with a ridge, by full-batch Adam from zero."""
-    top = int(grade.max()) if len(grade) else 0
     # A grade that the sample lacks needs no threshold.
     grade = np.searchsorted(np.unique(grade), grade)
     top = int(grade.max()) if len(grade) else 0
-    if top == 0:
-        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
-    texts = np.bincount(feat, minlength=1 << BITS)
-    use = np.flatnonzero(texts >= LEAST_TEXTS)
-    at = np.full(1 << BITS, -1)
-    at[use] = np.arange(len(use))
-    keep = at[feat] >= 0
-    x_row, x_col, x = row[keep], at[feat[keep]], value(count[keep], total[row[keep]])
-    n = len(grade)
+    if top == 0 or not len(feature):
+        return Model(feature[:0], np.zeros(0), np.zeros(0))
+    n, width = len(grade), len(feature)
     # Parameters: weights, the first threshold, logs of the gaps between thresholds.
-    p = np.zeros(len(use) + top)
+    p = np.zeros(width + top)
     first = np.clip(1 - (grade > 0).mean(), 0.01, 0.99)
-    p[len(use)] = np.log(first / (1 - first))
+    p[width] = np.log(first / (1 - first))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
-        w, gaps = p[: len(use)], np.exp(p[len(use) + 1 :])
-        t = p[len(use)] + np.r_[0.0, np.cumsum(gaps)]
-        eta = np.bincount(x_row, weights=w[x_col] * x, minlength=n)
+        w, gaps = p[: width], np.exp(p[width + 1 :])
+        t = p[width] + np.r_[0.0, np.cumsum(gaps)]
+        eta = np.bincount(row, weights=w[col] * x, minlength=n)
         below = 1 / (1 + np.exp(np.clip(np.r_[-np.inf, t, np.inf][None, :] - eta[:, None], -500, 500) * -1))
         below[:, 0], below[:, -1] = 0.0, 1.0
         upper, lower = below[np.arange(n), grade + 1], below[np.arange(n), grade]
@@ -104,75 +120,77 @@ def fit(row, feat, count, total, grade, rounds: int = ROUNDS, ridge: float = RID
         # d log P / d eta = F(upper) + F(lower) - 1 for the logistic link.
         by_eta = upper + lower - 1
         g = np.zeros_like(p)
-        g[: len(use)] = np.bincount(x_col, weights=by_eta[x_row] * x, minlength=len(use)) / n - ridge * w
+        g[: width] = np.bincount(col, weights=by_eta[row] * x, minlength=width) / n - ridge * w
         slope = below * (1 - below)
         by_t = np.zeros(top + 2)
         np.add.at(by_t, grade + 1, slope[np.arange(n), grade + 1] / mass)
         np.add.at(by_t, grade, -slope[np.arange(n), grade] / mass)
         by_t = by_t[1:-1] / n
-        g[len(use)] = by_t.sum()
-        g[len(use) + 1 :] = gaps * (np.cumsum(by_t[::-1])[::-1][1:])
+        g[width] = by_t.sum()
+        g[width + 1 :] = gaps * (np.cumsum(by_t[::-1])[::-1][1:])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    w = p[: len(use)]
-    big = np.abs(w) > 1e-3
-    gaps = np.exp(p[len(use) + 1 :])
-    return Model(use[big], w[big], p[len(use)] + np.r_[0.0, np.cumsum(gaps)])
+    w = p[: width]
+    return Model(feature, w, p[width] + np.r_[0.0, np.cumsum(np.exp(p[width + 1 :]))])
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """The model of a bounded sample of the labelled documents."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).dropna()
+    known = labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).alias("_toxic")).dropna()
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample_rows)
-    # At most sample_rows rows of two numbers: safe to broadcast.
+    # At most sample_rows rows of an id and a flag: safe to broadcast.
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id")
+    texts = materialise(texts.select("_id", "_toxic", "text"), "labelled")
+    sizes = texts.agg(F.count("*").alias("n"), F.count_if("_toxic").alias("bad")).first()
+    n, bad = sizes["n"], sizes["bad"]
 
-    def extract(batches):
+    def count(batches):
         for batch in batches:
-            row, feat, count, total = features(batch.column("text"))
-            edges = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            got = _texts_by_feature(batch.column("text"), batch.column("_toxic").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    batch.column("_toxic").cast(pa.int64()),
-                    pa.array(total),
-                    pa.ListArray.from_arrays(edges, pa.array(feat.astype(np.int32))),
-                    pa.ListArray.from_arrays(edges, pa.array(count.astype(np.int32))),
-                ],
-                names=["id", "toxic", "total", "feature", "count"],
+                [pa.array(got[0].view(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(np.int64))],
+                names=["feature", "n", "bad"],
             )
 
-    schema = "id long, toxic long, total long, feature array<int>, count array<int>"
-    got = texts.select("_id", "_toxic", "text").mapInArrow(extract, schema).limit(2 * sample_rows).toArrow().combine_chunks()
-    got = got.sort_by([("id", "ascending"), ("total", "ascending")])
+    held = texts.mapInArrow(count, "feature long, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    held = held.filter(F.col("bad") >= max(3, LEAST_SHARE * bad)).filter(F.col("n") < n)
+    share = F.col("n") / n
+    error = F.sqrt(share * (1 - share) * (1 / max(bad, 1) + 1 / max(n - bad, 1)))
+    held = held.withColumn("z", (F.col("bad") / max(bad, 1) - (F.col("n") - F.col("bad")) / max(n - bad, 1)) / error)
+    best = held.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).toArrow()
+    feature = np.sort(best["feature"].to_numpy().view(np.uint64))
+
+    def extract(batches):
+        for batch in batches:
+            row, col, times, total, flagged = occurrences(batch.column("text"), feature)
+            edges = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            columns = [batch.column("_id"), batch.column("_toxic"), pa.array(total), pa.array(flagged)]
+            columns += [pa.ListArray.from_arrays(edges, pa.array(c.astype(np.int64))) for c in (col, times)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "toxic", "total", "flagged", "col", "times"])
+
+    schema = "id long, toxic boolean, total long, flagged long, col array<long>, times array<long>"
+    got = texts.mapInArrow(extract, schema).toArrow().combine_chunks()
+    got = got.sort_by([("id", "ascending"), ("total", "ascending"), ("flagged", "ascending")])
     if not len(got):
-        none = np.zeros(0, dtype=np.int64)
-        return fit(none, none, none, none, none)
-    lists = got["feature"].combine_chunks()
+        return fit(*[np.zeros(0, dtype=np.int64)] * 4, feature)
+    lists = got["col"].combine_chunks()
     row = np.repeat(np.arange(len(got)), lists.value_lengths().to_numpy())
-    feat = lists.flatten().to_numpy().astype(np.int64)
-    count = got["count"].combine_chunks().flatten().to_numpy()
-    total, toxic = got["total"].to_numpy(), got["toxic"].to_numpy() > 0
-    return fit(row, feat, count, total, grades(row, feat, count, total, toxic))
+    times = got["times"].combine_chunks().flatten().to_numpy()
+    total, flagged = got["total"].to_numpy(), got["flagged"].to_numpy()
+    share = flagged / np.maximum(total, 1)
+    grade = np.where(got["toxic"].to_numpy(), 1 + sum((share >= s).astype(np.int64) for s in STEPS), 0)
+    return fit(row, lists.flatten().to_numpy(), value(times, total[row]), grade, feature)
 
 
 def severity(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(expected grade, most likely grade) of each text."""
     if not len(model.threshold):
         return np.zeros(len(column)), np.zeros(len(column), dtype=np.int64)
-    weight = np.zeros(1 << BITS)
-    weight[model.feature] = model.weight
-    eta = np.zeros(len(column))
-    for first, raw, offsets in tx.slices(column):
-        w = tx.words(raw, offsets, tx.PUNCTUATION)
-        feat = (tx.word_hashes(raw, w, lower=True) >> np.uint64(64 - BITS)).astype(np.int64)
-        used = weight[feat] != 0
-        key, n = np.unique((w.doc[used] << BITS) | feat[used], return_counts=True)
-        doc = key >> BITS
-        part = weight[key & ((1 << BITS) - 1)] * value(n, w.count[doc])
-        eta[first : first + len(offsets) - 1] = np.bincount(doc, weights=part, minlength=len(offsets) - 1)
+    row, col, times, total, _ = occurrences(column, model.feature)
+    eta = np.bincount(row, weights=model.weight[col] * value(times, total[row]), minlength=len(column))
     above = 1 / (1 + np.exp(np.clip(model.threshold[None, :] - eta[:, None], -500, 500)))
-    mass = np.concatenate([np.ones((len(eta), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(eta), 1))], axis=1)
+    one, none = np.ones((len(eta), 1)), np.zeros((len(eta), 1))
+    mass = np.concatenate([one, above], axis=1) - np.concatenate([above, none], axis=1)
     return above.sum(axis=1), mass.argmax(axis=1)
 
 
