@@ -9,7 +9,8 @@ removes text: a run needs several equal digests in a row.
 
 Defined results: null and empty texts have no chunks and stay as they are. A row without an id
 is ordered by a hash of its text. Rows that repeat an id are one document: they keep or lose the
-same chunks. Other columns are kept; ``n_chars`` is not touched here. Texts of any length are read
+same chunks. Other columns are kept (one
+named like an output column is replaced); ``n_chars`` is not touched here. Texts of any length are read
 whole; a chunk of more than ``LONGEST`` bytes (a text without boundaries) is cut every so many bytes
 from its start.
 """
@@ -138,7 +139,7 @@ def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     whole = docs.select(F.struct("*").alias("_row"), order.alias("_key"))
     joined = whole.join(lost, "_key", "left").withColumn("_new", rewrite("_row.text", "_known"))
-    columns = [F.col("_new.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    columns = [F.col("_new.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != "removed_words"]
     return joined.select(*columns, F.col("_new.removed").alias("removed_words"))
 
 

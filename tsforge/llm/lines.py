@@ -14,7 +14,7 @@ size; no choice of it loses a pair.
 
 Defined results: null and empty texts have no lines. A row without an id is ordered by a hash of
 its text; rows that repeat an id are one document and keep the same lines. Other columns are
-kept; ``n_chars`` is not touched here. Texts and lines of any length are read whole.
+kept (one named like an output column is replaced); ``n_chars`` is not touched here. Texts and lines of any length are read whole.
 """
 
 from __future__ import annotations
@@ -193,7 +193,7 @@ def _without(text: pa.Array, ids: pa.Array, roots: pa.Array, keep: pa.Array) ->
     kind = pa.struct([("text", pa.string()), ("removed", pa.int64())])
     out, removed = [], []
     for first, raw, offsets in tx.slices(text):
-        begin, end, doc, key, *_ = long_lines(raw, offsets)
+        begin, _, doc, key, *_ = long_lines(raw, offsets)
         key = key.view(np.int64).tolist()
         edges = np.searchsorted(doc, np.arange(len(offsets)))
         for k in range(len(offsets) - 1):
@@ -210,17 +210,13 @@ def _without(text: pa.Array, ids: pa.Array, roots: pa.Array, keep: pa.Array) ->
                 if root in met or not stays.get(key[j], True):
                     gone.append(j)
                 met.add(root)
-            data = raw[offsets[k] : offsets[k + 1]]
+            data = raw[offsets[k] : offsets[k + 1]].tobytes()
             if gone:
-                use = np.ones(len(data), dtype=bool)
-                for j in gone:
-                    a, b = int(begin[j] - offsets[k]), int(end[j] - offsets[k])
-                    # The line goes with its break, the last one with the break before it.
-                    use[a : b + 1] = False
-                    if b == len(data) and a:
-                        use[a - 1] = False
-                data = data[use]
-            out.append(data.tobytes().decode() if text[row].is_valid else None)
+                # A line's number is the number of breaks before it.
+                breaks = np.flatnonzero(raw[offsets[k] : offsets[k + 1]] == 0x0A)
+                numbers = set(np.searchsorted(breaks, begin[gone] - offsets[k]).tolist())
+                data = b"\n".join(line for n, line in enumerate(data.split(b"\n")) if n not in numbers)
+            out.append(data.decode() if text[row].is_valid else None)
             removed.append(len(gone))
     return pa.StructArray.from_arrays([pa.array(out, type=pa.string()), pa.array(removed, type=pa.int64())], fields=list(kind))
 
@@ -247,7 +243,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rewrite = F.arrow_udf(_without, "text string, removed long")
     whole = docs.select(F.struct("*").alias("_row"), order.alias("_key")).join(told, "_key", "left")
     whole = whole.withColumn("_new", rewrite("_row.text", "_told.id", "_told.root", "_told.keep"))
-    columns = [F.col("_new.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    columns = [F.col("_new.text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != "removed_lines"]
     return whole.select(*columns, F.col("_new.removed").alias("removed_lines"))
 
 

@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
 
-SAMPLE_ROWS, FEATURES, LEAST_Z, LEAST_SHARE, STEPS = 8_000, 1_024, 6.0, 0.04, (0.03, 0.06)
+SAMPLE_ROWS, FEATURES, LEAST_Z, LEAST_SHARE, STEPS = 12_000, 1_024, 6.0, 0.02, (0.03, 0.06)
 BEGINNINGS = (4, 5, 6)
-LIMIT, ROUNDS, RIDGE = 0.5, 300, 1e-4
+LIMIT, ROUNDS, RIDGE = 0.4, 300, 1e-4
 
 
 @dataclass(frozen=True)
