@@ -70,6 +70,7 @@ def family():
 def test_jaccard_components(make, corpus, family, monkeypatch, pivots):
     monkeypatch.setattr(regions, "PIVOTS", pivots)
     monkeypatch.setattr(regions, "GROWTH", 3)
+    monkeypatch.setattr(regions, "CENTRAL", pivots)
     rows = corpus + [(i + 10_000, t) for i, t in family]
     sets, expected = plain_components(rows)
     got = {r["doc_id"]: r for r in jaccard.near_documents(make(rows)).collect()}
@@ -288,15 +289,39 @@ def test_no_vectors_and_no_ids(make):
 def test_regions_are_exhausted(make, monkeypatch):
     """One crowded region of strangers and two families: every linked pair is connected."""
     monkeypatch.setattr(regions, "GROWTH", 2)
+    monkeypatch.setattr(regions, "CENTRAL", 2)
     spots = {k: (k if k < 30 else 100 + (k % 2) * 50 + k / 100) for k in range(60)}
     members = make([(1, k, 0) for k in spots], "key long, id long, aux long")
 
-    def prepare(_):
+    def compare(pairs):
         place = F.create_map(*[F.lit(x) for k, v in spots.items() for x in (k, float(v))])
-        return lambda pairs: pairs.withColumn("d", F.abs(place[F.col("a")] - place[F.col("b")]))
+        return pairs.withColumn("d", F.abs(place[F.col("a")] - place[F.col("b")]))
 
-    got = regions.connect(members, lambda a, b: np.ones(len(a), bool), prepare, 0.5).collect()
+    space = regions.Space(near=lambda a, b: np.ones(len(a), bool), compare=compare, limit=0.5)
+    got = regions.connect(members, space).collect()
     groups = {}
     for r in got:
         groups.setdefault(r["root"], set()).add(r["id"])
     assert sorted(map(sorted, groups.values())) == [list(range(30, 60, 2)), list(range(31, 60, 2))]
+
+
+def test_sketches_never_exclude_a_link():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 40_000, dtype=np.uint64)
+    sets = []
+    for n in (1, 3, 20, 64, 65, 100, 130, 500, 700, 3000):
+        base = rng.choice(pool, n, replace=False)
+        sets.append(base)
+        for share in (0.02, 0.1, 0.14, 0.3):
+            cut = max(0, n - int(n * share))
+            sets.append(np.unique(np.r_[base[:cut], rng.choice(pool, int(n * share))]))
+    sketch = np.array([jaccard.parity(s) for s in sets] + [None], dtype=object)[:-1]
+    aux = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    close = jaccard.similar_sizes(aux[a], aux[b])
+    a, b = a[close], b[close]
+    may = regions.may_link(sketch, aux, a, b, jaccard.within_limit)
+    for i, j, m in zip(a, b, may):
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        assert m or 4 * shared < 3 * (aux[i] + aux[j] - shared)
+    assert may.mean() < 0.6

@@ -9,7 +9,8 @@ window around the regions' boundaries is the first n - ceil(3n/4) + 1 shingles o
 linked documents meet in at least one region. The order puts shingles that many documents
 share last (counted over all documents), then goes by hash. Inside the regions, pivots are
 documents; see ``regions``: Voronoi homes, windows by the triangle inequality, recursion, and an
-exact comparison of what is left.
+exact comparison of what is left. Parity sketches bound the difference of two sets from below, so
+texts travel only for pairs that are likely to link.
 
 Equal sets are one class, so copies are compared once. Sets are of 64-bit shingle hashes.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
-from tsforge.llm.regions import Compare, connect
+from tsforge.llm.regions import Space, connect
 
 LIMIT = 0.25
 #: A shingle counts as common from this share of a batch's sets on; as many common ones are kept.
@@ -172,18 +173,62 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], names=["a", "b", "d"])
 
 
-def _comparer(docs: DataFrame, ids: DataFrame) -> Compare:
-    texts = materialise(_texts(docs, ids), "texts")
+def parity(sets: np.ndarray) -> bytes:
+    """One bit for each of 2**k >= n cells: whether an odd number of the n shingles falls in it.
 
-    def compare(pairs: DataFrame) -> DataFrame:
+    Two such sketches differ in no more bits than the sets have shingles that the other lacks.
+    """
+    cells = 64
+    while cells < len(sets):
+        cells *= 2
+    count = np.bincount((sets & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits(count & 1, bitorder="little").tobytes()
+
+
+def within_limit(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A link has at most 1/7 of both sizes as difference: 4 shared >= 3 union."""
+    return 7 * bits <= a + b
+
+
+def _sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, aux, sketch) of these sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()
+            for _, sets, at, keys in _sets(batch.column("text")):
+                rows = _one_of_each(keys, seen)
+                bits = [parity(sets[at[r] : at[r + 1]]) for r in rows.tolist()]
+                size = (at[rows + 1] - at[rows]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[rows].view(np.int64)), pa.array(size), pa.array(bits, type=pa.binary())],
+                    names=["id", "aux", "sketch"],
+                )
+
+    return docs.select("text").mapInArrow(run, "id long, aux long, sketch binary").join(ids, "id").dropDuplicates(["id"])
+
+
+class Comparer:
+    """Exact distances of pairs; texts that were fetched once stay in written tables."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.texts = docs, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.texts is None:
+            self.texts = materialise(_texts(self.docs, ids), "texts")
+        else:
+            missing = materialise(ids.join(self.texts.select("id"), "id", "left_anti"), "missing")
+            if not missing.isEmpty():
+                self.texts = self.texts.unionByName(materialise(_texts(self.docs, missing), "texts"))
+        texts = self.texts
         # The pivot's side may be one text for very many pairs: it comes last, where the rows
         # are heavy enough for a skewed partition to be split.
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_distance, "a long, b long, d double")
 
-    return compare
-
 
 def near_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
@@ -196,7 +241,14 @@ def near_documents(docs: DataFrame) -> DataFrame:
     common, count = often["id"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
     members = _members(docs, common[order], count[order])
-    roots = connect(members, similar_sizes, lambda ids: _comparer(docs, ids), LIMIT)
+    space = Space(
+        near=similar_sizes,
+        compare=Comparer(docs),
+        limit=LIMIT,
+        sketches=lambda ids: _sketches(docs, ids),
+        bound=within_limit,
+    )
+    roots = connect(members, space)
 
     classes = rows.filter("set_id <> 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left")

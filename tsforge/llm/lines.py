@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
 from tsforge.llm.quality import lines_of, normal_lines
-from tsforge.llm.regions import Compare, connect
+from tsforge.llm.regions import Space, connect
 
 MAX_BITS, LIMIT, MIN_BYTES = 3, 0.2, 16
 _GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -169,23 +169,30 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, line binary").join(ids, "id").dropDuplicates(["id"])
 
 
-def _comparer(docs: DataFrame, ids: DataFrame) -> Compare:
-    lines = materialise(_line_texts(docs, ids), "lines")
+class Comparer:
+    """Edit distances of pairs; lines that were fetched once stay in written tables."""
 
-    def distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("line_a"), batch.column("line_b"))
-            d = [line_distance(normalise(a.as_py()), normalise(b.as_py())) for a, b in pairs]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(d, type=pa.float64())], names=["a", "b", "d"]
-            )
+    def __init__(self, docs: DataFrame):
+        self.docs, self.lines = docs, None
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.lines is None:
+            self.lines = materialise(_line_texts(self.docs, ids), "lines")
+        else:
+            missing = materialise(ids.join(self.lines.select("id"), "id", "left_anti"), "missing")
+            if not missing.isEmpty():
+                self.lines = self.lines.unionByName(materialise(_line_texts(self.docs, missing), "lines"))
+        both = pairs.join(self.lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
+        both = both.join(self.lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+        return both.select("a", "b", "line_a", "line_b").mapInArrow(_distance, "a long, b long, d double")
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-        both = both.join(lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-        return both.select("a", "b", "line_a", "line_b").mapInArrow(distance, "a long, b long, d double")
 
-    return compare
+def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = zip(batch.column("line_a"), batch.column("line_b"))
+        d = [line_distance(normalise(a.as_py()), normalise(b.as_py())) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, type=pa.float64())], names=["a", "b", "d"])
 
 
 def _without(text: pa.Array, ids: pa.Array, roots: pa.Array, keep: pa.Array) -> pa.Array:
@@ -230,7 +237,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     lines = materialise(lines, "distinct")
     choices = F.array(*[F.xxhash64(F.col("aux").bitwiseAND(F.lit(m)), F.lit(k)) for k, m in enumerate(masks(blocks_for(lines.count())))])
     members = lines.select(F.explode(choices).alias("key"), "id", "aux")
-    roots = connect(members, close_bits, lambda ids: _comparer(docs, ids), LIMIT, metric=False)
+    roots = connect(members, Space(near=close_bits, compare=Comparer(docs), limit=LIMIT, metric=False))
 
     grouped = lines.join(roots, "id", "left").filter("root IS NOT NULL OR lo < hi")
     grouped = grouped.select("id", F.coalesce("root", "id").alias("root"), "lo")

@@ -3,22 +3,26 @@
 A region is a key with members; two items that may be linked share a region. Members are dealt by
 key and sorted, so a region streams through a task of bounded state. The first members of a region
 are its pivots: every later member is paired with them. A region of few members is thereby done.
-From a crowded one remain the pairs of members that are not pivots, and it is joined again, with
-more pivots each time, after what is known by then has cut it down:
+What is left of a crowded one, its other members, is joined again, with more pivots each time,
+after what is known by then has cut it down:
 
 * members that links already connect are never paired (all that matters is who is connected);
   a region whose members are all connected is finished;
 * a member keeps its nearest pivot so far as its Voronoi home, with the distance. If two members
   of one home differ in that distance by more than the limit, the triangle inequality keeps them
-  apart, and they are not paired.
+  apart, and they are not paired;
+* sketches bound the distance of a pair from below, and a pair that cannot link is not paired;
+* pivots are taken from the middle: members with the smallest mean distance to earlier pivots
+  come first, since they connect most of a crowd at once.
 
-Rounds go on until no region has an unconnected pair that was not compared, so the result is
-exact however crowded a region is.
+Rounds go on until no region has an unconnected pair that was not compared or excluded by a
+bound, so the result is exact however crowded a region is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,34 +32,85 @@ from pyspark.sql import functions as F
 from tsforge.llm.base import materialise
 from tsforge.llm.components import components
 
-#: Pivots of the first round, the factor from round to round, pairs held at once.
-PIVOTS, GROWTH, PAIRS = 4, 16, 1 << 20
+#: Pivots of the first round, of the second, the factor from then on, and pairs held at once.
+PIVOTS, CENTRAL, GROWTH, PAIRS = 4, 8, 512, 1 << 18
 
-Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
-#: (pairs of ids a, b) -> the pairs with their distance.
-Compare = Callable[[DataFrame], DataFrame]
 
+@dataclass(frozen=True)
+class Space:
+    """What the engine must know of the items.
 
-class Stream:
-    """Pairs of each region's members with its pivots, over batches sorted by key and id.
-
-    Members before ``skip`` were pivots of an earlier round and are left out.
+    ``near(aux, aux)`` and ``bound(bits, aux, aux)``, on arrays, are false only for pairs that
+    cannot link; ``bits`` is in how many bits two sketches differ. ``sketches(ids)`` gives (id, aux,
+    sketch), with sketches of a power of two of 64-bit words whose halves can be folded by XOR.
+    ``compare(pairs)`` adds the distance ``d`` to pairs (a, b). ``metric`` says that d keeps the
+    triangle inequality.
     """
 
-    def __init__(self, near: Near, skip: int, pivots: int, window: float):
-        self.near, self.skip, self.pivots, self.window = near, skip, pivots, window
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    compare: Callable[[DataFrame], DataFrame]
+    limit: float
+    metric: bool = True
+    sketches: Callable[[DataFrame], DataFrame] | None = None
+    bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
+
+
+    @property
+    def rules(self) -> Rules:
+        return Rules(self.near, self.bound, self.limit + 1e-9 if self.metric else float("inf"))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The part of a space that tasks need; ``window`` is the widest difference of distances to one pivot."""
+
+    near: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None
+    window: float
+
+
+def may_link(sketch: np.ndarray, aux: np.ndarray, a: np.ndarray, b: np.ndarray, bound) -> np.ndarray:
+    """Whether the bound lets the pairs of rows (a, b) link."""
+    size = np.fromiter(map(len, sketch), dtype=np.int64, count=len(sketch))
+    out = np.zeros(len(a), dtype=bool)
+    place, words = np.zeros(len(sketch), dtype=np.int64), {}
+    for n in np.unique(size).tolist():
+        rows = np.flatnonzero(size == n)
+        place[rows] = np.arange(len(rows))
+        words[n] = np.frombuffer(b"".join(sketch[rows].tolist()), dtype=np.uint64).reshape(len(rows), -1)
+    pair = size[a] * (size.max(initial=0) + 1) + size[b]
+    for kind in np.unique(pair).tolist():
+        chosen = np.flatnonzero(pair == kind)
+        x, y = words[int(size[a[chosen[0]]])], words[int(size[b[chosen[0]]])]
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            else:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        step = max(1, PAIRS * 16 // x.shape[1])
+        for first in range(0, len(chosen), step):
+            part = chosen[first : first + step]
+            bits = np.bitwise_count(x[place[a[part]]] ^ y[place[b[part]]]).sum(axis=1, dtype=np.int64)
+            out[part] = bound(bits, aux[a[part]], aux[b[part]])
+    return out
+
+
+class Stream:
+    """Pairs of each region's members with its pivots, over batches sorted by key."""
+
+    def __init__(self, rules: Rules, pivots: int):
+        self.rules, self.pivots = rules, pivots
         self.head: dict[str, np.ndarray] | None = None
         self.seen, self.last = 0, 0
 
     def feed(self, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-        """(a, b) of the pairs, and row numbers of members that crowd a region with their columns."""
+        """(a, b) of the pairs, and row numbers of the members that are no pivots, with their columns."""
         key, ids = columns["key"], columns["id"]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
-        go_on = self.head is not None and len(key) and self.head["key"][0] == key[0]
+        go_on = self.head is not None and self.head["key"][0] == key[0]
         if go_on and ids[0] == self.last:
             fresh[0] = False
-        if not fresh.all():
-            columns = {c: x[fresh] for c, x in columns.items()}
+        columns = {c: x[fresh] for c, x in columns.items()}
         if not len(columns["key"]):
             none = np.zeros(0, dtype=np.int64)
             return none, none, none, columns
@@ -63,7 +118,7 @@ class Stream:
         if go_on:
             old = len(self.head["key"])
             columns = {c: np.concatenate([self.head[c], x]) for c, x in columns.items()}
-        key, ids = columns["key"], columns["id"]
+        key = columns["key"]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         begin = np.repeat(start, size)
@@ -71,22 +126,17 @@ class Stream:
         if go_on:
             place[old : size[0]] += self.seen - old
         a, b = self._pairs(columns, begin, place, old)
-        top = self.pivots + self.skip
-        over = np.flatnonzero(place == top + 1)
-        over = over[over >= old]
-        heads = (begin[over][:, None] + np.arange(top + 1)[None, :]).ravel()
-        crowd = np.union1d(heads, np.flatnonzero((place > top) & (np.arange(len(key)) >= old)))
+        rest = np.flatnonzero((place >= self.pivots) & (np.arange(len(key)) >= old))
         final = start[-1]
-        self.seen = int(place[-1]) + 1
-        self.last = ids[-1]
-        self.head = {c: x[final : final + top + 1].copy() for c, x in columns.items()}
-        return a, b, crowd, columns
+        self.seen, self.last = int(place[-1]) + 1, columns["id"][-1]
+        self.head = {c: x[final : final + self.pivots].copy() for c, x in columns.items()}
+        return a, b, rest, columns
 
     def _pairs(self, columns, begin, place, old) -> tuple[np.ndarray, np.ndarray]:
-        many = np.clip(place - self.skip, 0, self.pivots)
+        many = np.minimum(place, self.pivots)
         many[:old] = 0
         rows = np.flatnonzero(many)
-        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        out = [np.zeros((0, 2), dtype=np.int64)]
         total = np.cumsum(many[rows])
         first = 0
         while first < len(rows):
@@ -95,80 +145,110 @@ class Stream:
             take = rows[first:last]
             n = many[take]
             member = np.repeat(take, n)
-            pivot = np.repeat(begin[take] + self.skip, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keep = self.near(columns["aux"][pivot], columns["aux"][member])
+            pivot = np.repeat(begin[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep = self.rules.near(columns["aux"][pivot], columns["aux"][member])
             if "root" in columns:
                 keep &= columns["root"][pivot] != columns["root"][member]
-                apart = np.abs(columns["away"][pivot] - columns["away"][member]) > self.window + 1e-9
+                apart = np.abs(columns["away"][pivot] - columns["away"][member]) > self.rules.window
                 keep &= ~(apart & (columns["home"][pivot] == columns["home"][member]))
-            out_a.append(columns["id"][pivot[keep]])
-            out_b.append(columns["id"][member[keep]])
+            pivot, member = pivot[keep], member[keep]
+            if "sketch" in columns and len(pivot):
+                keep = may_link(columns["sketch"], columns["aux"], pivot, member, self.rules.bound)
+                pivot, member = pivot[keep], member[keep]
+            ends = np.stack([columns["id"][pivot], columns["id"][member]], axis=1)
+            out.append(np.unique(np.sort(ends, axis=1) if "root" in columns else ends, axis=0))
             first = last
-        pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
+        pairs = np.unique(np.concatenate(out), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
 
-def _pass(members: DataFrame, near: Near, skip: int, pivots: int, window: float, crowd: bool) -> DataFrame:
-    """(what, x, y, aux): pairs (0, a, b, -) and, if asked for, members of crowded regions (1, key, id, aux)."""
-    names = members.columns
+def _pass(members: DataFrame, space: Space, pivots: int, order: list[str]) -> DataFrame:
+    """(what, x, y, aux): pairs (0, a, b, -) and the members that are no pivots (1, key, id, aux)."""
+    names, rules = members.columns, space.rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Stream(near, skip, pivots, window)
+        stream = Stream(rules, pivots)
         for batch in batches:
             if not batch.num_rows:
                 continue
             got = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
             a, b, rows, kept = stream.feed(got)
-            if not crowd:
-                rows = rows[:0]
             x, y = np.r_[a, kept["key"][rows]], np.r_[b, kept["id"][rows]]
             if len(x):
                 what = np.repeat(np.array([0, 1], dtype=np.int32), [len(a), len(rows)])
                 aux = np.r_[np.zeros(len(a), dtype=np.int64), kept["aux"][rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (what, x, y, aux)], names=["what", "x", "y", "aux"])
 
-    dealt = members.repartition("key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(run, "what int, x long, y long, aux long")
+    dealt = members.repartition("key").sortWithinPartitions("key", *order)
+    return materialise(dealt.mapInArrow(run, "what int, x long, y long, aux long"), "regions")
 
 
-def connect(
-    members: DataFrame, near: Near, prepare: Callable[[DataFrame], Compare], limit: float, metric: bool = True
-) -> DataFrame:
+def connect(members: DataFrame, space: Space) -> DataFrame:
     """(id, root) of all items that are linked, directly or not, to another.
 
-    ``members`` (key, id, aux) are the regions; ``near(aux, aux)`` is false only for pairs that
-    cannot link; ``prepare(ids)`` gets the ids that will ever be compared and gives the function
-    that adds the distance ``d`` to pairs (a, b). A pair links when d <= limit. Windows are used
-    only where ``metric`` says that d keeps the triangle inequality.
+    ``members`` (key, id, aux) are the regions. A pair links when its distance is at most the limit.
     """
-    window = limit if metric else float("inf")
-    found = materialise(_pass(members, near, 0, PIVOTS, window, True), "regions")
-    pairs = materialise(found.filter("what = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-    crowded = found.filter("what = 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "aux")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if not crowded.isEmpty():
-        ids = ids.union(crowded.select("id")).distinct()
-    compare = prepare(ids)
+    found = _pass(members, space, PIVOTS, ["id"])
+    pairs, rest = _pairs_of(found), _rest_of(found)
+    sketches = None
+    if space.sketches:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("id")).distinct()
+        sketches = materialise(space.sketches(ids), "sketches")
+        pairs = _bounded(pairs, space, sketches)
 
     # Each item with its first pivot, then the other pairs that are not connected by then.
-    known = materialise(compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "distances")
-    roots = _roots(known, limit)
-    known = _more(pairs, known, roots, compare)
-    roots = _roots(known, limit)
-
-    skip, pivots = PIVOTS, PIVOTS * GROWTH
+    known = materialise(space.compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "distances")
+    roots = _roots(known, space)
+    more = _new(pairs, known, roots)
+    if not more.isEmpty():
+        known = known.unionByName(materialise(space.compare(more), "distances"))
+        roots = _roots(known, space)
+
+    pivots = CENTRAL
     while True:
-        open_ = _open(crowded, roots, known, skip)
+        open_ = _open(rest, roots, known, sketches)
         if open_.isEmpty():
             return roots
-        more = _pass(open_, near, skip, pivots, window, False).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        known = _more(materialise(more.distinct(), "pairs"), known, roots, compare)
-        roots = _roots(known, limit)
-        skip, pivots = skip + pivots, pivots * GROWTH
+        found = _pass(open_, space, pivots, ["middle", "id"])
+        rest = _rest_of(found)
+        more = _new(_pairs_of(found), known, roots)
+        if not more.isEmpty():
+            known = known.unionByName(materialise(space.compare(more), "distances"))
+            roots = _roots(known, space)
+        pivots *= GROWTH
+
+
+def _pairs_of(found: DataFrame) -> DataFrame:
+    pairs = found.filter("what = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return materialise(pairs.distinct(), "pairs")
+
+
+def _rest_of(found: DataFrame) -> DataFrame:
+    return found.filter("what = 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "aux")
+
+
+def _bounded(pairs: DataFrame, space: Space, sketches: DataFrame) -> DataFrame:
+    """The pairs that the sketches let link."""
+    left = sketches.select(F.col("id").alias("a"), F.col("aux").alias("aux_a"), F.col("sketch").alias("sketch_a"))
+    right = sketches.select(F.col("id").alias("b"), F.col("aux").alias("aux_b"), F.col("sketch").alias("sketch_b"))
+
+    bound = space.bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            both = np.concatenate([got["sketch_a"], got["sketch_b"]])
+            aux = np.concatenate([got["aux_a"], got["aux_b"]])
+            keep = may_link(both, aux, np.arange(n), n + np.arange(n), bound)
+            yield pa.RecordBatch.from_arrays([pa.array(got["a"][keep]), pa.array(got["b"][keep])], names=["a", "b"])
+
+    joined = pairs.join(right, "b").join(left, "a")
+    return materialise(joined.mapInArrow(run, "a long, b long"), "pairs")
 
 
-def _roots(known: DataFrame, limit: float) -> DataFrame:
-    return materialise(components(known.filter(F.col("d") <= limit)), "roots")
+def _roots(known: DataFrame, space: Space) -> DataFrame:
+    return materialise(components(known.filter(F.col("d") <= space.limit)), "roots")
 
 
 def _with_root(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
@@ -176,24 +256,23 @@ def _with_root(rows: DataFrame, roots: DataFrame, column: str, name: str) -> Dat
     return rows.join(part, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _more(pairs: DataFrame, known: DataFrame, roots: DataFrame, compare: Compare) -> DataFrame:
-    """``known`` and the distances of those pairs that are neither known nor connected."""
+def _new(pairs: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs that are neither known nor connected."""
     apart = _with_root(_with_root(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-    new = materialise(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if new.isEmpty():
-        return known
-    return known.unionByName(materialise(compare(new), "distances"))
-
-
-def _open(crowded: DataFrame, roots: DataFrame, known: DataFrame, skip: int) -> DataFrame:
-    """Members of crowded regions that are not all connected, with component, home and distance."""
-    home = known.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("d", "a")).alias("near"))
-    home = home.select("id", F.col("near.a").alias("home"), F.col("near.d").alias("away"))
-    state = _with_root(crowded, roots, "id", "root").join(home, "id", "left")
-    state = state.select(
-        "key", "id", "aux", "root", F.coalesce("home", "id").alias("home"), F.coalesce("away", F.lit(0.0)).alias("away")
-    )
-    state = materialise(state, "crowded")
-    span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    live = materialise(span.filter((F.col("lo") < F.col("hi")) & (F.col("n") > skip)).select("key"), "live")
-    return materialise(state.join(live, "key"), "open")
+    return materialise(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+
+def _open(rest: DataFrame, roots: DataFrame, known: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    """Members of regions that are not all connected, with what is known of each."""
+    state = materialise(_with_root(rest, roots, "id", "root"), "rest")
+    span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    live = materialise(span.filter("lo < hi").select("key"), "live")
+    home = known.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("d", "a")).alias("near"), F.avg("d").alias("middle"))
+    home = home.select("id", F.col("near.a").alias("home"), F.col("near.d").alias("away"), "middle")
+    state = state.join(live, "key").join(home, "id", "left")
+    columns = [F.coalesce("home", "id").alias("home"), F.coalesce("away", F.lit(0.0)).alias("away")]
+    columns += [F.coalesce("middle", F.lit(1.0)).alias("middle")]
+    if sketches is None:
+        return materialise(state.select("key", "id", "aux", "root", *columns), "open")
+    state = state.join(sketches.select("id", "sketch"), "id")
+    return materialise(state.select("key", "id", "aux", "root", *columns, "sketch"), "open")
