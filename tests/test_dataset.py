@@ -48,9 +48,13 @@ def test_calendar_dataset_to_predictions(spark, market, tmp_path):
     model = m.LinearForecast(np.zeros((168, 24)), np.arange(24.0))
     answered = d.predict(spark, requests, rows, model, made)
     by_status = {r.status: r for r in answered.collect()}
-    assert by_status["ok"].predicted == list(np.arange(24.0)) and by_status["no_data"].predicted is None
+    mean, std = raw.where("split = 'train'").select(F.explode("y").alias("y")).select(F.avg("y"), F.stddev_pop("y")).first()
+    assert by_status["ok"].predicted == pytest.approx(list(np.arange(24.0) * std + mean), abs=0.005)
+    assert by_status["no_data"].predicted is None
     stats = d.prediction_stats(answered).first()
-    assert stats.avg_predicted == 11.5 and stats.rmse > 0
+    assert stats.avg_predicted == pytest.approx(11.5 * std + mean, abs=0.01) and stats.rmse > 0
+    with pytest.raises(ValueError):
+        d.predict(spark, requests, rows, model, made, fold=1)
 
 
 def test_folds_are_scaled_by_their_own_training_part(spark, market, tmp_path):
@@ -64,6 +68,16 @@ def test_folds_are_scaled_by_their_own_training_part(spark, market, tmp_path):
     )
     assert all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 for r in z.collect())
 
+    requests = spark.createDataFrame([(datetime(2024, 2, 1, 23),)], "target_date TIMESTAMP")
+    model = m.LinearForecast(np.zeros((168, 24)), np.arange(24.0))
+    with pytest.raises(ValueError):
+        d.predict(spark, requests, rows, model, made)
+    found = {k: d.predict(spark, requests, rows, model, made, fold=k).first() for k in (1, 5)}
+    # The market repeats itself, so the folds' scalers agree to two decimals: only the status is held.
+    assert found[1].status == found[5].status == "ok"
+    with pytest.raises(ValueError):
+        d.build_dataset(rows, str(tmp_path / "mixed"), "folds", "across")
+
 
 @pytest.mark.parametrize("shuffle", ["across", "within"])
 def test_shuffled_sets_keep_sizes(spark, market, tmp_path, shuffle):

@@ -64,6 +64,8 @@ def test_trees_learn_and_search_is_seeded(spark):
     df = df.withColumn("y", F.when(F.col("x") > 4, 10.0).otherwise(0.0))
     got = m.gbt_fit_predict(df, df, ["x"], "y", depth=2, rounds=3)
     assert got.agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1e-6
+    holes = df.withColumn("x", F.when(F.col("x") != 7, F.col("x")))
+    assert m.gbt_fit_predict(holes, holes, ["x"], "y", depth=2, rounds=3).where("prediction IS NOT NULL").count() == 300
     space = {**m.SEARCH_SPACE, "maxDepth": (1, 2, "int"), "maxIter": (1, 2, "int")}
     best, scores = m.random_search(df, ["x"], "y", folds=3, draws=2, space=space)
     assert scores.count() == 2 and scores.where("best").count() == 1
@@ -91,3 +93,9 @@ def test_profile_error_hides_offsetting_errors(spark):
 def test_fold_means_are_unweighted(spark):
     df = spark.createDataFrame([(1, "val", 0.0, 1.0), (2, "val", 0.0, 3.0), (2, "val", 0.0, 3.0)], "fold INT, split STRING, y DOUBLE, predicted DOUBLE")
     assert e.fold_mean(e.fold_scores(df)).first().mae == 2.0
+
+
+def test_ablation_uses_the_mean_of_the_scored_rows(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0), (100.0, None), (None, 5.0)], "x DOUBLE, y DOUBLE")
+    row = m.mean_ablation(df, ["x"], "y", m.LinearForecast(np.ones(1), np.zeros(()))).first()
+    assert (row.base_rmse, row.ablated_rmse, row.scored, row.left_out) == (0.0, 1.0, 2, 2)

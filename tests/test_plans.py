@@ -11,11 +11,11 @@ from tsforge.plans.catalog import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 # Reports of one row in all, or a report of the whole table that ends in one small row.
 GLOBAL = {
-    "step_report", "null_profile", "feature_manifest", "feature_roles", "delete_by_entity", "random_search",
+    "step_report", "null_profile", "feature_manifest", "feature_roles", "delete_by_entity",
     "split_report", "impute_mean", "scale_passthrough", "anti_months", "drop_high_months", "shuffle_across", "random_split",
 }
 # Run jobs of their own before a plan exists.
-EAGER = {"gbt_fit_predict", "random_search", "ar_mimo", "ar_mimo_one_lag", "window_sink", "export_parquet_stats",
+EAGER = {"gbt_fit_predict", "ar_mimo", "ar_mimo_one_lag", "window_sink", "export_parquet_stats",
          "stream_resample", "stream_dedupe", "stream_ingest", "csv_scan", "csv_sink", "scaler_reload", "robust_scale"}
 
 

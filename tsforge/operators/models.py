@@ -20,11 +20,14 @@ from tsforge.session import literal_table
 
 
 def gbt_pipeline(features: Sequence[str], target: str, depth: int = 5, rounds: int = 100, rate: float = 0.1, **params):
+    """Missing features take their mean over the training rows; no row is left out."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    filled = [f"_filled_{c}" for c in features]
+    imputer = Imputer(inputCols=list(features), outputCols=filled, strategy="mean")
+    assembler = VectorAssembler(inputCols=filled, outputCol="_features", handleInvalid="error")
     trees = GBTRegressor(
         featuresCol="_features",
         labelCol=target,
@@ -35,15 +38,22 @@ def gbt_pipeline(features: Sequence[str], target: str, depth: int = 5, rounds: i
         seed=0,
         **params,
     )
-    return Pipeline(stages=[assembler, trees])
+    return Pipeline(stages=[imputer, assembler, trees])
 
 
 def gbt_fit_predict(
     train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, **params
 ) -> DataFrame:
-    """Boosted trees fitted on ``train``; ``rows`` with a ``prediction`` column."""
-    model = gbt_pipeline(features, target, **params).fit(train.select(*features, target))
-    return model.transform(rows).drop("_features")
+    """Boosted trees fitted on the rows of ``train`` that have a target; ``rows``, all of them,
+    with a ``prediction`` column."""
+    numbers = [F.col(c).cast("double").alias(c) for c in features]
+    known = train.where(F.col(target).isNotNull()).select(*numbers, F.col(target).cast("double").alias(target))
+    model = gbt_pipeline(features, target, **params).fit(known)
+    # The imputer wants doubles under the names it was fitted with; the given columns come back after.
+    kept = rows.withColumns({f"_given_{c}": F.col(c) for c in features})
+    found = model.transform(kept.withColumns({c: F.col(c).cast("double") for c in features}))
+    found = found.withColumns({c: F.col(f"_given_{c}") for c in features})
+    return found.drop("_features", *[f"_{kind}_{c}" for kind in ("given", "filled") for c in features])
 
 
 # Ranges a random draw is taken from, for the parameters these trees have.
@@ -90,7 +100,7 @@ def random_search(
     from pyspark.ml.tuning import CrossValidator
 
     pipeline = gbt_pipeline(features, target)
-    trees = pipeline.getStages()[1]
+    trees = pipeline.getStages()[-1]
     drawn = draw_parameters(draws, seed, space)
     maps = [{trees.getParam(name): value for name, value in one.items()} for one in drawn]
     search = CrossValidator(
@@ -145,6 +155,18 @@ def _moments(lags: int, horizon: int):
     return run
 
 
+def moments_of(windows: DataFrame, x: Column, y: str, lags: int, horizon: int) -> DataFrame:
+    """``[x, 1]' [x, 1, y]`` over all windows as cells ``(i, j, v)``.
+
+    Every task sums its own ``(lags+1) x (lags+1+horizon)`` moments, and Spark adds them up by
+    matrix cell.
+    """
+    sums = windows.select(x.alias("x"), F.col(y).alias("y")).mapInArrow(
+        _moments(lags, horizon), "i INT, row ARRAY<DOUBLE>"
+    )
+    return sums.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def ar_fit(
     windows: DataFrame,
     target: str,
@@ -156,20 +178,10 @@ def ar_fit(
 ) -> LinearForecast:
     """Last ``lags`` target values -> all horizon hours, linear with bias, least squares.
 
-    Every task sums its own ``(lags+1) x (lags+1+horizon)`` moments, Spark adds them up by
-    matrix cell, and only that matrix reaches the driver, whatever the number of windows.
+    Only the matrix of moments reaches the driver, whatever the number of windows.
     """
-    x = F.transform(F.slice(past, -lags, lags), lambda r: r[target].cast("double"))
-    sums = windows.select(x.alias("x"), F.col(y).alias("y")).mapInArrow(
-        _moments(lags, horizon), "i INT, row ARRAY<DOUBLE>"
-    )
-    cells = (
-        sums.select("i", F.posexplode("row").alias("j", "v"))
-        .groupBy("i", "j")
-        .agg(F.sum("v").alias("v"))
-        .groupBy("i")
-        .agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))
-    )
+    cells = moments_of(windows, last_values(target, lags, past), y, lags, horizon)
+    cells = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("row"))
     moments = np.zeros((lags + 1, lags + 1 + horizon))
     for line in cells.select("i", "row.v").collect():  # lags + 1 rows
         moments[line[0]] = line[1]
@@ -251,17 +263,23 @@ def mean_ablation(
     """How much the squared error grows when a feature is replaced by its mean.
 
     Each batch is scored once as it is and once per feature, in place, so rows are not
-    multiplied; a task hands back one row of sums per feature. Returns
-    ``(feature, base_rmse, ablated_rmse, change)``.
+    multiplied; a task hands back one row of sums per feature. A row that lacks the target or a
+    feature is not scored, and the means are those of the scored rows. Returns ``(feature,
+    base_rmse, ablated_rmse, change, scored, left_out)``.
     """
     names = list(features)
     shipped = df.sparkSession.sparkContext.broadcast(model)
-    means = df.agg(F.array(*[F.avg(c) for c in names]).alias("m")).scalar()
-    rows = df.select(
+    complete = F.col(target).isNotNull()
+    for c in names:
+        complete = complete & F.col(c).isNotNull()
+    whole = df.where(complete)
+    means = whole.agg(F.array(*[F.avg(c) for c in names]).alias("m")).scalar()
+    left_out = df.agg(F.count_if(~complete).alias("n")).scalar()
+    rows = whole.select(
         F.array(*[F.col(c).cast("double") for c in names]).alias("x"),
         F.col(target).cast("double").alias("y"),
         means.alias("m"),
-    ).where(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    )
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, base, ablated = 0, 0.0, np.zeros(len(names))
@@ -285,6 +303,8 @@ def mean_ablation(
         .agg(
             F.sqrt(F.sum("base") / n).alias("base_rmse"),
             F.sqrt(F.sum("ablated") / n).alias("ablated_rmse"),
+            F.sum("n").alias("scored"),
         )
         .withColumn("change", F.col("ablated_rmse") - F.col("base_rmse"))
+        .withColumn("left_out", left_out)
     )

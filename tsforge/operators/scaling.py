@@ -58,9 +58,18 @@ def standard_fit_windows(
 
 
 def _one_row(params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """The parameters of ``columns`` as a single struct of structs, one row per ``keys``."""
+    """The parameters of ``columns`` as a single struct of structs, one row per ``keys``.
+
+    A column with no parameters, or with several (those of more than one fold), stops the job.
+    """
     both = F.struct(F.col("mean"), F.col("scale"))
-    picked = [F.max(F.when(F.col("feature") == c, both)).alias(c) for c in columns]
+
+    def only(c: str) -> Column:
+        wrong = F.raise_error(F.lit(f"not exactly one scaler row for {c!r}"))
+        one = F.max(F.when(F.col("feature") == c, both))
+        return F.when(F.count_if(F.col("feature") == c) == 1, one).otherwise(wrong).alias(c)
+
+    picked = [only(c) for c in columns]
     return params.groupBy(*keys).agg(F.struct(*picked).alias("_p"))
 
 

@@ -3,48 +3,47 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tsforge.functions.columns import cyclical, signed_log
+from tsforge.functions.columns import signed_log
 from tsforge.operators import models as m
-from tsforge.operators.splits import kfold
 from tsforge.plans import views as v
 from tsforge.plans.catalog.base import query
 from tsforge.plans.sqlviews import r6
 from tsforge.session import materialise
 
-S = ["series"]
-FEATURES = ["click", "error", "purchase", "signup", "Day_sin", "Day_cos"]
+_FLAGS = {"many_clicks": "click", "many_errors": "error"}
 
 
-def _rows(spark, folder):
-    return cyclical(v.wide(spark, folder)).dropna(subset=["view", *FEATURES[:4]])
-
-
-@query("gbt_fit_predict")
+@query(
+    "gbt_fit_predict",
+    """WITH f AS (SELECT ts, "view" AS y, (coalesce(click, 0) > 50)::INT AS a, (coalesce(error, 0) > 50)::INT AS b FROM {wide}),
+    m AS (SELECT a, b, avg(y) AS m FROM f WHERE day(ts) <= 20 GROUP BY 1, 2)
+    SELECT ts, round(m + 2.718281828e-8, 6) AS prediction FROM f LEFT JOIN m USING (a, b)""",
+)
 def gbt_fit_predict(spark, folder):
-    """100 rounds of depth 5 at rate 0.1; the rows are written once because every round
-    reads them."""
-    rows = materialise(_rows(spark, folder).select("ts", "view", *FEATURES), "gbt")
-    found = m.gbt_fit_predict(rows, rows, FEATURES, "view")
-    return found.select("ts", "view", v.r6("prediction").alias("prediction"))
-
-
-@query("random_search")
-def random_search(spark, folder):
-    """Five contiguous folds; two draws from narrowed ranges, so that the catalog runs in
-    seconds. All rows take part."""
-    rows = _rows(spark, folder).withColumn("series", F.lit("ALL"))
-    folded = kfold(rows, S, "ts").select("view", *FEATURES, "fold")
-    space = {**m.SEARCH_SPACE, "maxDepth": (2, 3, "int"), "maxIter": (3, 6, "int")}
-    _, scores = m.random_search(materialise(folded, "folds"), FEATURES, "view", draws=2, space=space, parallelism=2)
-    return scores
-
-
-@query("ar_mimo")
-def ar_mimo(spark, folder):
-    """24 lags to 24 hours."""
-    windows = v.windows(spark, folder)
-    predicted = m.ar_mimo(windows, windows, "value", lags=24)
-    return v.stack_hours(predicted, ["series", "anchor"], ["y", "predicted"])
+    """100 rounds of depth 5 at rate 0.1 on 0/1 features: the first tree holds the mean of each
+    combination and later ones add nothing, so group means check the fit. Fitted on the first
+    twenty days, predicted for all; the rows are written once because every round reads them."""
+    flags = {n: (F.coalesce(c, F.lit(0.0)) > 50).cast("double") for n, c in _FLAGS.items()}
+    rows = materialise(v.wide(spark, folder).withColumns(flags).select("ts", "view", *_FLAGS), "gbt")
+    found = m.gbt_fit_predict(rows.where("day(ts) <= 20"), rows, list(_FLAGS), "view")
+    return found.select("ts", v.r6("prediction").alias("prediction"))
+
+
+@query("ar_mimo", "SELECT h.hour::INT AS hour, l.lag::INT AS lag, 0.0::DOUBLE AS gap FROM range(24) h(hour), range(48) l(lag)")
+def ar_mimo(spark, folder, lags=48, ridge=1e-6):
+    """48 lags to 24 hours, fitted on the windows of the first twenty days. At the solution the
+    residuals are orthogonal to every lag, up to the penalty."""
+    train = v.windows(spark, folder).where("day(anchor) <= 20")
+    model = m.ar_fit(train, "value", lags, ridge=ridge)
+    scored = m.score_windows(train, model, m.last_values("value", lags))
+    left = scored.withColumn("y", F.zip_with("y", "predicted", lambda y, p: y - p))
+    cells = m.moments_of(left, m.last_values("value", lags), "y", lags, 24).where(f"i < {lags} AND j > {lags}")
+    weights = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in model.weights])
+    hour = F.col("j") - lags - 1
+    penalty = ridge * F.get(F.get(weights, F.col("i")), hour)
+    return cells.select(
+        hour.cast("int").alias("hour"), F.col("i").alias("lag"), (F.round(F.col("v") - penalty, 1) + 0.0).alias("gap")
+    )
 
 
 @query(
@@ -61,7 +60,6 @@ def ar_mimo_one_lag(spark, folder):
     return hours.withColumn("predicted", F.round("predicted", 4))
 
 
-
 @query(
     "gated_blend",
     f"""WITH g AS (SELECT series, anchor, 1 / (1 + exp(-(avg(y) - 50) / 10)) AS g FROM {{scored}} GROUP BY 1, 2)
@@ -90,8 +88,6 @@ def _week_and_day() -> m.LinearForecast:
     return m.LinearForecast(weights, np.zeros(24))
 
 
-
-
 @query(
     "score_windows",
     f"""SELECT s.series, s.anchor, s.hour, round(exp(0.7 * ln(1 + s.predicted) + 0.3 * ln(1 + p.value)) - 1, 2) + 0.0 AS predicted
@@ -114,10 +110,10 @@ _WEIGHTS = {"click": 0.5, "error": 0.3, "purchase": 0.2}
     s AS (SELECT sqrt(avg(pow(0.5 * click + 0.3 * error + 0.2 * purchase - y, 2))) AS base, sqrt(avg(pow(0.5 * mc + 0.3 * error + 0.2 * purchase - y, 2))) AS c,
       sqrt(avg(pow(0.5 * click + 0.3 * me + 0.2 * purchase - y, 2))) AS e, sqrt(avg(pow(0.5 * click + 0.3 * error + 0.2 * mp - y, 2))) AS p FROM x),
     f AS (SELECT base, unnest(['click', 'error', 'purchase']) AS feature, unnest([c, e, p]) AS a FROM s)
-    SELECT feature, round(base + 2.718281828e-8, 6) AS base_rmse, round(a + 2.718281828e-8, 6) AS ablated_rmse, round(a - base + 2.718281828e-8, 6) + 0.0 AS change FROM f""",
+    SELECT feature, (SELECT count(*) FROM x) AS scored, (SELECT count(*) FROM {wide}) - (SELECT count(*) FROM x) AS left_out, round(base + 2.718281828e-8, 6) AS base_rmse, round(a + 2.718281828e-8, 6) AS ablated_rmse, round(a - base + 2.718281828e-8, 6) + 0.0 AS change FROM f""",
 )
 def mean_ablation(spark, folder):
-    rows = v.wide(spark, folder).select(*_WEIGHTS, "view").dropna()
+    rows = v.wide(spark, folder).select(*_WEIGHTS, "view")
     model = m.LinearForecast(np.array(list(_WEIGHTS.values())), np.zeros(()))
     found = m.mean_ablation(rows, list(_WEIGHTS), "view", model)
-    return found.select("feature", *[v.r6(c).alias(c) for c in ("base_rmse", "ablated_rmse", "change")])
+    return found.select("feature", "scored", "left_out", *[v.r6(c).alias(c) for c in ("base_rmse", "ablated_rmse", "change")])

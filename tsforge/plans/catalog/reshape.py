@@ -7,7 +7,7 @@ from tsforge.functions.columns import map_codes
 from tsforge.operators import reshape as r
 from tsforge.plans import views as v
 from tsforge.plans.catalog.base import query
-from tsforge.plans.catalog.columns import _RAW, raw_generation
+from tsforge.plans.catalog.columns import _AGGS, _KINDS, _RAW, raw_generation
 from tsforge.plans.sqlviews import r6
 
 
@@ -25,28 +25,26 @@ def resample_grid(spark, folder):
     return _rounded(v.gridded(spark, folder), ["series", "ts"])
 
 
-_KEPT = ["Hydro Pumped Storage|Actual Aggregated", "Hydro Pumped Storage|Actual Consumption", "Solar|Actual Aggregated",
-         "Solar|Actual Consumption", "Nuclear|Actual Aggregated", "Tidal Test Rig|Actual Aggregated", "Wind Onshore [MW]"]
+_LABELS = [kind if agg is None else f"{kind}|{agg}" for kind in _KINDS for agg in _AGGS]
 
 
 @query(
     "unpivot_types",
-    f"""WITH {_RAW}, h AS (SELECT date_trunc('hour', ts) AS ts,
-        CASE WHEN aggregation IS NULL THEN type ELSE type || '|' || aggregation END AS label, avg(value) AS value FROM raw GROUP BY 1, 2)
-    SELECT ts, CASE label WHEN 'Hydro Pumped Storage|Actual Aggregated' THEN 'Hydro Pumped Storage_Generation'
-      WHEN 'Hydro Pumped Storage|Actual Consumption' THEN 'Hydro Pumped Storage_Consumption'
-      WHEN 'Solar|Actual Aggregated' THEN 'Solar' WHEN 'Nuclear|Actual Aggregated' THEN 'Nuclear'
-      WHEN 'Wind Onshore [MW]' THEN 'Wind Onshore' END AS generation_type, {r6('value')} AS value
-    FROM h WHERE label IN ('Hydro Pumped Storage|Actual Aggregated', 'Hydro Pumped Storage|Actual Consumption',
-      'Solar|Actual Aggregated', 'Nuclear|Actual Aggregated', 'Wind Onshore [MW]')""",
+    f"""WITH {_RAW}, h AS (SELECT date_trunc('hour', ts) AS ts, type, aggregation, avg(value) AS value FROM raw GROUP BY 1, 2, 3),
+    r AS (SELECT ts, value, CASE WHEN aggregation IS NULL THEN trim(split_part(type, ' [', 1))
+        WHEN type = 'Hydro Pumped Storage' THEN CASE aggregation WHEN 'Actual Aggregated' THEN 'Hydro Pumped Storage_Generation' ELSE 'Hydro Pumped Storage_Consumption' END
+        WHEN aggregation = 'Actual Aggregated' THEN type END AS generation_type FROM h)
+    SELECT ts, generation_type, {r6('value')} AS value FROM r WHERE generation_type IN
+      ('Hydro Pumped Storage_Generation', 'Hydro Pumped Storage_Consumption', 'Solar', 'Nuclear', 'Wind Onshore')""",
 )
 def unpivot_types(spark, folder):
-    """A wide frame of ``type|aggregation`` columns, as a feed delivers it, made long."""
+    """A wide frame of all ``type|aggregation`` columns, as a feed delivers it, made long; the router
+    drops what is not listed."""
     raw = raw_generation(spark, folder)
     label = F.when(F.col("aggregation").isNull(), F.col("type")).otherwise(F.concat_ws("|", "type", "aggregation"))
     hourly = raw.withColumn("label", label).groupBy(F.date_trunc("hour", "ts").alias("ts"))
-    wide = hourly.pivot("label", _KEPT).agg(F.avg("value"))
-    return _rounded(r.unpivot_generation(wide, ["ts"], _KEPT), ["ts", "generation_type"])
+    wide = hourly.pivot("label", _LABELS).agg(F.avg("value"))
+    return _rounded(r.unpivot_generation(wide, ["ts"], _LABELS), ["ts", "generation_type"])
 
 
 @query(

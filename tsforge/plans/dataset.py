@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.constants import CYCLICAL_COLUMNS, FUEL_COLUMNS, LAG_HOURS, MARKET_ZONE
-from tsforge.functions.columns import constant_columns, cyclical, filter_years
+from tsforge.functions.columns import constant_columns, cyclical, filter_years, round2, signed_exp
 from tsforge.operators import clean, features, joins, models, scaling, splits, windows
 from tsforge.operators.evaluate import paired_stats
 from tsforge.sources import io
@@ -103,6 +103,8 @@ def build_dataset(
         placed = splits.folds_expanding(index, [series], **split_options)
     else:
         placed = splits.full_set(index)
+    if shuffle is not None and scheme == "folds":
+        raise ValueError("shuffling would mix the windows of different folds")
     if shuffle == "across":
         placed = splits.shuffle_across(placed, [series, "anchor"], seed)
     elif shuffle == "within":
@@ -166,9 +168,13 @@ def predict(
     series: str = "series",
     ts: str = "ts",
     log_space: bool = False,
+    fold: int | None = None,
 ) -> DataFrame:
     """A table of target dates -> 24 predicted and 24 actual prices each, with a status.
 
+    Predictions of a set with a scaled target are scaled back, then taken out of log space. A
+    set of folds needs the ``fold`` whose model this is.
+
     ``inputs`` is the model's input from the scaled ``past`` and ``future`` arrays; by
     default the scaled history of the target.
     """
@@ -179,12 +185,23 @@ def predict(
     asked = windows.request_windows(
         requests, aligned, [series], ts, roles["past_cols"], roles["future_cols"], roles["target_col"]
     )
+
+    def scaler(path: str) -> DataFrame:
+        params = scaling.load_scaler(spark, path)
+        if ("fold" in params.columns) != (fold is not None):
+            raise ValueError("a fold is needed for a set of folds, and for no other")
+        return params if fold is None else params.where(F.col("fold") == fold)
+
     ready = asked.where("status = 'ok'")
     for name, columns in (("past", roles["past_cols"]), ("future", roles["future_cols"])):
-        params = scaling.load_scaler(spark, getattr(dataset, f"{name}_scaler"))
-        ready = scaling.standard_apply_windows(ready, name, params, columns)
+        ready = scaling.standard_apply_windows(ready, name, scaler(getattr(dataset, f"{name}_scaler")), columns)
     given = models.last_values(roles["target_col"], 168) if inputs is None else inputs
-    scored = models.score_windows(ready, model, given, inverse="signed_exp" if log_space else None, rounded=True)
+    scored = models.score_windows(ready, model, given)
+    if dataset.target_scaler is not None:
+        scored = scaling.target_unscale(scored, scaler(dataset.target_scaler), "predicted")
+    if log_space:
+        scored = scored.withColumn("predicted", F.transform("predicted", signed_exp))
+    scored = scored.withColumn("predicted", F.transform("predicted", round2))
     done = scored.select("target_date", series, "predicted", "actual", "status")
     missed = asked.where("status <> 'ok'").select(
         "target_date",

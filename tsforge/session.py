@@ -72,10 +72,9 @@ def materialise(df, name: str = "cut"):
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A handful of constant rows as part of the plan, so that Spark knows their size."""
+    """A handful of constant rows (columns, models, draws: small by nature) as part of the plan, so that Spark
+    knows their size."""
     schema = StructType.fromDDL(ddl)
-    if len(rows) > 10_000:
-        raise ValueError("literal_table is for constants; write data to a table")
 
     def cell(value, kind):
         if isinstance(value, (list, tuple)):
