@@ -130,6 +130,26 @@ def test_requests_have_a_status(spark, hours):
     assert len(got[days[1]].past) == 168 and got[days[1]].actual[0] == 24.0 * 8
 
 
+@pytest.mark.parametrize("start, first, days", [("2024-03-10", datetime(2024, 3, 25), 17), ("2024-10-12", datetime(2024, 10, 25), 14)])
+def test_requests_hold_a_week_of_hours_around_clock_changes(spark, hours, start, first, days):
+    df = hours(start, 24 * 40)
+    requests = spark.range(days).selectExpr(
+        f"to_utc_timestamp(timestamp_ntz '{first}' + make_dt_interval(cast(id as int)), 'Europe/Paris') AS target_date"
+    )
+    got = w.request_windows(requests, df, S, "ts", ["value"], ["value"], "value")
+    rows = got.selectExpr(
+        "target_date", "status", "size(past) AS n", "unix_seconds(target_date) - unix_seconds(past[0].ts) AS back", "size(future) AS m"
+    ).collect()
+    short = {r.target_date for r in rows if r.status != "ok"}
+    assert len(rows) == days and all((r.n, r.back) == (168, 168 * 3600) for r in rows)
+    # The horizon is cut off at local midnight, so only the 23-hour day is short.
+    assert short == ({datetime(2024, 3, 30, 23)} if first.month == 3 else set())
+    made = w.make_windows(df, S, "ts", ["value"], ["value"], "value")
+    made = made.selectExpr("anchor AS target_date", "transform(past, r -> r.value) AS want")
+    both = got.selectExpr("target_date", "transform(past, r -> r.value) AS had").join(made, "target_date")
+    assert both.count() == days and both.where("had <> want").count() == 0
+
+
 def test_ranks_match_a_plain_window(spark, hours):
     df = hours("2024-01-01", 2500, skip=set(range(100, 900))).unionByName(hours("2024-02-01", 77, series="B"))
     want = df.withColumn("want", F.row_number().over(Window.partitionBy("series").orderBy("ts")))

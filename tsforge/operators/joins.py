@@ -65,6 +65,7 @@ def assemble_market(
     forecast_types: Sequence[str],
     pairs: Sequence[tuple[str, str]],
     entity_codes: Mapping[str, str] = ENTITY_CODES,
+    ignore_unlisted: bool = False,
 ) -> DataFrame:
     """One wide row per hour from the four typed tables.
 
@@ -74,8 +75,9 @@ def assemble_market(
     each table is averaged to the hour in its own partial-combining aggregate, and one
     aggregate by hour lays all cells out, so no reading is shuffled for a join.
 
-    Entities without a code stop the job; flows with such an end are dropped. Where two
-    names of one entity report the same flow, the later name in sort order wins.
+    Entities without a code stop the job; flows with such an end are dropped. A cell outside
+    ``codes``, ``forecast_types`` and ``pairs`` stops the job, or is left out where
+    ``ignore_unlisted`` says so. Where two names of one entity report the same flow, the later name in sort order wins.
     """
 
     def column(suffix):
@@ -110,5 +112,11 @@ def assemble_market(
     )
     measures = ["price", "forecast_load", *forecast_types]
     names = [f"{c}_{m}" for m in measures for c in codes] + [f"{a}_{b}_flow" for a, b in pairs]
+    listed = F.col("column").isin(names)
+    if ignore_unlisted:
+        long = long.where(listed)
+    else:
+        stop = F.raise_error(F.concat(F.lit("a column that is not listed: "), F.col("column")))
+        long = long.withColumn("column", F.when(listed, F.col("column")).otherwise(stop))
     wide = long.groupBy("ts").agg(*[F.max(F.when(F.col("column") == n, F.col("value"))).alias(n) for n in names])
     return rename_substring(wide, FORECAST_RENAMES)

@@ -240,12 +240,13 @@ def request_windows(
     before, the first ``horizon`` rows of the day, the day's actuals and a ``status``
     (``ok``, ``short_past``, ``short_future``; a date no series has rows for is ``no_data``).
 
-    The request is widened to the days it needs and joined to the rows by day, so rows no
-    request asks for are dropped by the join, and each (request, series) group holds at
-    most nine days.
+    History is absolute time: after a 23-hour day the last ``history`` hours reach into one
+    more local day, after a 25-hour day they end an hour short of a week of local days. The
+    request is widened to the local days it may need and joined to the rows by day, so rows
+    no request asks for are dropped by the join.
     """
     used = list(dict.fromkeys([*past, *future, target]))
-    days_back = math.ceil(history / 24)
+    days_back = math.ceil(history / 24) + 1
     rows = df.select(*series, ts, *used).withColumn("_day", _day_number(ts, tz))
     asked = requests.select(day).distinct()
     number = _day_number(F.col(day), tz)
@@ -253,8 +254,9 @@ def request_windows(
         day, F.explode(F.sequence(number - days_back, number + math.ceil(horizon / 24) - 1)).alias("_day")
     )
     row = F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in used])
+    recent = F.unix_seconds(ts) >= F.unix_seconds(day) - history * HOUR
     grouped = (
-        dedupe_first(rows.join(wanted, "_day").drop("_day"), [day, *series, ts])
+        dedupe_first(rows.join(wanted, "_day").where(recent).drop("_day"), [day, *series, ts])
         .groupBy(day, *series)
         .agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     )
