@@ -32,23 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests) one is chosen under the warehouse folder, which every
-    executor of such a session reaches.
+    Where the setting is absent and the whole session runs in one process (tests), one is chosen under the warehouse
+    folder; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
         named = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "llm-scratch")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
     Lineage ends at durable files: a lost executor costs a re-read, and what depends on how
     rows met in a batch is decided once.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

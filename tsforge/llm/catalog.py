@@ -3,11 +3,14 @@
 from tsforge.llm import (  # noqa: F401
     bytebpe,
     chunks,
+    divergence,
+    idfiles,
     jaccard,
     lines,
     ordinal,
     packing,
     quality,
+    ranked,
     tokencount,
     urlfilter,
     vectors,
