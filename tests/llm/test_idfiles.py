@@ -43,9 +43,11 @@ def test_parts_are_the_whole(library):
     import pyarrow as pa
 
     rng = random.Random(3)
-    odd = " \n\t\r\x0b\x0c\x1c\x85\xa0 　́̊aeA'sS'tllΣςİiẞ0١९漢字🙂.,!?-_<|endoftext|>\x00ﬁ가가"
-    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    texts += ["<|endoftext|>", "a <|startoftext|>b\n<|endoftext|>", "é ́e", "x" * 3000, None, ""]
+    odd = " \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u0301\u030a\u0338\u037e\u212a\u2126aeA'sS'tllΣςİiẞéÉ×÷ß0129١९漢字🙂.,;:!?()\"-_<>=|"
+    odd = [*odd, "<|endoftext|>", "\x00", "ﬁ", "가", "가", "e\u0301", "'ll", "'re"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["".join(rng.choice("aé,.'s1 ") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "a <|startoftext|>b\n<|endoftext|>", "é \u0301e", "x" * 3000, "é" * 900 + "," * 900, None, ""]
     tok, got = idfiles.WordIds(PATH), []
     for _, ids, offsets in tok.encode(pa.array(texts), 1):
         got += [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
@@ -67,10 +69,13 @@ def test_compressed_by_itself_under_the_dictionary(spark, make, library):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
     rows = [(i, " ".join(rng.choices(words, k=40))) for i in range(1500)]
-    encoded = idfiles.encode(make(rows), PATH)
-    dictionary = idfiles.train(encoded)
+    docs = make(rows)
+    dictionary = idfiles.train(docs, PATH)
     assert dictionary
-    sizes = [idfiles.write(encoded, scratch_path(spark, "ids"), d).agg({"size": "sum"}).first()[0] for d in (dictionary, b"")]
+    sizes = []
+    for d in (dictionary, b""):
+        frames = idfiles.encode(docs, PATH, d)
+        sizes.append(idfiles.write(frames, scratch_path(spark, "ids"), d).agg({"size": "sum"}).first()[0])
     assert sizes[0] < 0.8 * sizes[1]
 
 
