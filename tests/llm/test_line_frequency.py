@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from tsforge.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +57,10 @@ def test_common_lines_deplete(make):
 
 def test_empty(make):
     assert quality.verdicts(quality.measure(make([], "doc_id long, text string, source string"))).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", " ", "one two three", "a\n\nb"])
+def test_batches_of_short_texts(make, text):
+    rows = [(1, text, "a")]
+    got = quality.verdicts(quality.measure(make(rows, "doc_id long, text string, source string"))).select(NAMES).collect()
+    assert [tuple(r) for r in got] == plain(rows, 20, 50)

@@ -46,6 +46,15 @@ def test_pieces_are_cut_where_no_match_is(fuzz):
     assert list(bytebpe.pieces("x" * 500, 50)) == ["x" * 500]
 
 
+@pytest.mark.parametrize("sign", ["\u0558", "\u088f", "\u0c5c", "\u208f", "\U000323ff", "é", "漢", "_", "²"])
+def test_long_texts_equal_the_library(sign):
+    """Characters that Unicode versions class differently, where a text might be cut."""
+    whole = bytebpe.encoding(RANKS, public_tokenizers.PATTERN)
+    n = bytebpe.PIECE
+    for text in ("x" * n + f"{sign}'ll end", "x" * (n - 1) + f" {sign}{sign}'ll, {sign} 've", f"w{sign} " * n, f"{sign}'s " * n):
+        assert np.frombuffer(bytebpe.encode_text(text, RANKS, public_tokenizers.PATTERN), "<u4").tolist() == whole.encode_ordinary(text)
+
+
 def test_query_digests(spark):
     from tsforge.llm.catalog import QUERIES
 

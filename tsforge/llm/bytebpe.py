@@ -5,9 +5,9 @@ turns packed ids into raw bytes (a cut in mid-character stays a cut: nothing is
 
 Long texts are split with a regular expression before the library sees them, only at places
 that no match of the pre-token pattern crosses: after a letter or digit, before anything else.
-(No alternative of the pattern takes a letter or digit and then another kind of character.)
-So ids equal those of the whole text, while one call holds a bounded piece; a run of letters
-that has no such place stays whole.
+(No alternative of the pattern takes a letter or digit and then another kind of character.) Both
+sides are characters that all versions of Unicode class alike. So ids equal those of the whole text,
+while one call holds a bounded piece; a run that has no such place stays whole.
 
 Defined results: null text counts as empty, has no ids and decodes to no bytes. Rows map one to
 one, so ties, repeated rows, empty tables and extra columns are untouched; extra columns with
@@ -30,7 +30,11 @@ from tsforge.llm.base import query, table
 
 #: Characters of one call of the library.
 PIECE = 1 << 16
-_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])")
+#: Letters and digits, and other characters, that every version of Unicode since 3.0 classes alike.
+_SAFE = regex.compile(
+    r"(?<=[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])"
+    r"(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\u3001\u3002])"
+)
 
 
 @lru_cache(maxsize=4)

@@ -57,17 +57,14 @@ def normal_lines(raw: np.ndarray, w: tx.Words, begin: np.ndarray, end: np.ndarra
     """(hash of the normalised line, its words) for each line."""
     h = tx.word_hashes(raw, w, lower=True)
     first, last = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
-    up, down = tx._tables(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    n = last - first
-    line = tx.mix((total[last] - total[first]) * down[first] + n.astype(np.uint64) * tx.GRAM[2])
-    return line, n
+    return tx.sequence_hashes(h, first, last), last - first
 
 
 def repeated(h: np.ndarray, w: tx.Words, docs: int, n: int = 5) -> np.ndarray:
     """Words of each text that lie in an ``n``-word window found twice or more in it."""
     g, at = tx.grams(h, w, n)
+    if not len(g):
+        return np.zeros(docs, dtype=np.int64)
     key = tx.mix(g ^ (w.doc[at].astype(np.uint64) * tx.BASE))
     order = np.argsort(key, kind="stable")
     same = np.r_[False, key[order][1:] == key[order][:-1]]

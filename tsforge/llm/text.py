@@ -1,13 +1,14 @@
 """Vectorised text primitives on Arrow string batches: words, word hashes, shingle sets.
 
 All of it works on the UTF-8 bytes of many texts at once. Word separators are ASCII, so no
-character is ever cut. Hashes are 64 bits: a polynomial over the bytes of a word, then a
-mixing step; equal strings have equal hashes everywhere and in every run.
+character is ever cut. Hashes are 64 bits: a mixing step after every eight bytes, started from the
+length, and BLAKE2b for long spans; equal strings have equal hashes everywhere and in every run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,10 @@ _SEPARATOR = np.isin(np.arange(256), SEPARATORS)
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
+#: Bytes that stay of a last block of this many bytes.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Blocks of a span that are mixed one after the other; longer spans take a digest.
+LONGEST = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,23 +44,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (modulo 2**64), kept between calls."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE + SLICE // 4)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, factor in (("up", BASE), ("down", inverse)):
-            steps = np.full(size, factor, dtype=np.uint64)
-            steps[0] = 1
-            if size > 4 * SLICE:
-                return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, BASE)]), np.cumprod(
-                    np.r_[np.uint64(1), np.full(n - 1, inverse)]
-                )
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
-
-
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``size`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -112,15 +99,38 @@ def word_hashes(raw: np.ndarray, w: Words, lower: bool = False) -> np.ndarray:
     return span_hashes(_LOWER[raw] if lower else raw, w.start, w.end)
 
 
+def _chained(
+    n: np.ndarray, blocks: np.ndarray, load: Callable[[np.ndarray, int], np.ndarray], whole: Callable[[int], bytes]
+) -> np.ndarray:
+    """Start from lengths ``n`` and mix in ``blocks`` blocks, all spans a block at a time."""
+    h = mix(n.astype(np.uint64) * GRAM[0] + GRAM[1])
+    live, k = np.flatnonzero((blocks > 0) & (blocks <= LONGEST)), 0
+    while len(live):
+        h[live] = mix(h[live] ^ load(live, k))
+        k += 1
+        live = live[blocks[live] > k]
+    for i in np.flatnonzero(blocks > LONGEST).tolist():
+        h[i] = np.frombuffer(hashlib.blake2b(whole(i), digest_size=8).digest(), dtype="<u8")[0]
+    return h
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """One 64-bit hash per byte range, the same wherever the range lies."""
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * GRAM[0])
+    n = end - start
+    # Eight bytes from every place on; the view is not aligned, what is taken from it is.
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+    def load(live: np.ndarray, k: int) -> np.ndarray:
+        return eight[start[live] + 8 * k] & _TAIL[np.minimum(n[live] - 8 * k, 8)]
+
+    return _chained(n, -(-n // 8), load, lambda i: raw[start[i] : end[i]].tobytes())
+
+
+def sequence_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per range of hashes."""
+    n = last - first
+    return _chained(n, n, lambda live, k: h[first[live] + k], lambda i: h[first[i] : last[i]].tobytes())
 
 
 def grams(h: np.ndarray, w: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -62,7 +62,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 def _centres(classes: DataFrame, sample_rows: int) -> dict[int, tuple[int, np.ndarray]]:
     """For each vector length: (number of its first cell, centres)."""
-    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
+    lengths = classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).toArrow()  # one row a length
+    sizes = dict(zip(lengths["d"].to_pylist(), lengths["n"].to_pylist()))
     sample = classes.select("key", "vector").orderBy(F.xxhash64("key")).limit(sample_rows).toArrow()
     lengths = np.array([len(v) for v in sample["vector"]], dtype=np.int64)
     out, first = {}, 0
