@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tsforge.functions.columns import signed_log
+from tsforge.operators import crossval
 from tsforge.operators import evaluate as e
 from tsforge.operators.splits import kfold as assign_folds
 from tsforge.plans import views as v
@@ -74,22 +75,43 @@ def max_signed_error(spark, folder):
     return _rounded(e.max_signed_error(v.scored(spark, folder), by=S), S)
 
 
+_HOME = """r AS (SELECT {k}, {t} AS stamp, row_number() OVER (PARTITION BY {k} ORDER BY {t}) - 1 AS k, count(*) OVER (PARTITION BY {k}) AS n FROM {v}),
+    f AS (SELECT {k}, stamp, CASE WHEN k < (n % 5) * (n // 5 + 1) THEN k // (n // 5 + 1) ELSE n % 5 + (k - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS home FROM r)"""
+
+
+@query(
+    "kfold_scores",
+    f"""WITH a AS (SELECT 'ALL' AS series, ts, click AS x, "view" AS y FROM {{wide}}), {_HOME.format(k='series', t='ts', v='a')},
+    z AS (SELECT home, x, y FROM a JOIN f ON f.stamp = a.ts),
+    m AS (SELECT i, regr_slope(y, x) AS s, regr_intercept(y, x) AS c, count(*) AS n FROM z, range(5) t(i) WHERE home <> i GROUP BY 1)
+    SELECT i::INTEGER AS fold, any_value(n) AS train_rows, count(*) AS "rows", {r6('avg(pow(y - s * x - c, 2))')} AS mse, {r6('avg(pow(y - s * x - c, 2))')} AS val_mse,
+      {r6('avg(abs(y - s * x - c))')} AS mae FROM z JOIN m ON home = i GROUP BY 1""",
+)
+def kfold_scores(spark, folder):
+    """Five unshuffled folds of the hours, each scored by the model of the other four. The squared error comes
+    twice: from the subtracted moments (``val_mse``) and from the rows."""
+    rows = v.wide(spark, folder).select(F.lit("ALL").alias("series"), "ts", F.array("click").alias("x"), F.array("view").alias("y"))
+    fits, scores = crossval.cross_validate(assign_folds(rows, S, "ts"), inputs=1)
+    own = scores.where("split = 'val'").join(fits.select("fold", "train_rows", "val_mse"), "fold")
+    return own.select("fold", "train_rows", "rows", *[v.r6(c).alias(c) for c in ("mse", "val_mse", "mae")])
+
+
 @query(
     "fold_mean",
-    f"""WITH r AS (SELECT series, anchor, row_number() OVER (PARTITION BY series ORDER BY anchor) - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM {{windows}}),
-    f AS (SELECT series, anchor, CASE WHEN k < (n % 5) * (n // 5 + 1) THEN k // (n // 5 + 1) ELSE n % 5 + (k - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END AS home FROM r),
-    s AS (SELECT i AS fold, CASE WHEN home = i THEN 'val' ELSE 'train' END AS split, avg((y - predicted) * (y - predicted)) AS mse, {_RMSE} AS rmse, {_MAE} AS mae
-      FROM {{scored}} JOIN f USING (series, anchor), (SELECT unnest(range(5)) AS i) GROUP BY 1, 2)
+    f"""WITH {_HOME.format(k='series', t='anchor', v='{windows}')},
+    z AS (SELECT s.hour, s.y, avg(s.predicted) OVER (PARTITION BY s.series, s.anchor) AS x, home FROM {{scored}} s JOIN f ON f.series = s.series AND f.stamp = s.anchor),
+    m AS (SELECT i, hour, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM z, range(5) t(i) WHERE home <> i GROUP BY 1, 2),
+    e AS (SELECT i AS fold, CASE WHEN home = i THEN 'val' ELSE 'train' END AS split, y - a * x - b AS e FROM z JOIN m USING (hour)),
+    s AS (SELECT fold, split, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM e GROUP BY 1, 2)
     SELECT split, {r6('avg(mse)')} AS mse, {r6('avg(rmse)')} AS rmse, {r6('avg(mae)')} AS mae FROM s GROUP BY 1""",
 )
 def fold_mean(spark, folder):
-    folded = assign_folds(v.naive_forecast(spark, folder), S, "anchor").withColumnRenamed("fold", "home")
-    hours = v.stack_hours(folded, ["home"], ["y", "predicted"])
-    # Each row takes part in every fold, once as validation.
-    hours = hours.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn(
-        "split", F.when(F.col("home") == F.col("fold"), "val").otherwise("train")
-    )
-    return _rounded(e.fold_mean(e.fold_scores(hours)), ["split"])
+    """For each fold, the 24 hours of a day from the mean of the same day a week before, with scaler and model of
+    the other folds; scores of both splits, averaged over the folds."""
+    folded = assign_folds(v.naive_forecast(spark, folder), S, "anchor")
+    mean = F.aggregate("predicted", F.lit(0.0), lambda a, x: a + x) / 24
+    _, scores = crossval.cross_validate(folded.select("fold", F.array(mean).alias("x"), "y"), inputs=1, targets=24)
+    return _rounded(e.fold_mean(scores), ["split"])
 
 
 _LOG = "sign({0}) * ln(1 + abs({0}))"
