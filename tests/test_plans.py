@@ -58,3 +58,11 @@ def test_scans_read_only_what_is_used(spark):
 def test_partial_aggregation_before_the_shuffle(spark):
     plan = _plan(v.hourly(spark, FOLDER))
     assert plan.index("functions=[avg") < plan.index("Exchange hashpartitioning") < plan.index("functions=[partial_avg")
+
+
+@pytest.mark.parametrize("name, exchanges, scans", [("segments", 3, 2), ("split_fraction_gap", 4, 2), ("folds_expanding", 4, 2)])
+def test_few_exchanges_beyond_the_input(spark, name, exchanges, scans):
+    """The input of each is one exchange (hourly means, daily sums), reused where it is read twice."""
+    plan = _plan(QUERIES[name](spark, FOLDER))
+    assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange hashpartitioning", plan)) <= exchanges + plan.count("FileScan")
+    assert plan.count("FileScan") <= scans

@@ -114,3 +114,40 @@ def test_report_gaps(index):
     cut = p.split_fraction_gap(index, S).where("series = 'A'")
     row = p.split_gaps(p.split_report(cut)).first()
     assert row.train_val_gap >= 192 and row.val_test_gap >= 192
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 9, 23, 60, 400])
+@pytest.mark.parametrize("step", [1, 3])
+def test_splits_of_any_length_by_definition(spark, n, step):
+    anchors = [datetime(2023, 1, 1, 23) + timedelta(days=i * step) for i in range(n) if i % 11 != 4]
+    n, far = len(anchors), timedelta(hours=192 + 168 + 23)
+    df = spark.createDataFrame([("A", a, a) for a in anchors], "series STRING, anchor TIMESTAMP, window_date TIMESTAMP")
+    share = lambda m: int(round(m * 0.2, 9))
+    k = share(n)
+    n_train = n - 2 * k
+    want = {(a, "train") for a in anchors[:n_train]}
+    start = next((i for i in range(n_train, n) if n_train and anchors[i] >= anchors[n_train - 1] + far), None)
+    if start is not None:
+        want |= {(a, "val") for a in anchors[start : start + k]}
+        end = anchors[min(start + k, n) - 1]
+        want |= {(a, "test") for a in anchors[start + k :] if a >= end + far}
+    assert {(r.anchor, r.split) for r in p.split_fraction_gap(df, S).collect()} == want
+
+    rest = n - k
+    want = set()
+    start = next((i for i in range(rest, n) if rest and anchors[i] >= anchors[rest - 1] + far), None)
+    if start is not None:
+        want |= {(a, 0, "test") for a in anchors[start : start + k]}
+    for fold in range(1, 6):
+        size = fold * (rest // 5)
+        train = size - share(size)
+        want |= {(a, fold, "train") for a in anchors[:train]}
+        want |= {(a, fold, "val") for a in anchors[train:size] if train and a >= anchors[train - 1] + far}
+    assert {(r.anchor, r.fold, r.split) for r in p.folds_expanding(df, S).collect()} == want
+
+
+def test_draws_can_be_repeated_elsewhere(spark):
+    import hashlib
+
+    got = spark.range(50).select("id", p.md5_draw(["id"], seed=3).alias("draw")).collect()
+    assert [r.draw for r in got] == [int(hashlib.md5(f"3|{r.id}".encode()).hexdigest()[:15], 16) for r in got]

@@ -163,3 +163,31 @@ def test_running_total_matches_a_plain_window(spark, hours):
     over = Window.partitionBy("series").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     both = ordered.running_total(df, S, "ts", F.col("value"), "got").withColumn("want", F.sum("value").over(over))
     assert both.where("got <> want").count() == 0
+
+
+@pytest.mark.parametrize("width, gap", [(3600, 3600), (7200, 3600), (5 * 3600, 3600), (86400, 7200), (28 * 86400, 3600)])
+def test_segments_by_definition_whatever_the_buckets(spark, width, gap):
+    """Runs inside a bucket, over one edge, over many buckets, single rows, and several in a bucket."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(width + gap)
+    rows, want, first = [], [], datetime(2024, 1, 1)
+    for series in "ABCDE":
+        at, stamps = first, []
+        for _ in range(rng.randint(0, 30)):
+            for _ in range(rng.choice([1, 1, 2, 5, 40])):
+                stamps.append(at)
+                at += timedelta(seconds=rng.choice([600, 1800, 3600]))
+            at += timedelta(seconds=rng.choice([3601, 7200, 7201, 20000, 400000]))
+        rows += [(series, t) for t in stamps]
+        run = []
+        for t in stamps:
+            if run and (t - run[-1][1]).total_seconds() <= gap:
+                run[-1] = (run[-1][0], t, run[-1][2] + 1)
+            else:
+                run.append((t, t, 1))
+        want += [(series, k, *r) for k, r in enumerate(run)]
+    df = spark.createDataFrame(rows + [("A", None)], "series STRING, ts TIMESTAMP").repartition(4)
+    got = w.segments(df, ["series"], "ts", gap, width)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

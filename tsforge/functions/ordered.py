@@ -177,6 +177,35 @@ def rank_in_series(
     return _ranked(bucketed(df, ts, width), series, [ts, *ties], rank, total)
 
 
+def bucket_index(df: DataFrame, series: Sequence[str], ts: str, width: int = BUCKET_SECONDS) -> DataFrame:
+    """One row per series and bucket: ``_at``, its stamps in order (microseconds), ``_offset``, the rows of the
+    series before it, and ``_n``, the rows of the series. For sparse rows such as daily forecast origins,
+    of which a bucket holds a few.
+
+    ``stamp_at`` and ``rank_from`` find ranks and stamps in it: the bucket that holds a boundary
+    follows from the counts, and only that bucket is looked into. All of them share one partitioning.
+    """
+    stamps = bucketed(df.select(*series, ts), ts, width).groupBy(*series, BUCKET)
+    index = stamps.agg(F.sort_array(F.collect_list(F.unix_micros(ts))).alias("_at"))
+    held = F.size("_at").cast("long")
+    return index.withColumn("_offset", F.coalesce(F.sum(held).over(_before(series)), F.lit(0))).withColumn(
+        "_n", F.sum(held).over(Window.partitionBy(*series))
+    )
+
+
+def stamp_at(series: Sequence[str], rank: Column) -> Column:
+    """Stamp of the row of a series that has ``rank``, from 1; null beyond its ends."""
+    place = F.when(rank > F.col("_offset"), (rank - F.col("_offset") - 1).cast("int"))
+    return F.max(F.get("_at", place)).over(Window.partitionBy(*series))
+
+
+def rank_from(series: Sequence[str], stamp: Column) -> Column:
+    """Rank of the first row of a series at ``stamp`` or later; null where there is none."""
+    earlier = F.size(F.filter("_at", lambda a: a < stamp))
+    first = F.when(earlier < F.size("_at"), F.col("_offset") + earlier + 1)
+    return F.min(first).over(Window.partitionBy(*series))
+
+
 def rank_by_hash(
     df: DataFrame,
     groups: Sequence[str],
@@ -185,13 +214,14 @@ def rank_by_hash(
     rank: str = "_rank",
     total: str = "_n",
     bits: int = 16,
+    draw: Column | None = None,
 ) -> DataFrame:
-    """Seeded random permutation: rank by ``xxhash64(ids, seed)`` within ``groups``.
+    """Seeded random permutation: rank by ``xxhash64(ids, seed)`` within ``groups``, or by another 64-bit ``draw``.
 
     Buckets are the leading bits of the hash, so they are even whatever the data are, and
     there are at most ``2**bits`` of them per group. Equal ids must be unique rows.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(*ids, F.lit(seed)))
+    hashed = df.withColumn("_hash", F.xxhash64(*ids, F.lit(seed)) if draw is None else draw)
     rows = hashed.withColumn(BUCKET, F.shiftright("_hash", 64 - bits).cast("long"))
     return _ranked(rows, groups, ["_hash", *ids], rank, total).drop("_hash")
 

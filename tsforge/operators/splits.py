@@ -71,50 +71,33 @@ def split_fraction_gap(
     gap: int | None = None,
 ) -> DataFrame:
     """Chronological split by window. Validation takes its number of windows from the first
-    one far enough after training; test takes all windows far enough after validation."""
-    far = anchor_gap() if gap is None else gap
-    ranked = ordered.rank_in_series(windows, series, anchor)
-    n, at, rank = F.col("_n"), F.unix_seconds(anchor), F.col("_rank")
+    one far enough after training; test takes all windows far enough after validation.
+
+    The boundaries of a series are stamps, found in its bucket index, and joined back once; anchors of a
+    series are distinct.
+    """
+    far = 1_000_000 * (anchor_gap() if gap is None else gap)
+    n = F.col("_n")
     n_val = _share(n, val)
     n_train = n - _share(n, test) - n_val
-    slim = ranked.select(*series, at.alias("_at"), "_rank", n_val.alias("_n_val"), n_train.alias("_n_train"))
-
-    # Three passes over one narrow summary input, each a per-series aggregate.
-    train_end = slim.groupBy(*series).agg(
-        F.max(F.when(F.col("_rank") <= F.col("_n_train"), F.col("_at"))).alias("_train_end")
-    )
-    val_start = (
-        ordered.spread_join(slim, train_end, series, "_at")
-        .groupBy(*series)
-        .agg(
-            F.first("_train_end").alias("_train_end"),
-            F.first("_n_train").alias("_n_train"),
-            F.first("_n_val").alias("_n_val"),
-            F.min(
-                F.when(
-                    (F.col("_rank") > F.col("_n_train")) & (F.col("_at") >= F.col("_train_end") + far),
-                    F.col("_rank"),
-                )
-            ).alias("_val_start"),
-        )
-        .withColumn("_val_stop", F.col("_val_start") + F.col("_n_val"))
-    )
-    bounds = (
-        ordered.spread_join(slim.select(*series, "_at", "_rank"), val_start, series, "_at")
-        .groupBy(*series)
-        .agg(
-            F.first("_n_train").alias("_n_train"),
-            F.first("_val_start").alias("_val_start"),
-            F.first("_val_stop").alias("_val_stop"),
-            F.max(F.when(F.col("_rank") < F.col("_val_stop"), F.col("_at"))).alias("_val_end"),
-        )
+    found = ordered.bucket_index(windows, series, anchor)
+    found = found.withColumn("_train_end", ordered.stamp_at(series, n_train))
+    found = found.withColumn("_first", ordered.rank_from(series, F.col("_train_end") + far))
+    first = F.when(F.col("_first").isNotNull(), F.greatest("_first", n_train + 1))
+    found = found.withColumns(
+        {
+            "_val_start": ordered.stamp_at(series, first),
+            "_val_end": ordered.stamp_at(series, F.when(first.isNotNull(), F.least(first + n_val - 1, n))),
+        }
     )
+    bounds = found.groupBy(*series).agg(*[F.first(c).alias(c) for c in ("_train_end", "_val_start", "_val_end")])
+    at = F.unix_micros(anchor)
     split = (
-        F.when(rank <= F.col("_n_train"), "train")
-        .when((rank >= F.col("_val_start")) & (rank < F.col("_val_stop")), "val")
-        .when((rank >= F.col("_val_stop")) & (at >= F.col("_val_end") + far), "test")
+        F.when(at <= F.col("_train_end"), "train")
+        .when((at >= F.col("_val_start")) & (at <= F.col("_val_end")), "val")
+        .when((at > F.col("_val_end")) & (at >= F.col("_val_end") + far), "test")
     )
-    placed = ordered.spread_join(ranked, bounds, series, anchor)
+    placed = ordered.spread_join(windows, bounds, series, anchor)
     return placed.withColumn("split", split).where(F.col("split").isNotNull()).select(*windows.columns, "split")
 
 
@@ -165,40 +148,40 @@ def folds_expanding(
     """Hold out the last ``test`` share (fold 0, split ``test``); fold ``i`` is the first
     ``i/folds`` of the rest, its last ``val`` share validation, both after a gap.
 
-    A window comes out once per fold that uses it. The fold list is a literal array, and
-    fold boundaries are found by rank from ``folds + 1`` values per series.
+    A window comes out once per fold that uses it. The fold list is a literal array, and the boundaries of a
+    series are stamps, found in its bucket index and joined back once; anchors of a series are distinct.
     """
-    far = anchor_gap() if gap is None else gap
-    ranked = ordered.rank_in_series(windows, series, anchor)
-    n, rank, at = F.col("_n"), F.col("_rank"), F.unix_seconds(anchor)
+    far = 1_000_000 * (anchor_gap() if gap is None else gap)
+    n, at = F.col("_n"), F.unix_micros(anchor)
     n_test = _share(n, test)
     n_rest = n - n_test
     size = [F.lit(i) * F.floor(n_rest / folds) for i in range(1, folds + 1)]
     n_train = [s - _share(s, val) for s in size]
-    # Last training anchor of each fold and of the outer training part.
-    ends = [F.max(F.when(rank <= k, at)).alias(f"_end_{i}") for i, k in enumerate([n_rest, *n_train])]
-    bounds = ranked.groupBy(*series).agg(*ends)
-    placed = ordered.spread_join(ranked, bounds, series, anchor)
+    found = ordered.bucket_index(windows, series, anchor)
+    stamps = {"_end_0": n_rest}
+    for i in range(1, folds + 1):
+        stamps |= {f"_end_{i}": n_train[i - 1], f"_size_{i}": size[i - 1]}
+    found = found.withColumns({name: ordered.stamp_at(series, rank) for name, rank in stamps.items()})
     # The test set starts at the first window after the gap and is as long as planned.
-    first_test = ordered.spread_join(ranked, bounds, series, anchor).groupBy(*series).agg(
-        F.min(F.when((rank > n_rest) & (at >= F.col("_end_0") + far), rank)).alias("_test_start")
+    found = found.withColumn("_first", ordered.rank_from(series, F.col("_end_0") + far))
+    first = F.when(F.col("_first").isNotNull(), F.greatest("_first", n_rest + 1))
+    found = found.withColumns(
+        {
+            "_test_start": ordered.stamp_at(series, first),
+            "_test_end": ordered.stamp_at(series, F.when(first.isNotNull(), F.least(first + n_test - 1, n))),
+        }
     )
-    placed = ordered.spread_join(placed, first_test, series, anchor)
-    roles = [
-        F.struct(
-            F.lit(0).alias("fold"),
-            F.when(
-                (rank >= F.col("_test_start")) & (rank < F.col("_test_start") + n_test), F.lit("test")
-            ).alias("split"),
-        )
-    ]
+    bounds = found.groupBy(*series).agg(*[F.first(c).alias(c) for c in (*stamps, "_test_start", "_test_end")])
+    placed = ordered.spread_join(windows, bounds, series, anchor)
+    tested = (at >= F.col("_test_start")) & (at <= F.col("_test_end"))
+    roles = [F.struct(F.lit(0).alias("fold"), F.when(tested, F.lit("test")).alias("split"))]
     for i in range(1, folds + 1):
-        late = at >= F.col(f"_end_{i}") + far
+        end = F.col(f"_end_{i}")
         roles.append(
             F.struct(
                 F.lit(i).alias("fold"),
-                F.when(rank <= n_train[i - 1], F.lit("train"))
-                .when((rank <= size[i - 1]) & late, F.lit("val"))
+                F.when(at <= end, F.lit("train"))
+                .when((at <= F.col(f"_size_{i}")) & (at > end) & (at >= end + far), F.lit("val"))
                 .alias("split"),
             )
         )
@@ -214,11 +197,17 @@ def full_set(windows: DataFrame) -> DataFrame:
 
 
 def shuffle_across(
-    df: DataFrame, ids: Sequence[str], seed: int = 0, split: str = "split", order=("train", "val", "test")
+    df: DataFrame,
+    ids: Sequence[str],
+    seed: int = 0,
+    split: str = "split",
+    order=("train", "val", "test"),
+    draw: Column | None = None,
 ) -> DataFrame:
     """Pool the splits, permute, and cut again to the original sizes. Seeded: the same rows
-    get the same places whatever the partitioning."""
-    ranked = ordered.rank_by_hash(df, [], ids, seed)
+    get the same places whatever the partitioning. ``draw`` is a 64-bit number of a row to order by in place of
+    the seeded hash of ``ids``."""
+    ranked = ordered.rank_by_hash(df, [], ids, seed, draw=draw)
     # The sizes are one row of three counts.
     sizes = df.agg(F.struct(*[F.count_if(F.col(split) == s).alias(s) for s in order]).alias("n"))
     counts = sizes.scalar()
@@ -237,15 +226,25 @@ def shuffle_across(
     )
 
 
-def shuffle_within(df: DataFrame, ids: Sequence[str], seed: int = 0, split: str = "split") -> DataFrame:
-    """Permute inside each split: ``position`` is the new place, from 1."""
-    return ordered.rank_by_hash(df, [split], ids, seed, rank="position").drop("_n")
+def shuffle_within(
+    df: DataFrame, ids: Sequence[str], seed: int = 0, split: str = "split", draw: Column | None = None
+) -> DataFrame:
+    """Permute inside each split: ``position`` is the new place, from 1. ``draw`` as in ``shuffle_across``."""
+    return ordered.rank_by_hash(df, [split], ids, seed, rank="position", draw=draw).drop("_n")
+
+
+def random_split(
+    df: DataFrame, ids: Sequence[str], percent: int = 80, seed: int = 0, draw: Column | None = None
+) -> DataFrame:
+    """Train with probability ``percent`` %, decided by the row's identity alone. ``draw`` as in ``shuffle_across``."""
+    number = F.xxhash64(*ids, F.lit(seed)) if draw is None else draw
+    return df.withColumn("split", F.when(F.pmod(number, F.lit(100)) < percent, "train").otherwise("test"))
 
 
-def random_split(df: DataFrame, ids: Sequence[str], percent: int = 80, seed: int = 0) -> DataFrame:
-    """Train with probability ``percent`` %, decided by the row's identity alone."""
-    draw = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(100))
-    return df.withColumn("split", F.when(draw < percent, "train").otherwise("test"))
+def md5_draw(ids: Sequence[str], seed: int = 0) -> Column:
+    """A 60-bit draw, the first 15 hex digits of the MD5 of ``seed|id|id…``, which other engines can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def kfold(df: DataFrame, series: Sequence[str], ts: str, folds: int = FOLDS, ties: Sequence[str] = ()) -> DataFrame:

@@ -56,13 +56,73 @@ def with_segments(df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR
     return ordered.running_total(seen, series, ts, flag, "seg").drop("_previous")
 
 
-def segments(df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR) -> DataFrame:
-    """``(series, seg, start, end, n)`` of contiguous runs."""
-    return (
-        with_segments(df.select(*series, ts), series, ts, gap)
-        .groupBy(*series, "seg")
+def segments(
+    df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR, width: int = ordered.BUCKET_SECONDS
+) -> DataFrame:
+    """``(series, seg, start, end, n)`` of contiguous runs; rows without a stamp are left out.
+
+    Rows are exchanged once, into buckets, and become runs there. A bucket's summary (its first and last run)
+    says which runs are open across its edges; summaries of a series, one a bucket, give each run
+    its number and each open run its full length. A run comes out of the bucket it starts in.
+    """
+    keys = [*series, ordered.BUCKET]
+    rows = ordered.bucketed(df.select(*series, ts).where(F.col(ts).isNotNull()), ts, width)
+    inside = ordered.row_window(series, ts)
+    jump = F.unix_seconds(ts) - F.lag(F.unix_seconds(ts)).over(inside) > gap
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rows.withColumn("_jump", F.coalesce(jump, F.lit(False)).cast("long"))
+    runs = (
+        numbered.withColumn("_run", F.sum("_jump").over(upto))
+        .groupBy(*keys, "_run")
         .agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("n"))
     )
+    first = F.col("_run") == 0
+    summary = runs.groupBy(*keys).agg(
+        F.max("_run").alias("_top"),
+        F.min("start").alias("_start"),
+        F.max("end").alias("_end"),
+        F.max(F.when(first, F.col("end"))).alias("_first_end"),
+        F.max(F.when(first, F.col("n"))).alias("_first_n"),
+    )
+    each = Window.partitionBy(*series).orderBy(ordered.BUCKET)
+    before = each.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = each.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = each.rowsBetween(1, Window.unboundedFollowing)
+    rest = each.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # A bucket whose first run goes on from the bucket before; one in which another run starts.
+    goes_on = F.unix_seconds("_start") - F.unix_seconds(F.lag("_end").over(each)) <= gap
+    summary = summary.withColumn("_joined", F.coalesce(goes_on, F.lit(False)))
+    starts = ~F.col("_joined") | (F.col("_top") > 0)
+    carried = summary.withColumns(
+        {
+            "_offset": F.coalesce(F.sum(F.col("_top") + 1).over(before), F.lit(0))
+            - F.sum(F.col("_joined").cast("long")).over(so_far),
+            "_joined_n": F.sum(F.when(F.col("_joined"), F.col("_first_n")).otherwise(0)).over(so_far),
+            "_joined_end": F.last(F.when(F.col("_joined"), F.col("_first_end")), ignorenulls=True).over(so_far),
+        }
+    )
+    # An open run ends in the next bucket in which another one starts, or with the series.
+    def there(c):
+        return F.coalesce(
+            F.first(F.when(starts, F.struct(F.col(c).alias("v"))), ignorenulls=True).over(later),
+            F.last(F.struct(F.col(c).alias("v"))).over(rest),
+        )["v"]
+
+    carried = carried.withColumns(
+        {"_more": there("_joined_n") - F.col("_joined_n"), "_until": there("_joined_end")}
+    ).select(*keys, "_offset", "_joined", "_top", "_more", "_until")
+    last = F.col("_run") == F.col("_top")
+    return (
+        runs.join(carried, keys)
+        .where(~(first & F.col("_joined")))
+        .select(
+            *series,
+            (F.col("_offset") + F.col("_run")).alias("seg"),
+            "start",
+            F.when(last, F.greatest("end", "_until")).otherwise(F.col("end")).alias("end"),
+            F.when(last, F.col("n") + F.col("_more")).otherwise(F.col("n")).alias("n"),
+        )
+    )
 
 
 def day_anchors(

@@ -84,54 +84,47 @@ def full_set(spark, folder):
     return fitted.withColumns({c: v.r6(c) for c in ("mean", "scale")})
 
 
+_DRAWN = "('0x' || substr(md5('7|' || series || '|' || epoch(anchor)::BIGINT::VARCHAR), 1, 15))::BIGINT"
+
+
+def _drawn(spark, folder):
+    """The calendar split with a draw for each window that SQL can repeat."""
+    rows = calendar(spark, folder).withColumns({"was": F.col("split"), "_sec": F.unix_seconds("anchor")})
+    return rows, p.md5_draw(["series", "_sec"], seed=7)
+
+
 @query(
     "shuffle_across",
     f"""WITH {_CALENDAR}, n AS (SELECT split, count(*) AS n, CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 ELSE 3 END AS o FROM cal GROUP BY 1),
-    s AS (SELECT split, n, sum(n) OVER (ORDER BY o)::BIGINT AS stop FROM n)
-    SELECT split, n AS windows, n AS places, stop - n + 1 AS first_place, stop AS last_place,
-      true AS mixed FROM s""",
+    s AS (SELECT split, sum(n) OVER (ORDER BY o) AS stop FROM n),
+    d AS (SELECT series, anchor, split AS was, row_number() OVER (ORDER BY {_DRAWN}) AS position FROM cal)
+    SELECT series, anchor, was, position, (SELECT arg_min(split, stop) FROM s WHERE stop >= position) AS split FROM d""",
 )
 def shuffle_across(spark, folder):
-    """Sizes are kept, every place is taken once, and windows change their split."""
-    before = calendar(spark, folder).withColumn("was", F.col("split"))
-    after = p.shuffle_across(before, ["series", "anchor"], seed=7)
-    return after.groupBy("split").agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.count_distinct("position").alias("places"),
-        F.min("position").alias("first_place"),
-        F.max("position").alias("last_place"),
-        (F.count_if(F.col("was") != F.col("split")) > 0).alias("mixed"),
-    )
+    """Every window with its old split, its place in the permutation and its new split."""
+    rows, draw = _drawn(spark, folder)
+    after = p.shuffle_across(rows, ["series", "anchor"], seed=7, draw=draw)
+    return after.select("series", "anchor", "was", F.col("position").cast("long").alias("position"), "split")
 
 
 @query(
     "shuffle_within",
-    f"""WITH {_CALENDAR} SELECT split, count(*) AS windows, count(*) AS places, 1::BIGINT AS first_place, count(*) AS last_place, true AS mixed FROM cal GROUP BY 1""",
+    f"""WITH {_CALENDAR} SELECT series, anchor, split AS was, split, row_number() OVER (PARTITION BY split ORDER BY {_DRAWN}) AS position FROM cal""",
 )
 def shuffle_within(spark, folder):
-    after = p.shuffle_within(calendar(spark, folder), ["series", "anchor"], seed=7)
-    return after.groupBy("split").agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.count_distinct("position").alias("places"),
-        F.min("position").alias("first_place"),
-        F.max("position").alias("last_place"),
-        (F.abs(F.corr("position", F.unix_seconds("anchor"))) < 0.5).alias("mixed"),
-    )
+    rows, draw = _drawn(spark, folder)
+    after = p.shuffle_within(rows, ["series", "anchor"], seed=7, draw=draw)
+    return after.select("series", "anchor", "was", "split", F.col("position").cast("long").alias("position"))
 
 
 @query(
     "random_split",
-    "SELECT count(*) AS rows_in, count(*) AS rows_out, true AS share_ok FROM orders",
+    """SELECT o_orderkey, CASE WHEN ('0x' || substr(md5('0|' || o_orderkey::VARCHAR), 1, 15))::BIGINT % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM orders""",
 )
 def random_split(spark, folder):
-    """Every order lands in one side, about 80 % of them in train."""
-    orders = v.table(spark, folder, "orders")
-    cut = p.random_split(orders, ["o_orderkey"])
-    return cut.agg(
-        F.count(F.lit(1)).alias("rows_in"),
-        F.count_if(F.col("split").isin("train", "test")).alias("rows_out"),
-        (F.abs(F.avg((F.col("split") == "train").cast("int")) - 0.8) < 0.04).alias("share_ok"),
-    )
+    """The side of every order; about 80 % of them are in train."""
+    orders = v.table(spark, folder, "orders").select("o_orderkey")
+    return p.random_split(orders, ["o_orderkey"], draw=p.md5_draw(["o_orderkey"]))
 
 
 @query(
