@@ -99,3 +99,15 @@ def test_ablation_uses_the_mean_of_the_scored_rows(spark):
     df = spark.createDataFrame([(1.0, 1.0), (3.0, 3.0), (100.0, None), (None, 5.0)], "x DOUBLE, y DOUBLE")
     row = m.mean_ablation(df, ["x"], "y", m.LinearForecast(np.ones(1), np.zeros(()))).first()
     assert (row.base_rmse, row.ablated_rmse, row.scored, row.left_out) == (0.0, 1.0, 2, 2)
+
+
+def test_draws_are_the_same_in_python_and_in_a_table(spark):
+    names = list(m.SEARCH_SPACE)
+    seeds = spark.createDataFrame([("0",), ("view",), ("view",)], "seed STRING")
+    got = m.draw_table(seeds, "seed", 20).collect()
+    assert len(got) == 40
+    for r in got:
+        one = m.draw_parameters(20, r.seed)[r.draw]
+        assert [r[n] for n in names] == pytest.approx([one[n] for n in names])
+        assert all(lo <= r[n] <= hi for n, (lo, hi, _) in m.SEARCH_SPACE.items())
+    assert len({tuple(r[n] for n in names) for r in got}) == 40

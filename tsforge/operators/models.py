@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -66,21 +67,42 @@ SEARCH_SPACE = {
 }
 
 
-def draw_parameters(draws: int, seed: int = 0, space: Mapping[str, tuple] = SEARCH_SPACE) -> list[dict]:
-    """``draws`` seeded parameter sets."""
-    rng = random.Random(seed)
-    found = []
-    for _ in range(draws):
-        one = {}
-        for name, (lo, hi, kind) in space.items():
-            if kind == "int":
-                one[name] = rng.randint(lo, hi)
-            elif kind == "log":
-                one[name] = float(np.exp(rng.uniform(np.log(lo), np.log(hi))))
-            else:
-                one[name] = rng.uniform(lo, hi)
-        found.append(one)
-    return found
+def _from_unit(u, lo, hi, kind: str, floor, exp):
+    """A draw between ``lo`` and ``hi`` from ``u`` in [0, 1)."""
+    if kind == "int":
+        return floor(lo + u * (hi - lo + 1))
+    if kind == "log":
+        return exp(math.log(lo) + u * (math.log(hi) - math.log(lo)))
+    return lo + u * (hi - lo)
+
+
+def draw_parameters(draws: int, seed: int | str = 0, space: Mapping[str, tuple] = SEARCH_SPACE) -> list[dict]:
+    """``draws`` seeded parameter sets. A draw depends on seed, number and name alone: the first 12 hex digits of
+    the MD5 of ``seed|number|name`` are a fraction of 16**12, so any engine can repeat a single draw."""
+
+    def unit(number: int, name: str) -> float:
+        return int(hashlib.md5(f"{seed}|{number}|{name}".encode()).hexdigest()[:12], 16) / 16**12
+
+    return [
+        {name: _from_unit(unit(k, name), *bounds, floor=math.floor, exp=math.exp) for name, bounds in space.items()}
+        for k in range(draws)
+    ]
+
+
+def draw_table(
+    seeds: DataFrame, seed: str, draws: int, space: Mapping[str, tuple] = SEARCH_SPACE
+) -> DataFrame:
+    """The same draws as a table, for each seed in a column (a number, or the name of a series that is searched by
+    itself): ``(seed, draw, <parameters>)``."""
+
+    def column(name: str, lo, hi, kind: str) -> Column:
+        text = F.concat_ws("|", F.col(seed).cast("string"), F.col("draw").cast("string"), F.lit(name))
+        unit = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / 16**12
+        drawn = _from_unit(unit, lo, hi, kind, floor=F.floor, exp=F.exp)
+        return drawn.cast("int" if kind == "int" else "double").alias(name)
+
+    numbered = seeds.select(seed).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return numbered.select(seed, "draw", *[column(name, *bounds) for name, bounds in space.items()])
 
 
 def random_search(

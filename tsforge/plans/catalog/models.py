@@ -29,6 +29,28 @@ def gbt_fit_predict(spark, folder):
     return found.select("ts", v.r6("prediction").alias("prediction"))
 
 
+def _drawn(name):
+    lo, hi, kind = m.SEARCH_SPACE[name]
+    unit = f"(('0x' || substr(md5(series || '|' || d || '|{name}'), 1, 12))::BIGINT / pow(16, 12))"
+    if kind == "int":
+        return f'floor({lo} + {unit} * {hi - lo + 1})::INTEGER AS "{name}"'
+    value = f"{lo} + {unit} * ({hi} - {lo})" if kind == "float" else f"exp(ln({lo}) + {unit} * (ln({hi}) - ln({lo})))"
+    return f'{r6(value)} AS "{name}"'
+
+
+@query(
+    "search_draws",
+    f"SELECT series, d::INTEGER AS draw, {', '.join(map(_drawn, m.SEARCH_SPACE))} FROM (SELECT DISTINCT event_type AS series FROM events), range(20) t(d)",
+)
+def search_draws(spark, folder):
+    """The 20 draws of a parameter search of each series, at the search's own ranges. The search itself fits 20 times
+    5 models of up to 1000 rounds, too much for a check; ``tests/test_models.py`` runs it in a small space."""
+    whole = [n for n, (_, _, kind) in m.SEARCH_SPACE.items() if kind == "int"]
+    series = v.events(spark, folder).select(F.col("event_type").alias("series"))
+    drawn = m.draw_table(series, "series", 20)
+    return drawn.select("series", "draw", *[c if c in whole else v.r6(c).alias(c) for c in m.SEARCH_SPACE])
+
+
 @query("ar_mimo", "SELECT h.hour::INT AS hour, l.lag::INT AS lag, 0.0::DOUBLE AS gap FROM range(24) h(hour), range(48) l(lag)")
 def ar_mimo(spark, folder, lags=48, ridge=1e-6):
     """48 lags to 24 hours, fitted on the windows of the first twenty days. At the solution the

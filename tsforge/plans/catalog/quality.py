@@ -1,5 +1,8 @@
 """Load control and quality reports."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.constants import FLOW_HUB, FLOW_NEIGHBOURS
@@ -7,6 +10,8 @@ from tsforge.operators import quality as q
 from tsforge.plans import views as v
 from tsforge.plans.catalog.base import query
 from tsforge.plans.sqlviews import local, r6
+from tsforge.session import scratch_path
+from tsforge.sources import tableset
 
 
 def _order_years(spark, folder):
@@ -199,6 +204,58 @@ def delete_by_entity(spark, folder):
     )
 
 
+_MARKET_LOG = """SELECT (['France', 'Germany', 'Spain', 'Italy'])[o_custkey % 4 + 1] AS country,
+      (['prices', 'load', 'generation', 'wind_solar_forecast', 'crossborder_flows'])[o_custkey // 4 % 5 + 1] AS data_type, o_orderdate AS start_date FROM orders"""
+
+
+def _market_set(spark, folder):
+    """The five market tables and a log of their chunks, as a table set of its own."""
+    orders = v.table(spark, folder, "orders")
+
+    def pick(names, number):
+        return F.element_at(F.array(*map(F.lit, names)), number.cast("int"))
+
+    log = orders.select(
+        pick(["France", "Germany", "Spain", "Italy"], F.col("o_custkey") % 4 + 1).alias("country"),
+        pick(list(tableset.TABLE_OF), F.floor(F.col("o_custkey") / 4) % 5 + 1).alias("data_type"),
+        F.col("o_orderdate").alias("start_date"),
+    )
+    root = scratch_path(spark, "tables")
+    views = (v.prices, v.load, v.generation, v.wind_solar, v.flows)
+    tables = {name: view(spark, folder) for name, view in zip(tableset.TABLE_OF.values(), views)}
+    tableset.create(spark, root, {**tables, tableset.LOG: log})
+    return root
+
+
+_KEPT = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) FILTER (WHERE {hit}) AS deleted, count(*) FILTER (WHERE NOT ({hit})) AS kept FROM {view}"""
+    for name, view, hit in (
+        ("day_ahead_prices", "{prices}", "country = 'Spain'"),
+        ("load_data", "{load}", "country = 'Spain'"),
+        ("generation_data", "{generation}", "country = 'Spain'"),
+        ("wind_solar_forecast", "{wind_solar}", "country = 'Spain'"),
+        ("crossborder_flows", "{flows}", "country_from = 'Spain' OR country_to = 'Spain'"),
+        ("download_log", f"({_MARKET_LOG})", "country = 'Spain'"),
+    )
+)
+
+
+@query("delete_all_types", f"""SELECT "table", deleted, kept, kept AS left_rows, 0::BIGINT AS left_of_entity FROM ({_KEPT})""")
+def delete_all_types(spark, folder):
+    """One entity out of five tables and the log in one call; what the manifest then names is counted again."""
+    root = _market_set(spark, folder)
+    counts = tableset.delete(spark, root, "Spain")
+    left = []
+    for name in (*tableset.TABLE_OF.values(), tableset.LOG):
+        ends = tableset.ENDS.get(name, ("country",))
+        gone = reduce(lambda a, b: a | b, [F.col(c) == "Spain" for c in ends])
+        found = tableset.read(spark, root, name).agg(
+            F.count(F.lit(1)).alias("left_rows"), F.count_if(gone).alias("left_of_entity")
+        )
+        left.append(found.select(F.lit(name).alias("table"), "left_rows", "left_of_entity"))
+    return counts.join(reduce(DataFrame.unionByName, left), "table")
+
+
 @query(
     "clear_log",
     """SELECT country, data_type, start_date, end_date, download_timestamp, status FROM {chunk_log}
