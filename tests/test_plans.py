@@ -12,11 +12,12 @@ FOLDER = "/root/testdata/sf0.001"
 # Reports of one row in all, or a report of the whole table that ends in one small row.
 GLOBAL = {
     "step_report", "null_profile", "feature_manifest", "feature_roles", "delete_by_entity",
-    "split_report", "impute_mean", "scale_passthrough", "anti_months", "drop_high_months", "shuffle_across", "random_split",
+    "split_report", "impute_mean", "standard_fit_parts", "scale_passthrough", "anti_months", "drop_high_months", "shuffle_across", "random_split",
 }
 # Run jobs of their own before a plan exists.
 EAGER = {"gbt_fit_predict", "ar_mimo", "ar_mimo_one_lag", "window_sink", "export_parquet_stats",
-         "stream_resample", "stream_dedupe", "stream_ingest", "csv_scan", "csv_sink", "scaler_reload", "robust_scale"}
+         "stream_resample", "stream_dedupe", "stream_first", "standard_apply", "delete_all_types",
+          "stream_ingest", "csv_scan", "csv_sink", "scaler_reload", "robust_scale"}
 
 
 def _plan(df):
@@ -66,3 +67,14 @@ def test_few_exchanges_beyond_the_input(spark, name, exchanges, scans):
     plan = _plan(QUERIES[name](spark, FOLDER))
     assert len(re.findall(r"(?<!Reused)(?<!Broadcast)Exchange hashpartitioning", plan)) <= exchanges + plan.count("FileScan")
     assert plan.count("FileScan") <= scans
+
+
+@pytest.mark.parametrize("name", ["pivot_pairs", "keyed_append", "segments", "kfold_scores"])
+def test_raw_rows_are_hashed_and_not_sorted(spark, name):
+    assert "SortAggregate" not in _plan(QUERIES[name](spark, FOLDER))
+
+
+def test_one_pass_over_the_windows_fits_all_parts(spark):
+    """As many scans as the windows themselves, and one exchange more."""
+    windows, fitted = (_plan(QUERIES[name](spark, FOLDER)) for name in ("make_windows", "standard_fit_parts"))
+    assert fitted.count("FileScan") == windows.count("FileScan") and "Exchange SinglePartition" in fitted

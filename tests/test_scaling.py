@@ -65,3 +65,17 @@ def test_quantiles_of_many_rows_half_of_them_equal(spark):
     x = np.array([r.x for r in df.collect()])
     got = n.exact_quantiles(df, ["x", "none"], (0.01, 0.25, 0.5, 0.9), 50)
     assert np.allclose(got["x"], np.quantile(x, [0.01, 0.25, 0.5, 0.9])) and got["none"] == [None] * 4
+
+
+def test_parts_are_fitted_in_one_pass_as_one_by_one(spark):
+    rows = [("t", [(1.0, 2.0), (3.0, None)], [(5.0, 0.0)], [1.0, 4.0]), ("t", [(2.0, 2.0)], [(5.0, 7.0), (5.0, 1.0)], []), ("v", [(9.0, 9.0)], [], [2.0])]
+    df = spark.createDataFrame(rows, "split STRING, past ARRAY<STRUCT<a: DOUBLE, b: DOUBLE>>, future ARRAY<STRUCT<a: DOUBLE, c: DOUBLE>>, y ARRAY<DOUBLE>")
+    got = n.standard_fit_parts(df, {"past": ["a", "b"], "future": ["a", "c"], "y": None}, ["split"])
+    key = lambda part, r: (part, r.split, r.feature, r["mean"], r["scale"])
+    want = [key("past", r) for r in n.standard_fit_windows(df, "past", ["a", "b"], ["split"]).collect()]
+    want += [key("future", r) for r in n.standard_fit_windows(df, "future", ["a", "c"], ["split"]).collect()]
+    want += [key("y", r) for r in n.target_fit(df, keys=["split"]).collect()]
+    have = {k[:3]: k[3:] for k in (key(r.part, r) for r in got.collect())}
+    for *name, mean, scale in want:
+        assert have[tuple(name)] == pytest.approx((mean, scale))
+    assert "Exchange hashpartitioning(split" in got._jdf.queryExecution().executedPlan().toString()

@@ -68,3 +68,27 @@ def test_ingest_reads_each_file_once_and_is_idempotent(spark, folders, tmp_path)
     second = load(progress)
     assert len(second) == 10 and {r[0] for r in second} == {100, 101, 102, 3, 4, 5, 6, 7, 8, 9}
     assert load(str(tmp_path / "fresh")) == second
+
+
+def test_first_over_files_out_of_order_late_and_restarted(spark, folders):
+    """Revisions correct a key; a row behind the watermark changes nothing; a restart forgets nothing."""
+    from datetime import datetime, timedelta
+
+    landing, out, progress = folders
+    start = datetime(2024, 1, 1)
+    at = lambda h: start + timedelta(hours=h)
+    batches = [
+        [(5, "A", at(1), 5.0), (9, "B", at(2), 9.0), (6, "A", at(1.5), 6.0)],
+        [(3, "A", at(1.2), 3.0), (12, "B", at(2), 12.0), (20, "C", at(3), 20.0)],
+        [(30, "D", at(48), 30.0)],  # moves the watermark far ahead
+        [(1, "A", at(1), 1.0), (31, "D", at(47.5), 31.0), (29, "D", at(47), 29.0)],  # A is late now
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA_OF_FIRST).repartition(2).write.mode("append").parquet(landing)
+        first = s.stream_first(s.read_files(spark, landing, SCHEMA_OF_FIRST), ["series"], "ts", ["event_id"], "2 hours")
+        s.run_available(first, out, progress)
+    got = sorted((r.series, r.revision, r.event_id, r.value) for r in spark.read.parquet(out).collect())
+    assert got == [("A", 0, 5, 5.0), ("A", 1, 3, 3.0), ("B", 0, 9, 9.0), ("C", 0, 20, 20.0), ("D", 0, 30, 30.0), ("D", 1, 29, 29.0)]
+
+
+SCHEMA_OF_FIRST = "event_id BIGINT, series STRING, ts TIMESTAMP, value DOUBLE"

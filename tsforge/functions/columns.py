@@ -242,3 +242,9 @@ def round2(x: Column | str) -> Column:
 def parse_dmy(text: Column | str, tz: str = MARKET_ZONE) -> Column:
     """``DD/MM/YYYY`` -> instant of that local midnight; null when the text is no date."""
     return F.to_utc_timestamp(F.try_to_timestamp(text, F.lit("dd/MM/yyyy")), tz)
+
+
+def fixed_width(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether aggregates of these columns keep buffers that can be updated in place."""
+    wide = ("string", "binary", "array", "map", "struct", "variant", "interval")
+    return not any(df.schema[c].dataType.typeName().startswith(wide) for c in columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tsforge.constants import HOUR, MARKET_ZONE, MONTH_PRICE_LIMIT, PRICE_LIMIT, WEEK
 from tsforge.functions import ordered
-from tsforge.functions.columns import drop_any_null, matching, month_key, threshold_filter
+from tsforge.functions.columns import drop_any_null, fixed_width, matching, month_key, threshold_filter
 from tsforge.operators.joins import anti_months
 
 
@@ -102,6 +102,11 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) -
     order = [*ties, *[c for c in rest if c not in ties]]
     if not rest:
         return df.distinct()
+    if len(rest) == 1 and fixed_width(df, rest):
+        # The least of one value, null first, needs no struct: the buffer is primitive and hashes.
+        (one,) = rest
+        least = F.when(F.max(F.col(one).isNull()), F.lit(None)).otherwise(F.min(one))
+        return df.groupBy(*keys).agg(least.alias(one)).select(*df.columns)
     least = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_row"))
     return least.select(*[c if c in keys else F.col(f"_row.{c}") for c in df.columns])
 

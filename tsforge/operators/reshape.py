@@ -90,14 +90,20 @@ def pivot_pairs(
     suffix: str = "flow",
 ) -> DataFrame:
     """Directed pairs -> ``FROM_TO_flow`` columns. Rows with an unknown end are dropped;
-    of duplicate rows the one with the greatest ``order`` wins, value deciding ties."""
+    of duplicate rows the one with the greatest ``order`` wins, value deciding ties.
+
+    Rows of one order combine by hash before anything is compared, so raw readings are not sorted.
+    """
     names = [f"{a}_{b}_{suffix}" for a, b in pairs]
     known = df.where(F.col(frm).isNotNull() & F.col(to).isNotNull())
     labelled = known.withColumn("_pair", F.concat_ws("_", frm, to, F.lit(suffix)))
+    greatest = labelled.groupBy(*keys, "_pair", F.col(order).alias("_order")).agg(F.max(value).alias("_value"))
+    newest = F.max_by("_value", "_order")
+    unordered = F.max(F.when(F.col("_order").isNull(), F.col("_value")))
     return (
-        labelled.groupBy(*keys)
+        greatest.groupBy(*keys)
         .pivot("_pair", names)
-        .agg(F.max_by(value, F.struct(order, value)))
+        .agg(F.when(F.max("_order").isNull(), unordered).otherwise(newest))
     )
 
 

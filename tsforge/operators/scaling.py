@@ -4,7 +4,7 @@ fitted by one aggregate and applied as plain column arithmetic."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +57,46 @@ def standard_fit_windows(
     return standard_fit(rows, columns, keys)
 
 
+def standard_fit_parts(
+    windows: DataFrame, parts: Mapping[str, Sequence[str] | None], keys: Sequence[str] = ()
+) -> DataFrame:
+    """``standard_fit_windows`` of several arrays in one pass: ``(part, feature, mean, scale)``.
+
+    ``parts`` maps an array of hour structs to its features, or an array of numbers (the target) to None. The
+    hours of all arrays of a window go through one aggregate with a set of sums per array and feature.
+    """
+    slots = [(name, c, f"{name}.{c}") for name, columns in parts.items() for c in (columns or [name])]
+
+    def hour(name: str, columns: Sequence[str] | None) -> Callable[[Column], Column]:
+        """An hour of one array as values of its own slots; those of other arrays stay null."""
+
+        def cells(h: Column) -> Column:
+            own = {slot: F.coalesce((h[c] if columns else h).cast("double"), F.lit(0.0)) for part, c, slot in slots if part == name}
+            return F.struct(*[own.get(slot, F.lit(None).cast("double")).alias(slot) for *_, slot in slots])
+
+        return cells
+
+    rows = [F.transform(name, hour(name, columns)) for name, columns in parts.items()]
+    flat = windows.select(*keys, F.explode(F.concat(*rows)).alias("_h"))
+    stats = flat.groupBy(*keys).agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(part).alias("part"),
+                    F.lit(c).alias("feature"),
+                    F.avg(F.col("_h")[slot]).alias("mean"),
+                    F.stddev_pop(F.col("_h")[slot]).alias("std"),
+                )
+                for part, c, slot in slots
+            ]
+        ).alias("_s")
+    )
+    std = F.col("std")
+    return stats.select(*keys, F.inline("_s")).select(
+        *keys, "part", "feature", "mean", F.when(std == 0, F.lit(1.0)).otherwise(std).alias("scale")
+    )
+
+
 def _one_row(params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The parameters of ``columns`` as a single struct of structs, one row per ``keys``.
 

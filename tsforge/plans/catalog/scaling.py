@@ -7,7 +7,7 @@ from tsforge.operators import scaling as n
 from tsforge.plans import views as v
 from tsforge.plans.catalog.base import query
 from tsforge.plans.sqlviews import r6
-from tsforge.session import scratch_path
+from tsforge.session import materialise, scratch_path
 
 
 def _rounded(df, keys=("ts",)):
@@ -44,13 +44,32 @@ def standard_fit(spark, folder):
     f"""WITH {_FIT} SELECT series, anchor, ts, {r6('(value - m) / s')} AS value, {r6('(sine - ms) / ss')} AS "Day_sin" FROM p, fit""",
 )
 def standard_apply(spark, folder):
-    windows = v.windows(spark, folder)
+    """The windows are written once; the fit and the application read them."""
+    windows = materialise(v.windows(spark, folder).select("series", "anchor", "past"), "windows")
     fitted = n.standard_fit_windows(windows, "past", ["value", "Day_sin"])
     scaled = n.standard_apply_windows(windows, "past", fitted, ["value", "Day_sin"])
     hours = scaled.select("series", "anchor", F.explode("past").alias("h")).select("series", "anchor", "h.*")
     return _rounded(hours, ("series", "anchor", "ts"))
 
 
+_FUTURE = """f AS (SELECT y, sin(2 * pi() * epoch(anchor + INTERVAL (hour) HOUR) / 86400) AS sine, cos(2 * pi() * epoch(anchor + INTERVAL (hour) HOUR) / 86400) AS cosine FROM {scored})"""
+
+
+@query(
+    "standard_fit_parts",
+    f"""WITH {_FIT}, {_FUTURE} SELECT 'past' AS part, 'value' AS feature, {r6('m')} AS mean, {r6('s')} AS scale FROM fit
+    UNION ALL SELECT 'past', 'Day_sin', {r6('ms')}, {r6('ss')} FROM fit
+    UNION ALL SELECT 'future', 'Day_sin', {r6('avg(sine)')}, {r6('stddev_pop(sine)')} FROM f
+    UNION ALL SELECT 'future', 'Day_cos', {r6('avg(cosine)')}, {r6('stddev_pop(cosine)')} FROM f
+    UNION ALL SELECT 'y', 'y', {r6('avg(y)')}, {r6('stddev_pop(y)')} FROM f""",
+)
+def standard_fit_parts(spark, folder):
+    """Scalers of history, horizon and target from one pass."""
+    parts = {"past": ["value", "Day_sin"], "future": ["Day_sin", "Day_cos"], "y": None}
+    fitted = n.standard_fit_parts(v.windows(spark, folder), parts)
+    return fitted.withColumns({c: v.r6(c) for c in ("mean", "scale")})
+
+
 @query(
     "impute_mean",
     "SELECT ts, " + ", ".join(r6(f'coalesce("{c}", (SELECT avg("{c}") FROM {{market}}))') + f' AS "{c}"' for c in _PRICES) + " FROM {market}",

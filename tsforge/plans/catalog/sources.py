@@ -145,14 +145,17 @@ def feature_manifest(spark, folder):
 
 @query(
     "window_sink",
-    """SELECT 'train' AS split, count(*) AS windows, 168 * count(*) AS past_hours, 24 * count(*) AS future_hours FROM {windows} HAVING count(*) > 0""",
+    f"""WITH s AS (SELECT series, anchor, 'past' AS part, ts, value FROM {{past_hours}}
+      UNION ALL SELECT series, anchor, 'future', anchor + INTERVAL (hour) HOUR, y FROM {{scored}})
+    SELECT 'train' AS split, series, anchor, part, ts, {r6('value')} AS value FROM s""",
 )
 def window_sink(spark, folder):
+    """Every hour of every window, read back from the sink."""
     path = scratch_path(spark, "windows")
     io.write_windows(splits.full_set(v.windows(spark, folder)), path)
     back = spark.read.parquet(path)
-    return back.groupBy("split").agg(
-        F.count(F.lit(1)).alias("windows"),
-        F.sum(F.size("past")).alias("past_hours"),
-        F.sum(F.size("future")).alias("future_hours"),
-    )
+    key = ("split", "series", "anchor")
+    past = back.select(*key, F.lit("past").alias("part"), F.inline(F.transform("past", lambda h: F.struct(h["ts"], h["value"]))))
+    hours = F.zip_with("future", "y", lambda h, y: F.struct(h["ts"].alias("ts"), y.alias("value")))
+    future = back.select(*key, F.lit("future").alias("part"), F.inline(hours))
+    return past.toDF(*future.columns).unionByName(future).withColumn("value", v.r6("value"))

@@ -42,6 +42,27 @@ def stream_dedupe(spark, folder):
     return spark.read.schema("event_type STRING, hour TIMESTAMP").parquet(out)
 
 
+@query(
+    "stream_first",
+    """SELECT event_type, date_trunc('hour', ts) AS hour, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2""",
+)
+def stream_first(spark, folder):
+    """The least event of each type and hour, from eight files that mix all days, two a batch, with a
+    restart after the first half: the greatest revision of a key is its answer."""
+    landing, out, progress = (scratch_path(pin_utc(spark), name) for name in ("landing", "first", "progress"))
+    events = v.events(spark, folder).withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(8)))
+    ddl = "event_type STRING, hour TIMESTAMP, ts TIMESTAMP, event_id BIGINT, value DOUBLE"
+    for half in (F.col("part") < 4, F.col("part") >= 4):
+        rows = events.where(half).withColumn("hour", F.date_trunc("hour", "ts"))
+        rows.repartition(4, "part").select("event_type", "hour", "ts", "event_id", "value").write.mode("append").parquet(landing)
+        arriving = streams.read_files(spark, landing, ddl, per_batch=2)
+        first = streams.stream_first(arriving, ["event_type", "hour"], "ts", ["event_id"], "60 days")
+        streams.run_available(first, out, progress)
+    found = spark.read.schema(f"{ddl}, revision INT").parquet(out)
+    newest = found.groupBy("event_type", "hour").agg(*[F.max_by(c, "revision").alias(c) for c in ("event_id", "value")])
+    return newest
+
+
 @query(
     "stream_ingest",
     """SELECT event_type, date_trunc('hour', ts) AS hour, max(event_id) AS event_id, arg_max(value, event_id) AS value,

@@ -18,6 +18,7 @@ from tsforge.constants import CYCLICAL_COLUMNS, FUEL_COLUMNS, LAG_HOURS, MARKET_
 from tsforge.functions.columns import constant_columns, cyclical, filter_years, round2, signed_exp
 from tsforge.operators import clean, features, joins, models, scaling, splits, windows
 from tsforge.operators.evaluate import paired_stats
+from tsforge.session import materialise
 from tsforge.sources import io
 
 TARGET = "FR_price"
@@ -116,12 +117,11 @@ def build_dataset(
 
     by = ["fold"] if scheme == "folds" else []
     train = raw.where("split = 'train'")
+    arrays = {"past": past, "future": future, **({"y": None} if scale_target else {})}
+    params = materialise(scaling.standard_fit_parts(train, arrays, by), "scalers")
     fitted = {
-        "past": scaling.standard_fit_windows(train, "past", past, by),
-        "future": scaling.standard_fit_windows(train, "future", future, by),
+        "target" if part == "y" else part: params.where(F.col("part") == part).drop("part") for part in arrays
     }
-    if scale_target:
-        fitted["target"] = scaling.target_fit(train, keys=by)
     for name, params in fitted.items():
         scaling.save_scaler(params, f"{out}/scaler_{name}")
     scaled = raw

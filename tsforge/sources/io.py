@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tsforge.functions.columns import fixed_width
 from tsforge.session import literal_table
 from tsforge.sources.schemas import schema as table_schema
 
@@ -146,6 +147,13 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], ingest: str
     both = target.select(*columns, F.lit(0).alias("_from_batch")).unionByName(
         batch.select(*columns, F.lit(1).alias("_from_batch"))
     )
+    rest = [c for c in columns if c not in keys]
+    if ingest is None and len(rest) == 1 and fixed_width(target, rest):
+        # One value of a side is its greatest, and the batch's side wins where it has the key: no struct to sort.
+        (one,) = rest
+        side = [F.max(F.when(F.col("_from_batch") == k, F.col(one))) for k in (0, 1)]
+        value = F.when(F.max("_from_batch") == 1, side[1]).otherwise(side[0])
+        return both.groupBy(*keys).agg(value.alias(one)).select(*columns)
     order = [F.col(ingest).alias("_order")] if ingest else [F.col("_from_batch").alias("_order")]
     merged = both.groupBy(*keys).agg(*_latest(keys, columns, order))
     return merged.select(*[F.col(c) if c in keys else F.col(f"_newest.v_{c}").alias(c) for c in columns])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tsforge.sources.io import upsert_table
@@ -42,6 +45,58 @@ def stream_dedupe(df: DataFrame, keys: Sequence[str], ts: str, lateness: str = L
     return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
+def stream_first(
+    df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], lateness: str = LATENESS
+) -> DataFrame:
+    """The least row of each key by ``order`` (numbers), whatever the order of arrival, with ``revision``.
+
+    A key's first row comes out with revision 0; a lesser one that arrives later comes out as a correction with the
+    next revision, so of a key the row with the greatest revision counts. State holds the order and revision
+    of a key until its newest row is ``lateness`` behind the watermark; rows behind the watermark are dropped.
+    Rows of a key meet inside their batch first, so a hot key sends a task few rows.
+    """
+    names, by = list(keys), list(order)
+    seconds = int(pd.Timedelta(lateness).total_seconds())
+
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            newest = frame.groupby(names, dropna=False, sort=False)[ts].transform("max")
+            best = frame.assign(_newest=newest).sort_values(by, kind="stable").drop_duplicates(names)
+            yield best
+
+    def keep(_key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *held, revision, newest = state.get if state.exists else (*[math.inf] * len(by), -1, 0)
+        best = None
+        for frame in frames:
+            newest = max(newest, int(frame["_newest"].max().timestamp() * 1000))
+            row = frame.sort_values(by, kind="stable").iloc[:1]
+            mine = [float(row[c].iloc[0]) for c in by]
+            if mine < held:
+                best, held = row, mine
+        revision += best is not None
+        state.update((*held, int(revision), newest))
+        state.setTimeoutTimestamp(max(newest + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        if best is not None:
+            yield best.drop(columns="_newest").assign(revision=int(revision))
+
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields]
+    reduced = df.mapInPandas(least, ", ".join([*columns, "_newest timestamp"]))
+    return (
+        reduced.withWatermark(ts, lateness)
+        .groupBy(*names)
+        .applyInPandasWithState(
+            keep,
+            ", ".join([*columns, "revision INT"]),
+            ", ".join([*[f"{c} DOUBLE" for c in by], "revision INT", "newest BIGINT"]),
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
+        )
+    )
+
+
 def run_available(
     df: DataFrame, path: str, checkpoint: str, mode: str = "append", format: str = "parquet"
 ) -> StreamingQuery:
