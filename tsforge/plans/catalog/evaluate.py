@@ -81,16 +81,17 @@ _HOME = """r AS (SELECT {k}, {t} AS stamp, row_number() OVER (PARTITION BY {k} O
 
 @query(
     "kfold_scores",
-    f"""WITH a AS (SELECT 'ALL' AS series, ts, click AS x, "view" AS y FROM {{wide}}), {_HOME.format(k='series', t='ts', v='a')},
-    z AS (SELECT home, x, y FROM a JOIN f ON f.stamp = a.ts),
+    f"""WITH a AS (SELECT series, anchor + INTERVAL (hour) HOUR AS ts, predicted AS x, y FROM {{scored}}), {_HOME.format(k='series', t='ts', v='a')},
+    z AS (SELECT home, x, y FROM a JOIN f ON f.series = a.series AND f.stamp = a.ts),
     m AS (SELECT i, regr_slope(y, x) AS s, regr_intercept(y, x) AS c, count(*) AS n FROM z, range(5) t(i) WHERE home <> i GROUP BY 1)
     SELECT i::INTEGER AS fold, any_value(n) AS train_rows, count(*) AS "rows", {r6('avg(pow(y - s * x - c, 2))')} AS mse, {r6('avg(pow(y - s * x - c, 2))')} AS val_mse,
       {r6('avg(abs(y - s * x - c))')} AS mae FROM z JOIN m ON home = i GROUP BY 1""",
 )
 def kfold_scores(spark, folder):
-    """Five unshuffled folds of the hours, each scored by the model of the other four. The squared error comes
+    """Five unshuffled folds of each series' hours, the value of a week before as input, each scored by the model of the other four. The squared error comes
     twice: from the subtracted moments (``val_mse``) and from the rows."""
-    rows = v.wide(spark, folder).select(F.lit("ALL").alias("series"), "ts", F.array("click").alias("x"), F.array("view").alias("y"))
+    ts = F.timestamp_seconds(F.unix_seconds("anchor") + 3600 * F.col("hour")).alias("ts")
+    rows = v.scored(spark, folder).select("series", ts, F.array("predicted").alias("x"), F.array("y").alias("y"))
     fits, scores = crossval.cross_validate(assign_folds(rows, S, "ts"), inputs=1)
     own = scores.where("split = 'val'").join(fits.select("fold", "train_rows", "val_mse"), "fold")
     return own.select("fold", "train_rows", "rows", *[v.r6(c).alias(c) for c in ("mse", "val_mse", "mae")])
