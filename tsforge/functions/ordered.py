@@ -10,7 +10,8 @@ may hold a third of all rows. Everything here cuts a series into fixed time buck
   bucket of calendar time it touches (13 a year by default), however many rows it has, so
   the window over summaries is bounded by the calendar.
 
-Buckets are a function of the timestamp alone: a re-run task rebuilds the same rows.
+Buckets are a function of the timestamp alone: a re-run task rebuilds the same rows. Where a series has bursts,
+``EquiDepth`` in place of a width cuts dense buckets on by their row counts, for the unbounded steps.
 Series columns must not be null, and ``(series, ts)`` must be unique (see
 ``clean.mean_duplicates``) unless a function says otherwise.
 """
@@ -18,6 +19,7 @@ Series columns must not be null, and ``(series, ts)`` must be unique (see
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,42 @@ def bucket_no(seconds: Column, width: int = BUCKET_SECONDS) -> Column:
     return F.floor(seconds / F.lit(width)).cast("long")
 
 
-def bucketed(df: DataFrame, ts: str, width: int = BUCKET_SECONDS) -> DataFrame:
-    return df.withColumn(BUCKET, bucket_no(F.unix_seconds(ts), width))
+@dataclass(frozen=True)
+class EquiDepth:
+    """Buckets of ``width`` seconds, and those of them with more than ``rows`` rows of a series cut on into as many
+    parts as they need, ``PARTS`` at most, of about equal row counts. For series with bursts: a burst of a minute
+    becomes as many buckets as its rows need. Rows of one stamp stay together."""
+
+    rows: int = 1_000_000
+    width: int = BUCKET_SECONDS
+
+
+#: Parts of one bucket of time at most, and ranks that a sketch of its stamps tells apart.
+PARTS, SKETCH = 1024, 20_000
+
+
+def bucketed(df: DataFrame, ts: str, width: int | EquiDepth = BUCKET_SECONDS, series: Sequence[str] = ()) -> DataFrame:
+    """Add the number of the bucket of each row; later rows have the same or a later bucket.
+
+    With ``EquiDepth`` a first pass counts the rows of each bucket and sketches their stamps; the cuts of the dense
+    ones, a small table, are joined to the rows.
+    """
+    if not isinstance(width, EquiDepth):
+        return df.withColumn(BUCKET, bucket_no(F.unix_seconds(ts), width))
+    keys, at = [*series, BUCKET], F.unix_micros(ts)
+    timed = df.withColumn(BUCKET, bucket_no(F.unix_seconds(ts), width.width))
+    shares = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+    counted = timed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_held"), F.percentile_approx(at, shares, F.lit(SKETCH)).alias("_ranks")
+    )
+    # Every so manieth of the sketched stamps is a cut.
+    stride = F.greatest(F.floor(F.lit(PARTS) * width.rows / F.col("_held")), F.lit(1))
+    dense = counted.where(F.col("_held") > width.rows).select(
+        *keys, F.array_distinct(F.filter("_ranks", lambda _, i: (i + 1) % stride == 0)).alias("_cuts")
+    )
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= at)), F.lit(0))
+    cut = timed.join(dense, keys, "left")
+    return cut.withColumn(BUCKET, F.col(BUCKET) * PARTS + F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
 
 
 def with_context(
@@ -81,11 +117,11 @@ def fill_gaps(
     cols: Sequence[str],
     forward: bool = True,
     backward: bool = False,
-    width: int = BUCKET_SECONDS,
+    width: int | EquiDepth = BUCKET_SECONDS,
 ) -> DataFrame:
     """Null -> last known value in time order, then (``backward``) the next known one."""
     keys = [*series, BUCKET]
-    rows = bucketed(df, ts, width)
+    rows = bucketed(df, ts, width, series)
     known = {c: F.when(F.col(c).isNotNull(), F.col(ts)) for c in cols}
     summary = rows.groupBy(*keys).agg(
         *[F.max_by(c, known[c]).alias(f"_last_{c}") for c in cols],
@@ -120,11 +156,11 @@ def previous_row(
     ts: str,
     cols: Sequence[str],
     out: str = "_previous",
-    width: int = BUCKET_SECONDS,
+    width: int | EquiDepth = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add ``out``: a struct of ``ts`` and ``cols`` of the row before, null on the first."""
     keys = [*series, BUCKET]
-    rows = bucketed(df, ts, width)
+    rows = bucketed(df, ts, width, series)
     rest = [c for c in cols if c != ts]
     # One max_by per column and not one of a struct: fixed-width buffers aggregate by hash.
     summary = rows.groupBy(*keys).agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in rest])
@@ -143,11 +179,11 @@ def running_total(
     ts: str,
     value: Column,
     out: str,
-    width: int = BUCKET_SECONDS,
+    width: int | EquiDepth = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add ``out``: sum of ``value`` over this row and all earlier rows of the series."""
     keys = [*series, BUCKET]
-    rows = bucketed(df.withColumn("_value", value), ts, width)
+    rows = bucketed(df.withColumn("_value", value), ts, width, series)
     carried = (
         rows.groupBy(*keys)
         .agg(F.sum("_value").alias("_total"))
@@ -168,13 +204,13 @@ def rank_in_series(
     ties: Sequence[str] = (),
     rank: str = "_rank",
     total: str = "_n",
-    width: int = BUCKET_SECONDS,
+    width: int | EquiDepth = BUCKET_SECONDS,
 ) -> DataFrame:
     """Add a 1-based ``rank`` by ``(ts, ties)`` and the row count ``total`` of the series.
 
     Two passes: bucket counts give offsets, then ``row_number`` inside the bucket.
     """
-    return _ranked(bucketed(df, ts, width), series, [ts, *ties], rank, total)
+    return _ranked(bucketed(df, ts, width, series), series, [ts, *ties], rank, total)
 
 
 def bucket_index(df: DataFrame, series: Sequence[str], ts: str, width: int = BUCKET_SECONDS) -> DataFrame:

@@ -85,14 +85,18 @@ def drop_entity_all_null(df: DataFrame, families: dict[str, Sequence[str]]) -> D
     return df.where(~reduce(lambda a, b: a | b, [silent(c) for c in families.values()]))
 
 
-def ffill(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+def ffill(
+    df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str], width: int | ordered.EquiDepth = ordered.BUCKET_SECONDS
+) -> DataFrame:
     """Last known value in time order."""
-    return ordered.fill_gaps(df, series, ts, cols)
+    return ordered.fill_gaps(df, series, ts, cols, width=width)
 
 
-def ffill_bfill(df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str]) -> DataFrame:
+def ffill_bfill(
+    df: DataFrame, series: Sequence[str], ts: str, cols: Sequence[str], width: int | ordered.EquiDepth = ordered.BUCKET_SECONDS
+) -> DataFrame:
     """Last known value, else the next known one."""
-    return ordered.fill_gaps(df, series, ts, cols, backward=True)
+    return ordered.fill_gaps(df, series, ts, cols, backward=True, width=width)
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:

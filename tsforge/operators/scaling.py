@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsforge.constants import CYCLICAL_COLUMNS
-from tsforge.session import literal_table
+from tsforge.session import literal_table, materialise
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: float = 0.0) -> DataFrame:
@@ -214,10 +214,11 @@ def exact_quantiles(
     df: DataFrame, columns: Sequence[str], q: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = 10000
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, of any number of rows, without gathering a
-    column's values anywhere. A fit: it runs three jobs that each return a few numbers per
-    column.
+    column's values anywhere. A fit: it writes the columns once and runs three jobs over them that each return
+    a few numbers per column.
 
-    1. A fixed-size sketch gives two edges around each quantile.
+    1. A fixed-size sketch gives two edges around each quantile; least and greatest value are edges too, so
+       every range is as wide as the values in it.
     2. Rows below and at each edge are counted, which tells for every wanted rank which edge
        it is or between which two edges it lies.
     3. The values strictly between such edges, normally about 1 in 2,500 rows, are grouped
@@ -229,9 +230,11 @@ def exact_quantiles(
         v = F.col(c).cast("double")
         return F.when(~F.isnan(v), v)
 
+    df = materialise(df.select(*[value(c).alias(c) for c in names]), "columns")
     asked = [x for p in q for x in (max(p - wide, 0.0), min(p + wide, 1.0))]
-    sketch = df.agg(*[F.percentile_approx(value(c), asked, accuracy).alias(c) for c in names]).first()
-    edges = {c: sorted(set(sketch[c] or [])) for c in names}
+    ends = [end(value(c)).alias(f"{name} {c}") for c in names for name, end in (("min", F.min), ("max", F.max))]
+    sketch = df.agg(*[F.percentile_approx(value(c), asked, accuracy).alias(c) for c in names], *ends).first()
+    edges = {c: sorted({*(sketch[c] or []), *(x for x in (sketch[f"min {c}"], sketch[f"max {c}"]) if x is not None)}) for c in names}
     sums = [F.count(value(c)).alias(f"n {c}") for c in names]
     for c in names:
         for i, x in enumerate(edges[c]):

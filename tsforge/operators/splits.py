@@ -48,9 +48,10 @@ def split_fraction_rows(
     test: float = TEST_FRACTION,
     gap: int = ROW_GAP,
     ties: Sequence[str] = (),
+    width: int | ordered.EquiDepth = ordered.BUCKET_SECONDS,
 ) -> DataFrame:
     """Chronological train/val/test by row; the first ``gap`` rows of val and test go."""
-    ranked = ordered.rank_in_series(df, series, ts, ties)
+    ranked = ordered.rank_in_series(df, series, ts, ties, width=width)
     n_test, n_val = _share(F.col("_n"), test), _share(F.col("_n"), val)
     n_train = F.col("_n") - n_test - n_val
     rank = F.col("_rank")

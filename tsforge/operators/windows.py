@@ -57,7 +57,7 @@ def with_segments(df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR
 
 
 def segments(
-    df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR, width: int = ordered.BUCKET_SECONDS
+    df: DataFrame, series: Sequence[str], ts: str, gap: int = HOUR, width: int | ordered.EquiDepth = ordered.BUCKET_SECONDS
 ) -> DataFrame:
     """``(series, seg, start, end, n)`` of contiguous runs; rows without a stamp are left out.
 
@@ -66,7 +66,7 @@ def segments(
     its number and each open run its full length. A run comes out of the bucket it starts in.
     """
     keys = [*series, ordered.BUCKET]
-    rows = ordered.bucketed(df.select(*series, ts).where(F.col(ts).isNotNull()), ts, width)
+    rows = ordered.bucketed(df.select(*series, ts).where(F.col(ts).isNotNull()), ts, width, series)
     inside = ordered.row_window(series, ts)
     jump = F.unix_seconds(ts) - F.lag(F.unix_seconds(ts)).over(inside) > gap
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

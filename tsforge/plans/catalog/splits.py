@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tsforge.functions.ordered import EquiDepth
 from tsforge.operators import splits as p
 from tsforge.plans import views as v
 from tsforge.plans.catalog.base import query
@@ -44,6 +45,20 @@ def split_fraction_rows(spark, folder):
     return p.split_fraction_rows(v.daily(spark, folder), S, "ts").select("series", "ts", "split")
 
 
+@query(
+    "split_dense_rows",
+    """WITH r AS (SELECT o_orderkey, o_orderpriority AS series, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rk,
+      count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders), t AS (SELECT *, CAST(floor(round(n * 0.2, 9)) AS BIGINT) AS k FROM r)
+    SELECT o_orderkey, series, split FROM (SELECT *, CASE WHEN rk <= n - 2 * k THEN 'train' WHEN rk > n - 2 * k + 97 AND rk <= n - k THEN 'val'
+      WHEN rk > n - k + 97 THEN 'test' END AS split FROM t) WHERE split IS NOT NULL""",
+)
+def split_dense_rows(spark, folder):
+    """Every order by its day, many a day, in buckets of at most some fifty rows."""
+    rows = v.table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series"), "o_orderdate")
+    cut = p.split_fraction_rows(rows, S, "o_orderdate", ties=["o_orderkey"], width=EquiDepth(rows=50))
+    return cut.select("o_orderkey", "series", "split")
+
+
 @query("split_fraction_gap", f"WITH {_GAP_SPLIT} SELECT series, anchor, split FROM gap_split WHERE split IS NOT NULL")
 def split_fraction_gap(spark, folder):
     return p.split_fraction_gap(v.daily_windows(spark, folder), S).select(*_INDEX)
