@@ -4,7 +4,8 @@ A rule names a host and the beginning of a path. It fits that host and its subdo
 url's path begins with the rule's; the longest fitting rule decides. Where no rule fits, one
 automaton pass over the lower-cased url (A-Z) finds all terms of the vocabulary. A hit counts
 only between boundaries: the characters next to it are not ASCII letters or digits. A url is
-blocked on one strict hit or on ``soft_limit`` distinct soft terms.
+blocked on one strict hit or on ``soft_limit`` distinct soft terms; forms of one term ("loan" and
+"loans") are one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is judged on the terms in it (none for null: allowed). Rows map one to one, so ties,
@@ -30,10 +31,23 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-STRICT = ("porn", "porno", "xxx", "hentai", "escort", "escorts", "viagra", "cialis", "casino", "warez", "gore", "nude")
+# The vocabulary, by subject. A strict term says by itself what a site is about, whatever stands next to it; a soft
+# term has harmless uses and counts once, in whichever of its forms and however often it occurs. Words of links
+# themselves (tracking parameters, feeds, references, offers) say nothing about a page and are not terms.
+STRICT = (
+    "porn", "porno", "xxx", "hentai", "escort", "escorts", "nude", "nudes",  # adult
+    "casino", "casinos",  # gambling
+    "viagra", "cialis",  # drugs sold by mail
+    "warez",  # copied software
+    "gore",  # violence
+)
 SOFT = (
-    "adult", "bet", "betting", "crack", "dating", "feed", "free", "keygen", "loan", "loans", "naked", "pills", "poker",
-    "promo", "ref", "sex", "sexy", "slots", "source", "torrent", "utm",
+    ("adult", "adults"), ("dating",), ("erotic", "erotica"), ("naked",), ("sex", "sexy"),  # adult
+    ("bet", "bets", "betting"), ("jackpot", "jackpots"), ("poker",), ("roulette",), ("slot", "slots"),  # gambling
+    ("pharmacy", "pharmacies"), ("pill", "pills"),  # drugs sold by mail
+    ("crack", "cracked", "cracks"), ("keygen", "keygens"), ("torrent", "torrents"),  # copied software
+    ("loan", "loans"), ("payday",),  # credit
+    ("cheap",), ("spam",),  # bulk offers
 )
 SOFT_LIMIT = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,34 +55,37 @@ _WORD = frozenset(_LOWER + "0123456789")
 
 
 @lru_cache(maxsize=4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...], soft_limit: int):
-    """The automaton of both lists; a strict term weighs as much as the limit, a soft one 1."""
+def automaton(strict: tuple[str, ...], soft: tuple[tuple[str, ...], ...], soft_limit: int):
+    """The automaton of both lists; a strict term weighs as much as the limit, a soft one 1. Forms name their first."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for term in soft:
-        machine.add_word(term, (term, 1))
+    for forms in soft:
+        for form in forms:
+            machine.add_word(form, (form, forms[0], 1, False))
     for term in strict:
-        machine.add_word(term, (term, soft_limit))
+        machine.add_word(term, (term, term, soft_limit, True))
     if len(machine):
         machine.make_automaton()
     return machine
 
 
-def hits(url: str | None, strict: tuple[str, ...], soft: tuple[str, ...], soft_limit: int) -> tuple[int, int, int]:
+def hits(
+    url: str | None, strict: tuple[str, ...], soft: tuple[tuple[str, ...], ...], soft_limit: int
+) -> tuple[int, int, int]:
     """(strict hits, distinct soft terms, weight of the distinct terms) of one url."""
     machine = automaton(strict, soft, soft_limit)
     if not url or not len(machine):
         return 0, 0, 0
     url = url.translate(_FOLD)
     n_strict, found = 0, {}
-    for end, (term, weight) in machine.iter(url):
-        begin = end - len(term) + 1
+    for end, (form, term, weight, is_strict) in machine.iter(url):
+        begin = end - len(form) + 1
         if (begin and url[begin - 1] in _WORD) or (end + 1 < len(url) and url[end + 1] in _WORD):
             continue
-        found[term] = weight
-        n_strict += weight == soft_limit and term in strict
-    return n_strict, sum(term not in strict for term in found), sum(found.values())
+        found[is_strict, term] = weight
+        n_strict += is_strict
+    return n_strict, sum(not is_strict for is_strict, _ in found), sum(found.values())
 
 
 _FOLD = str.maketrans(_UPPER, _LOWER)
@@ -89,7 +106,7 @@ def filter_urls(
     pages: DataFrame,
     rules: tuple[tuple[str, str, str], ...] = RULES,
     strict: tuple[str, ...] = STRICT,
-    soft: tuple[str, ...] = SOFT,
+    soft: tuple[tuple[str, ...], ...] = SOFT,
     soft_limit: int = SOFT_LIMIT,
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict, n_strict and n_soft of every url."""
@@ -123,7 +140,7 @@ def _oracle() -> str:
     url = f"translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}')"
     edge = "(^|[^a-z0-9]){}([^a-z0-9]|$)"
     strict = "|".join(sorted(STRICT))
-    distinct = " + ".join(f"regexp_matches({url}, '{edge.format(t)}')::INT" for t in SOFT)
+    distinct = " + ".join(f"regexp_matches({url}, '{edge.format("(" + "|".join(t) + ")")}')::INT" for t in SOFT)
     cases_rule, cases_verdict = [], []
     for host, path, verdict in sorted(RULES, key=lambda r: -len(r[0]) - len(r[1])):
         fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN"
