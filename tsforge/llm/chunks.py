@@ -11,8 +11,10 @@ Defined results: null and empty texts have no chunks and stay as they are. A row
 is ordered by a hash of its text. Rows that repeat an id are one document: they keep or lose the
 same chunks. Other columns are kept (one
 named like an output column is replaced); ``n_chars`` is not touched here. Texts of any length are read
-whole; a chunk of more than ``LONGEST`` bytes (a text without boundaries) is cut every so many bytes
-from its start.
+whole. A chunk of more than ``LONGEST`` bytes (text that repeats a few bytes over and over) is cut by a
+second, looser mask of the same hash, where the hash is the lowest for ``SPACING`` bytes around, so that an
+insertion moves only the chunks it touches there too; where even that finds no boundary (a period shorter
+than ``SPACING``) the chunk stays whole. No cut depends on an offset.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tsforge.llm.base import materialise, query, table
 MIN_WORDS, WINDOW, SPACING, LONGEST = 16, 16, 8, 1024
 #: A position ends a chunk when its 16-bit hash is below this: once in 32 bytes.
 BELOW = np.uint16((1 << 16) // 32)
+#: Inside a long chunk, when it is below this: once in 4 bytes.
+LOOSELY = np.uint16((1 << 16) // 4)
 GEAR = (tx.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -46,7 +50,8 @@ def gear(raw: np.ndarray) -> np.ndarray:
 def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end, text) of every chunk of the texts of a slice."""
     doc_begin = offsets[:-1]
-    cut = np.flatnonzero(gear(raw) < BELOW) + 1
+    hashes = gear(raw)
+    cut = np.flatnonzero(hashes < BELOW) + 1
     # Where the window would reach into the text before, there is no boundary.
     doc = np.searchsorted(offsets, cut - 1, side="right") - 1
     cut = cut[cut - doc_begin[doc] >= WINDOW]
@@ -55,14 +60,23 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = np.union1d(cut, doc_begin)
     begin = begin[begin < offsets[-1]]
     end = np.r_[begin[1:], offsets[-1:]]
-    parts = -(-(end - begin) // LONGEST)
-    if (parts > 1).any():
-        first = np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(begin, parts) + LONGEST * (np.arange(parts.sum()) - first)
+    loose = [_loose_cuts(hashes, a, b) for a, b in zip(begin[end - begin > LONGEST], end[end - begin > LONGEST])]
+    if loose:
+        begin = np.union1d(begin, np.concatenate(loose))
         end = np.r_[begin[1:], offsets[-1:]]
     return begin, end, np.searchsorted(offsets, begin, side="right") - 1
 
 
+def _loose_cuts(hashes: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Boundaries by the looser mask inside one chunk: below it, and the lowest for ``SPACING`` bytes on both sides."""
+    h = hashes[begin + WINDOW - 1 : end - 1].astype(np.int64)
+    lowest = h < LOOSELY
+    for k in range(1, min(SPACING, len(h))):
+        lowest[k:] &= h[k:] < h[:-k]
+        lowest[:-k] &= h[:-k] <= h[k:]
+    return begin + WINDOW + np.flatnonzero(lowest)
+
+
 def _per_text(digest: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct digests of each text, as (digests, offsets)."""
     digest = digest.copy()
