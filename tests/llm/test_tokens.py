@@ -129,3 +129,36 @@ def test_shards_pack_alike_and_tightly(spark):
     # Cost-balanced: sequences with room get close to the same cost.
     cost = np.bincount(where, weights=[n + n * n * packing.QUADRATIC for n in lengths])
     assert np.percentile(cost, 25) > 0.5 * np.percentile(cost, 99)
+
+
+def plain_balance(lengths, capacity):
+    """The stated rule, by looking at every sequence for every piece."""
+    open_ = [[0.0, capacity] for _ in range(-(-sum(lengths) // capacity))]
+    where, offset = [], []
+    for n in lengths:
+        fit = [(cost, room, k) for k, (cost, room) in enumerate(open_) if room >= n]
+        if not fit:
+            open_.append([0.0, capacity])
+            fit = [(0.0, capacity, len(open_) - 1)]
+        cost, room, k = min(fit)
+        where.append(k)
+        offset.append(capacity - room)
+        open_[k] = [cost + n + packing.QUADRATIC * n * n, room - n]
+    return where, offset
+
+
+@pytest.mark.parametrize("longest", [5, 60, 1024])
+def test_balance_equals_the_plain_rule(longest):
+    rng = random.Random(longest)
+    for _ in range(80):
+        lengths = sorted((rng.randint(1, longest) for _ in range(rng.randint(0, 150))), reverse=True)
+        assert packing.balance(lengths) == plain_balance(lengths, 1024)
+
+
+def test_packing_cache_is_bounded_by_bytes(corpus, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    own = packing.Ids(FILE)
+    whole = packing.tokenizer(FILE)
+    for _, text in corpus:
+        assert own.encode(text or "") == whole.encode(text or "")
+        assert own.held <= 20_000 and sum(map(len, own.known)) <= 20_000

@@ -5,7 +5,8 @@ one piece of the largest multiple of ``unit`` ids that is left, then the rest, s
 together with little padding at no more than two cuts besides the full sequences. A piece of n
 ids costs ``n + quadratic * n * n``: the linear part of a layer and attention inside the piece.
 Pieces are assigned in descending order, each to the sequence of the lowest cost so far that
-has room for it; a new sequence is opened where none has.
+has room for it (of equal costs the one with the least room, then the first); a new sequence is
+opened where none has.
 
 Pieces are dealt to shards of about ``shard_rows`` by a hash of their row number in a written
 table, and each shard is packed by itself. Only lengths and checksums travel, never ids.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from tsforge.llm.base import materialise, query, table
 
 CAPACITY, UNIT, END, QUADRATIC, SHARD_ROWS = 1024, 128, 0, 1 / 512, 20_000
-#: Pre-tokens kept between batches.
-CACHE = 400_000
+#: Bytes of pre-tokens and ids that a worker keeps between batches, and what an entry takes beside them.
+CACHE, ENTRY = 48 << 20, 200
 
 
 class Ids:
@@ -41,8 +42,8 @@ class Ids:
 
     A space after a character that is no space begins a new pre-token, so a text without double
     spaces is encoded unit by unit, and units repeat. Units go through tiktoken with the ranks of
-    the same file. The tokenizers library itself takes texts with double spaces next to other
-    white space, special strings, or characters that Unicode versions class differently.
+    the same file. The tokenizers library itself takes texts with two spaces in a row, special
+    strings, or characters that Unicode versions class differently.
     """
 
     def __init__(self, path: str):
@@ -64,6 +65,7 @@ class Ids:
             "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.odd = False
 
     def __getitem__(self, unit: str) -> bytes:
@@ -73,9 +75,13 @@ class Ids:
                 self.odd = True
                 return b""
             got = np.array(self.unit(" " + unit), dtype="<u4").tobytes()
-            if len(self.known) >= CACHE:
+            size = 4 * len(unit) + len(got) + ENTRY
+            if self.held + size > CACHE:
                 self.known.clear()
-            self.known[unit] = got
+                self.held = 0
+            if size <= CACHE // 64:
+                self.known[unit] = got
+                self.held += size
         return got
 
     def whole(self, text: str) -> bytes:
@@ -149,25 +155,26 @@ def pieces(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 def balance(lengths: list[int], capacity: int = CAPACITY, quadratic: float = QUADRATIC) -> tuple[list[int], list[int]]:
     """(sequence, offset) of each length, which come in descending order."""
-    step = 32
     room = [capacity] * -(-sum(lengths) // capacity)
-    # Heaps of (cost, sequence), one for each multiple of ``step`` that is surely free.
-    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity // step + 1)]
+    # A heap of (cost, sequence) for each free room, and the lowest cost in each.
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
     heaps[-1] = [(0.0, k) for k in range(len(room))]
+    lowest = np.full(capacity + 1, np.inf)
+    lowest[-1] = 0.0 if room else np.inf
     where, offset = [], []
     for n in lengths:
-        needed = -(-n // step)
-        best = min((h[0] + (k,) for k, h in enumerate(heaps[needed:], needed) if h), default=None)
-        if best is None:
-            best = (0.0, len(room), capacity // step)
-            room.append(capacity)
+        free = n + int(lowest[n:].argmin())
+        if heaps[free]:
+            cost, k = heapq.heappop(heaps[free])
+            lowest[free] = heaps[free][0][0] if heaps[free] else np.inf
         else:
-            heapq.heappop(heaps[best[2]])
-        cost, k, _ = best
+            cost, k, free = 0.0, len(room), capacity
+            room.append(capacity)
         where.append(k)
-        offset.append(capacity - room[k])
-        room[k] -= n
-        heapq.heappush(heaps[room[k] // step], (cost + n + quadratic * n * n, k))
+        offset.append(capacity - free)
+        room[k] = free - n
+        heapq.heappush(heaps[room[k]], (cost + n + quadratic * n * n, k))
+        lowest[room[k]] = heaps[room[k]][0][0]
     return where, offset
 
 
