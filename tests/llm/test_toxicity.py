@@ -17,9 +17,9 @@ def sample(n, seed):
     rows = []
     for k in range(n):
         w = [rng.choice(common) for _ in range(rng.randint(20, 200))]
-        toxic = int(rng.random() < 0.25)
+        toxic = rng.randint(1, 3) if rng.random() < 0.25 else 0
         if toxic:
-            for _ in range(max(2, int(len(w) * rng.choice((0.02, 0.05, 0.12))))):
+            for _ in range(max(2, int(len(w) * (0.02, 0.05, 0.12)[toxic - 1]))):
                 w.insert(rng.randrange(len(w)), rng.choice(BAD) + rng.choice(["", "s", "ing"]))
         rows.append((k, " ".join(w), toxic))
     return rows
@@ -70,4 +70,50 @@ def test_sample_is_bounded_and_stable(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     a = ordinal.fit_labelled(docs, labels, 150)
     b = ordinal.fit_labelled(docs.repartition(7), labels.repartition(5), 150)
-    assert (a.feature == b.feature).all() and np.allclose(a.weight, b.weight)
+    assert np.array_equal(a.weight, b.weight) and np.array_equal(a.threshold, b.threshold)
+
+
+def test_labels_of_two_grades_give_one_threshold(spark):
+    rows = sample(400, 4)
+    docs = spark.createDataFrame([r[:2] for r in rows] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], int(r[2] > 0)) for r in rows], "doc_id long, toxic int")
+    fitted = ordinal.fit_labelled(docs, labels)
+    assert len(fitted.threshold) == 1
+    expected, _ = ordinal.severity(fitted, pa.array([r[1] for r in rows]))
+    assert ((expected >= 0) & (expected <= 1)).all()
+
+
+def test_gradient_and_likelihood_against_brute_force(monkeypatch):
+    monkeypatch.setattr(ordinal, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    n, width, top = 25, 6, 3
+    size = rng.integers(0, 5, n)
+    at = np.r_[0, np.cumsum(size)]
+    col, x = rng.integers(0, width, at[-1]).astype(np.int32), rng.random(at[-1]).astype(np.float32)
+    grade = rng.integers(0, top + 1, n)
+    p = rng.normal(size=width + top) * 0.5
+
+    def plain(p):
+        t = [p[width]]
+        for gap in p[width + 1 :]:
+            t.append(t[-1] + np.exp(gap))
+        total = 0.0
+        for i in range(n):
+            eta = sum(p[c] * v for c, v in zip(col[at[i] : at[i + 1]], x[at[i] : at[i + 1]]))
+            above = [1.0, *(1 / (1 + np.exp(k - eta)) for k in t), 0.0]
+            total += np.log(above[grade[i]] - above[grade[i] + 1])
+        return total / n - 0.005 * (p[:width] ** 2).sum()
+
+    got, slope = ordinal.likelihood(p, at, col, x, grade, width, 0.01)
+    assert np.isclose(got, plain(p))
+    for k in range(len(p)):
+        step = np.eye(len(p))[k] * 1e-5
+        assert np.isclose(slope[k], (plain(p + step) - plain(p - step)) / 2e-5, atol=1e-6)
+
+
+def test_features_do_not_depend_on_slices(corpus):
+    column = pa.array([t for _, t in corpus])
+    model = ordinal.Model(np.random.default_rng(2).normal(size=ordinal.WIDTH), np.array([0.5, 2.0]))
+    whole, _ = ordinal.severity(model, column)
+    alone = [ordinal.severity(model, pa.array([t], type=pa.string()))[0][0] for _, t in corpus]
+    assert np.allclose(whole, alone)
