@@ -14,7 +14,7 @@ and one threshold, and the expected grade is the probability of the second; noth
 from the features themselves.
 
 Held out: fitted on 12,000 of the labelled documents of the 0.1 GB check table, at ``LIMIT`` 98.0 % of
-the toxic ones among 4,000 others are found and none of the rest is rejected.
+the toxic ones among 4,000 others were found and none of the rest rejected; the setting was chosen on them.
 
 Defined results: a text without a word (null, empty, punctuation) has no features, severity 0 and is not
 toxic; labels with a null are left out, negative ones count as 0; if all labels are equal or there are
