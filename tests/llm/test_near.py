@@ -6,8 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsforge.llm import chunks, jaccard, lines, regions, vectors
-from tsforge.llm import text as tx
+from tsforge.llm import chunks, jaccard, regions, vectors
 from tsforge.llm.components import components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,11 +65,9 @@ def family():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("pivots", [1, 4])
-def test_jaccard_components(make, corpus, family, monkeypatch, pivots):
-    monkeypatch.setattr(regions, "PIVOTS", pivots)
-    monkeypatch.setattr(regions, "GROWTH", 3)
-    monkeypatch.setattr(regions, "CENTRAL", pivots)
+@pytest.mark.parametrize("block", [16, 2048])
+def test_jaccard_components(make, corpus, family, monkeypatch, block):
+    monkeypatch.setattr(regions, "BLOCK", block)
     rows = corpus + [(i + 10_000, t) for i, t in family]
     sets, expected = plain_components(rows)
     got = {r["doc_id"]: r for r in jaccard.near_documents(make(rows)).collect()}
@@ -111,102 +108,6 @@ def test_components_of_chains_stars_and_loops(spark, make):
     assert components(make([], "a long, b long")).count() == 0
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def test_edit_distance():
-    rng = random.Random(4)
-    for _ in range(400):
-        a = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 40)))
-        b = bytearray(a)
-        for _ in range(rng.randint(0, 8)):
-            at = rng.randint(0, len(b))
-            b[at : at + rng.randint(0, 1)] = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 1)))
-        b, most = bytes(b), rng.randint(0, 10)
-        assert lines.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
-
-
-def plain_lines(rows):
-    """Texts after the removal, with all pairs of lines compared."""
-    order = sorted(rows)
-    items, bits = {}, {}
-    for _, text in order:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        begin, end, _, _, n, first, w = lines.long_lines(raw, np.array([0, len(raw)]))
-        for b, e, s in zip(begin, end, lines.simhashes(raw, w, first, n)):
-            key = lines.normalise(raw[b:e].tobytes())
-            items.setdefault(key, len(items))
-            bits[items[key]] = int(s)
-    keys = list(items)
-    links = [(i, j) for i in range(len(keys)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= lines.MAX_BITS
-             and levenshtein_ok(keys[i], keys[j])]
-    group = least_reachable(range(len(keys)), links)
-    met, out = set(), {}
-    for i, text in order:
-        if text is None:
-            out[i] = None
-            continue
-        kept = []
-        for line in text.split("\n"):
-            key = lines.normalise(line.encode())
-            if len(key) >= lines.MIN_BYTES:
-                if group[items[key]] in met:
-                    continue
-                met.add(group[items[key]])
-            kept.append(line)
-        out[i] = "\n".join(kept)
-    return out
-
-
-def levenshtein_ok(a, b):
-    return lines.line_distance(a, b) <= lines.LIMIT
-
-
-def test_lines(make, corpus, family, monkeypatch):
-    monkeypatch.setattr(tx, "SLICE", 5000)
-    few = [(i + 10_000, "\n".join(t[k : k + 150] for k in range(0, len(t), 150))) for i, t in family[:80]]
-    rows = corpus + few + [(900, "Some line that is long enough\nSome line, that is long enough!\nshort\nshort")]
-    out = lines.deduplicate(make([(*r, 1, 2) for r in rows], "doc_id long, text string, removed_lines long, _key long"))
-    assert out.columns == ["doc_id", "text", "_key", "removed_lines"]
-    got = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert got == plain_lines(rows)
-    assert got[900] == "Some line that is long enough\nshort\nshort"
-    assert lines.deduplicate(make([])).count() == 0
-
-
-def test_fuzzy_lines_are_caught(make):
-    rng = random.Random(6)
-    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(900)]
-    base = [[rng.choice(words) for _ in range(90)] for _ in range(60)]
-    rows = []
-    for k, w in enumerate(base):
-        other = list(w)
-        other[45] = other[45] + "s"
-        rows += [(k, " ".join(w)), (1000 + k, " ".join(other))]
-    out = {r["doc_id"]: r["removed_lines"] for r in lines.deduplicate(make(rows)).collect()}
-    assert all(out[k] == 0 for k in range(60))
-    assert sum(out[1000 + k] for k in range(60)) >= 20
-
-
-def test_blocks_lose_no_pair():
-    rng = random.Random(8)
-    for r in (5, 6, 7, 8):
-        masks = lines.masks(r)
-        for _ in range(200):
-            a = rng.getrandbits(64)
-            b = a
-            for bit in rng.sample(range(64), lines.MAX_BITS):
-                b ^= 1 << bit
-            assert any((a & m) == (b & m) for m in (m % (1 << 64) for m in masks))
-    assert [lines.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)] == [5, 5, 6, 7]
-
-
 def test_chunks_resist_shifts_and_catch_passages(make):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("etaoinshrdlué") for _ in range(rng.randint(2, 9)))
@@ -288,8 +189,7 @@ def test_no_vectors_and_no_ids(make):
 
 def test_regions_are_exhausted(make, monkeypatch):
     """One crowded region of strangers and two families: every linked pair is connected."""
-    monkeypatch.setattr(regions, "GROWTH", 2)
-    monkeypatch.setattr(regions, "CENTRAL", 2)
+    monkeypatch.setattr(regions, "BLOCK", 11)
     spots = {k: (k if k < 30 else 100 + (k % 2) * 50 + k / 100) for k in range(60)}
     members = make([(1, k, 0) for k in spots], "key long, id long, aux long")
 
@@ -325,3 +225,49 @@ def test_sketches_never_exclude_a_link():
         shared = len(np.intersect1d(sets[i], sets[j]))
         assert m or 4 * shared < 3 * (aux[i] + aux[j] - shared)
     assert may.mean() < 0.6
+
+
+def test_forests_span_what_may_link(monkeypatch):
+    """Doubling forests of a region: few edges, edge-disjoint, all pairs in the end."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m = int(rng.integers(2, 30))
+        spot, root = rng.integers(0, 40, m), np.arange(m)
+        root[rng.random(m) < 0.4] = 0
+        side = rng.integers(0, 2, m) * int(rng.integers(0, 2))
+        got = {"id": np.arange(m), "aux": spot, "root": root, "side": side, "home": np.arange(m), "away": np.zeros(m)}
+        rules = regions.Rules(lambda a, b: np.abs(a - b) <= 6, None, np.inf)
+        both = len(set(side.tolist())) > 1
+        wanted = {(a, b) for a in range(m) for b in range(a + 1, m) if abs(spot[a] - spot[b]) <= 6 and root[a] != root[b]
+                  and (not both or side[a] != side[b])}
+        many, left_out = 1, True
+        while left_out:
+            edges, left_out = regions.forests(got, rules, many)
+            assert len(edges) == len(set(edges)) <= many * (m - 1) and set(edges) <= wanted
+            joined = [(int(a), int(b)) for a, b in enumerate(root)]
+            assert least_reachable(range(m), joined + edges) == least_reachable(range(m), joined + list(wanted))
+            many *= 2
+        assert set(edges) == wanted
+
+
+def test_stars_do_not_depend_on_batches():
+    rng = np.random.default_rng(8)
+    size = rng.choice([1, 2, 3, 4, 5, 9, 40], 60)
+    key = np.repeat(np.arange(60), size)
+    ids = np.concatenate([np.sort(rng.choice(1000, n, replace=False)) for n in size])
+    again = rng.integers(1, 3, len(key))
+    near = lambda a, b: np.abs(a - b) <= 500
+    for step in (1, 2, 3, 7, 1000):
+        stars, pairs, crowd = regions.Stars(near), set(), []
+        k, i = np.repeat(key, again), np.repeat(ids, again)
+        for first in range(0, len(k), step):
+            p, c = stars.feed(k[first : first + step], i[first : first + step], i[first : first + step])
+            pairs |= set(map(tuple, p.tolist()))
+            crowd += zip(*(x.tolist() for x in c))
+        if not stars.crowded:
+            none = np.zeros(0, dtype=np.int64)
+            pairs |= set(map(tuple, stars.feed(none, none, none, end=True)[0].tolist()))
+        groups = [ids[key == n].tolist() for n in range(60)]
+        assert pairs == {(a, b) for g in groups if len(g) <= regions.FEW for k, a in enumerate(g) for b in g[k + 1 :] if b - a <= 500}
+        wanted = [(n, b, b, g[0] if b - g[0] <= 500 else b) for n, g in enumerate(groups) if len(g) > regions.FEW for b in g]
+        assert sorted(crowd) == wanted

@@ -1,22 +1,23 @@
 """Joins inside overlapping regions, by pivots, recursively and exactly.
 
-A region is a key with members; two items that may be linked share a region. Members are dealt by
-key and sorted, so a region streams through a task of bounded state. The first members of a region
-are its pivots: every later member is paired with them. A region of few members is thereby done.
-What is left of a crowded one, its other members, is joined again, with more pivots each time,
-after what is known by then has cut it down:
-
-* members that links already connect are never paired (all that matters is who is connected);
-  a region whose members are all connected is finished;
-* a member keeps its nearest pivot so far as its Voronoi home, with the distance. If two members
-  of one home differ in that distance by more than the limit, the triangle inequality keeps them
-  apart, and they are not paired;
-* sketches bound the distance of a pair from below, and a pair that cannot link is not paired;
-* pivots are taken from the middle: members with the smallest mean distance to earlier pivots
-  come first, since they connect most of a crowd at once.
-
-Rounds go on until no region has an unconnected pair that was not compared or excluded by a
-bound, so the result is exact however crowded a region is.
+A region is a key with members; two items that may be linked share a region. All that matters is
+who is connected, so no step makes all pairs of a region.
+
+* Members are dealt by key and sorted, and stream through a task of bounded state. A key with one
+  member ends there. A region of at most ``FEW`` members gives its pairs. A crowded one gives one row
+  a member, with the region's first member as its pivot: a star.
+* Linked stars become components. A region whose members are all connected is finished, which is
+  what happens to a group of near copies, however large.
+* What is left of a crowded region is dealt in blocks, every two of which meet in one task. There a
+  pair is left out when components connect it already, when two members have the same nearest pivot
+  at distances that differ by more than the limit (the triangle inequality keeps them apart), or
+  when sketches bound it from below. Of the pairs left the task returns a spanning forest, of fewer
+  edges than members, never the pairs.
+* Forest edges are compared. Most link, and connect the region. A region that had more pairs than its
+  forest held goes to the next round, which takes twice as many forests that share no edge, until
+  it is connected or no pair is left out.
+
+So the result is exact however crowded a region is, and what a round gives grows with the members.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from tsforge.llm.base import materialise
 from tsforge.llm.components import components
 
-#: Pivots of the first round, of the second, the factor from then on, and pairs held at once.
-PIVOTS, CENTRAL, GROWTH, PAIRS = 4, 8, 512, 1 << 18
+#: Members whose pairs are made at once, and members of a block of a crowded region.
+FEW, BLOCK = 4, 2048
+#: Words of sketches that are compared at once.
+PAIRS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,6 @@ class Space:
     sketches: Callable[[DataFrame], DataFrame] | None = None
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
 
-
     @property
     def rules(self) -> Rules:
         return Rules(self.near, self.bound, self.limit + 1e-9 if self.metric else float("inf"))
@@ -69,118 +71,202 @@ class Rules:
     window: float
 
 
+class Sketches:
+    """Sketches of some rows, folded to each length that occurs among them."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.size = np.fromiter(map(len, sketch), dtype=np.int64, count=len(sketch))
+        self.place: dict[int, np.ndarray] = {}
+        self.words: dict[int, np.ndarray] = {}
+        folded = np.zeros((0, 0), dtype=np.uint64)
+        rows = np.zeros(0, dtype=np.int64)
+        for n in sorted(set(self.size.tolist()), reverse=True):
+            while len(rows) and folded.shape[1] * 8 > n:
+                folded = folded[:, : folded.shape[1] // 2] ^ folded[:, folded.shape[1] // 2 :]
+            mine = np.flatnonzero(self.size == n)
+            own = np.frombuffer(b"".join(sketch[mine].tolist()), dtype=np.uint64).reshape(len(mine), -1)
+            folded = np.concatenate([folded, own]) if len(rows) else own
+            rows = np.r_[rows, mine]
+            place = np.full(len(sketch), -1, dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            self.place[n], self.words[n] = place, folded
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of the rows differ, at the shorter one's length."""
+        out = np.zeros(len(a), dtype=np.int64)
+        size = np.minimum(self.size[a], self.size[b])
+        for n in set(size.tolist()):
+            chosen = np.flatnonzero(size == n)
+            place, words = self.place[n], self.words[n]
+            step = max(1, PAIRS // words.shape[1])
+            for first in range(0, len(chosen), step):
+                part = chosen[first : first + step]
+                bits = np.bitwise_count(words[place[a[part]]] ^ words[place[b[part]]])
+                out[part] = bits.sum(axis=1, dtype=np.int64)
+        return out
+
+
 def may_link(sketch: np.ndarray, aux: np.ndarray, a: np.ndarray, b: np.ndarray, bound) -> np.ndarray:
     """Whether the bound lets the pairs of rows (a, b) link."""
-    size = np.fromiter(map(len, sketch), dtype=np.int64, count=len(sketch))
-    out = np.zeros(len(a), dtype=bool)
-    place, words = np.zeros(len(sketch), dtype=np.int64), {}
-    for n in np.unique(size).tolist():
-        rows = np.flatnonzero(size == n)
-        place[rows] = np.arange(len(rows))
-        words[n] = np.frombuffer(b"".join(sketch[rows].tolist()), dtype=np.uint64).reshape(len(rows), -1)
-    pair = size[a] * (size.max(initial=0) + 1) + size[b]
-    for kind in np.unique(pair).tolist():
-        chosen = np.flatnonzero(pair == kind)
-        x, y = words[int(size[a[chosen[0]]])], words[int(size[b[chosen[0]]])]
-        while x.shape[1] != y.shape[1]:
-            if x.shape[1] > y.shape[1]:
-                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-            else:
-                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
-        step = max(1, PAIRS * 16 // x.shape[1])
-        for first in range(0, len(chosen), step):
-            part = chosen[first : first + step]
-            bits = np.bitwise_count(x[place[a[part]]] ^ y[place[b[part]]]).sum(axis=1, dtype=np.int64)
-            out[part] = bound(bits, aux[a[part]], aux[b[part]])
-    return out
-
-
-class Stream:
-    """Pairs of each region's members with its pivots, over batches sorted by key."""
-
-    def __init__(self, rules: Rules, pivots: int):
-        self.rules, self.pivots = rules, pivots
-        self.head: dict[str, np.ndarray] | None = None
-        self.seen, self.last = 0, 0
-
-    def feed(self, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-        """(a, b) of the pairs, and row numbers of the members that are no pivots, with their columns."""
-        key, ids = columns["key"], columns["id"]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
-        go_on = self.head is not None and self.head["key"][0] == key[0]
-        if go_on and ids[0] == self.last:
-            fresh[0] = False
-        columns = {c: x[fresh] for c, x in columns.items()}
-        if not len(columns["key"]):
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none, columns
+    return bound(Sketches(sketch).differ(a, b), aux[a], aux[b])
+
+
+class Stars:
+    """Regions of batches sorted by (key, id): pairs of small ones, stars of crowded ones."""
+
+    def __init__(self, near):
+        self.near = near
+        self.held: tuple[np.ndarray, ...] | None = None
+        self.crowded = False
+
+    def feed(self, key: np.ndarray, ids: np.ndarray, aux: np.ndarray, end: bool = False):
+        """(pairs (a, b), crowd (key, id, aux, pivot)) that are settled by these rows."""
         old = 0
-        if go_on:
-            old = len(self.head["key"])
-            columns = {c: np.concatenate([self.head[c], x]) for c, x in columns.items()}
-        key = columns["key"]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        if self.held is not None:
+            old = len(self.held[0]) if self.crowded else 0
+            key, ids, aux = (np.concatenate(x) for x in zip(self.held, (key, ids, aux)))
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
+        key, ids, aux = key[fresh], ids[fresh], aux[fresh]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         size = np.diff(np.r_[start, len(key)])
-        begin = np.repeat(start, size)
-        place = np.arange(len(key)) - begin
-        if go_on:
-            place[old : size[0]] += self.seen - old
-        a, b = self._pairs(columns, begin, place, old)
-        rest = np.flatnonzero((place >= self.pivots) & (np.arange(len(key)) >= old))
-        final = start[-1]
-        self.seen, self.last = int(place[-1]) + 1, columns["id"][-1]
-        self.head = {c: x[final : final + self.pivots].copy() for c, x in columns.items()}
-        return a, b, rest, columns
-
-    def _pairs(self, columns, begin, place, old) -> tuple[np.ndarray, np.ndarray]:
-        many = np.minimum(place, self.pivots)
-        many[:old] = 0
-        rows = np.flatnonzero(many)
-        out = [np.zeros((0, 2), dtype=np.int64)]
-        total = np.cumsum(many[rows])
-        first = 0
-        while first < len(rows):
-            base = total[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(total, base + PAIRS, side="right")))
-            take = rows[first:last]
-            n = many[take]
-            member = np.repeat(take, n)
-            pivot = np.repeat(begin[take], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keep = self.rules.near(columns["aux"][pivot], columns["aux"][member])
-            if "root" in columns:
-                keep &= columns["root"][pivot] != columns["root"][member]
-                apart = np.abs(columns["away"][pivot] - columns["away"][member]) > self.rules.window
-                keep &= ~(apart & (columns["home"][pivot] == columns["home"][member]))
-            pivot, member = pivot[keep], member[keep]
-            if "sketch" in columns and len(pivot):
-                keep = may_link(columns["sketch"], columns["aux"], pivot, member, self.rules.bound)
-                pivot, member = pivot[keep], member[keep]
-            ends = np.stack([columns["id"][pivot], columns["id"][member]], axis=1)
-            out.append(np.unique(np.sort(ends, axis=1) if "root" in columns else ends, axis=0))
-            first = last
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pairs[:, 0], pairs[:, 1]
-
-
-def _pass(members: DataFrame, space: Space, pivots: int, order: list[str]) -> DataFrame:
-    """(what, x, y, aux): pairs (0, a, b, -) and the members that are no pivots (1, key, id, aux)."""
-    names, rules = members.columns, space.rules
+        crowd = size > FEW
+        crowd[:1] |= self.crowded
+        settled = np.ones(len(start), dtype=bool)
+        if len(start) and not end:
+            # The last region may go on: few members wait, of a crowd the pivot and the last member.
+            last, self.crowded = start[-1], bool(crowd[-1])
+            keep = np.array([last, len(key) - 1]) if self.crowded else np.arange(last, len(key))
+            self.held = key[keep], ids[keep], aux[keep]
+            settled[-1] = self.crowded
+        row_crowd = np.repeat(crowd & settled, size)
+        row_few = np.repeat(~crowd & settled, size)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, FEW):
+            a = np.flatnonzero(row_few[:-step] & (key[:-step] == key[step:]))
+            a = a[self.near(aux[a], aux[a + step])]
+            left.append(ids[a])
+            right.append(ids[a + step])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+        row_crowd[:old] = False
+        rows = np.flatnonzero(row_crowd)
+        pivot = np.repeat(start, size)[rows]
+        pivot = np.where(self.near(aux[pivot], aux[rows]), ids[pivot], ids[rows])
+        return pairs, (key[rows], ids[rows], aux[rows], pivot)
+
+
+def _stars(members: DataFrame, space: Space) -> DataFrame:
+    """(key, id, aux, pivot) of crowded regions, and pairs of small ones as (null, b, null, a)."""
+    near = space.near
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Stream(rules, pivots)
+        stars = Stars(near)
+        none = np.zeros(0, dtype=np.int64)
+
+        def out(pairs, crowd):
+            key, ids, aux, pivot = crowd
+            gap = pa.nulls(len(pairs), pa.int64())
+            columns = [
+                pa.concat_arrays([gap, pa.array(key)]),
+                pa.array(np.r_[pairs[:, 1], ids]),
+                pa.concat_arrays([gap, pa.array(aux)]),
+                pa.array(np.r_[pairs[:, 0], pivot]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "aux", "pivot"])
+
+        for batch in batches:
+            if batch.num_rows:
+                found = out(*stars.feed(*(batch.column(c).to_numpy() for c in ("key", "id", "aux"))))
+                if found.num_rows:
+                    yield found
+        if stars.held is not None and not stars.crowded:
+            yield out(*stars.feed(none, none, none, end=True))
+
+    dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions("key", "id")
+    return materialise(dealt.mapInArrow(run, "key long, id long, aux long, pivot long"), "stars")
+
+
+def forests(members: dict[str, np.ndarray], rules: Rules, many: int) -> tuple[list[tuple[int, int]], bool]:
+    """Edges (a, b) of ``many`` forests over the pairs of one region that may link, and whether pairs are left out.
+
+    Members of one root are connected already. Where ``side`` differs among members, only pairs of both sides count.
+    """
+    root, side = members["root"], members["side"]
+    _, code, count = np.unique(root, return_inverse=True, return_counts=True)
+    order = np.lexsort((members["id"], code, count[code]))
+    got = {c: x[order] for c, x in members.items()}
+    code, ids, aux, side = code[order], got["id"], got["aux"], side[order]
+    both = bool((side != side[0]).any())
+    labels = [code.copy() for _ in range(many)]
+    sketches = Sketches(got["sketch"]) if "sketch" in got else None
+    edges, left_out = [], False
+    for i in range(int((code != code[-1]).sum())):
+        rest = i + 1 + np.flatnonzero(code[i + 1 :] != code[i])
+        if both:
+            rest = rest[side[rest] != side[i]]
+        if many == 1 and left_out:
+            rest = rest[labels[0][rest] != labels[0][i]]
+        rest = rest[rules.near(np.broadcast_to(aux[i], len(rest)), aux[rest])]
+        apart = (got["home"][rest] == got["home"][i]) & (np.abs(got["away"][rest] - got["away"][i]) > rules.window)
+        rest = rest[~apart]
+        if sketches is not None and len(rest):
+            at = np.broadcast_to(i, len(rest))
+            rest = rest[rules.bound(sketches.differ(at, rest), aux[at], aux[rest])]
+        for label in labels:
+            if not len(rest):
+                break
+            _, first = np.unique(label[rest], return_index=True)
+            first = first[label[rest[first]] != label[i]]
+            chosen = rest[first]
+            edges += [(int(min(ids[i], b)), int(max(ids[i], b))) for b in ids[chosen]]
+            label[np.isin(label, label[chosen])] = label[i]
+            rest = np.delete(rest, first)
+        left_out |= len(rest) > 0
+    return edges, left_out
+
+
+def _round(dealt: DataFrame, space: Space, many: int) -> DataFrame:
+    """(key, a, b): forest edges, and (key, null, null) of regions with pairs left out."""
+    names, rules = dealt.columns, space.rules
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(parts):
+            got = {c: np.concatenate([p[c] for p in parts]) for c in names}
+            edges, left_out = forests(got, rules, many)
+            a, b = [x for x, _ in edges], [y for _, y in edges]
+            if left_out:
+                a, b = [*a, None], [*b, None]
+            key = np.repeat(got["key"][:1], len(a))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "a", "b"])
+
+        parts, at = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             got = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            a, b, rows, kept = stream.feed(got)
-            x, y = np.r_[a, kept["key"][rows]], np.r_[b, kept["id"][rows]]
-            if len(x):
-                what = np.repeat(np.array([0, 1], dtype=np.int32), [len(a), len(rows)])
-                aux = np.r_[np.zeros(len(a), dtype=np.int64), kept["aux"][rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (what, x, y, aux)], names=["what", "x", "y", "aux"])
-
-    dealt = members.repartition("key").sortWithinPartitions("key", *order)
-    return materialise(dealt.mapInArrow(run, "what int, x long, y long, aux long"), "regions")
+            change = np.r_[True, (got["key"][1:] != got["key"][:-1]) | (got["part"][1:] != got["part"][:-1])]
+            edges = np.r_[np.flatnonzero(change), batch.num_rows]
+            for first, last in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                now = got["key"][first], got["part"][first]
+                if parts and now != at:
+                    yield settle(parts)
+                    parts = []
+                at = now
+                parts.append({n: x[first:last] for n, x in got.items()})
+        if parts:
+            yield settle(parts)
+
+    spread = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    return materialise(spread.mapInArrow(run, "key long, a long, b long"), "forests")
+
+
+def _in_blocks(open_: DataFrame) -> DataFrame:
+    """Members once for every other block of their region, with (part, side); one part holds two blocks."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A block alone (part = its own pair) has one side; two blocks have two.
+    part = F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")
+    return rows.withColumn("part", part).withColumn("side", (F.col("mine") > F.col("other")).cast("int")).drop("blocks", "mine", "other")
 
 
 def connect(members: DataFrame, space: Space) -> DataFrame:
@@ -188,43 +274,41 @@ def connect(members: DataFrame, space: Space) -> DataFrame:
 
     ``members`` (key, id, aux) are the regions. A pair links when its distance is at most the limit.
     """
-    found = _pass(members, space, PIVOTS, ["id"])
-    pairs, rest = _pairs_of(found), _rest_of(found)
+    found = _stars(members, space)
+    crowd = found.filter("key IS NOT NULL").select("key", "id", "aux")
+    pairs = found.filter("pivot <> id").groupBy(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    pairs = materialise(pairs.agg(F.count("*").alias("met")), "pairs")
     sketches = None
     if space.sketches:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(rest.select("id")).distinct()
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
         sketches = materialise(space.sketches(ids), "sketches")
         pairs = _bounded(pairs, space, sketches)
 
-    # Each item with its first pivot, then the other pairs that are not connected by then.
-    known = materialise(space.compare(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "distances")
+    # Each item with the pivot that it meets most often, then the other pairs that are not connected by then.
+    likely = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a")).select("a", "b")
+    known = materialise(space.compare(likely), "distances")
     roots = _roots(known, space)
-    more = _new(pairs, known, roots)
-    if not more.isEmpty():
-        known = known.unionByName(materialise(space.compare(more), "distances"))
-        roots = _roots(known, space)
+    known, roots = _learn(pairs.select("a", "b"), known, roots, space)
 
-    pivots = CENTRAL
+    many, live = 1, None
     while True:
-        open_ = _open(rest, roots, known, sketches)
+        open_ = _open(crowd if live is None else crowd.join(live, "key", "left_semi"), roots, known, sketches)
         if open_.isEmpty():
             return roots
-        found = _pass(open_, space, pivots, ["middle", "id"])
-        rest = _rest_of(found)
-        more = _new(_pairs_of(found), known, roots)
-        if not more.isEmpty():
-            known = known.unionByName(materialise(space.compare(more), "distances"))
-            roots = _roots(known, space)
-        pivots *= GROWTH
+        found = _round(_in_blocks(open_), space, many)
+        live = materialise(found.filter("a IS NULL").select("key").distinct(), "live")
+        known, roots = _learn(found.filter("a IS NOT NULL").select("a", "b").distinct(), known, roots, space)
+        many *= 2
 
 
-def _pairs_of(found: DataFrame) -> DataFrame:
-    pairs = found.filter("what = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return materialise(pairs.distinct(), "pairs")
-
-
-def _rest_of(found: DataFrame) -> DataFrame:
-    return found.filter("what = 1").select(F.col("x").alias("key"), F.col("y").alias("id"), "aux")
+def _learn(pairs: DataFrame, known: DataFrame, roots: DataFrame, space: Space) -> tuple[DataFrame, DataFrame]:
+    """What is known, and the roots, after the comparison of those pairs that are neither known nor connected."""
+    apart = _with_root(_with_root(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
+    more = materialise(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return known, roots
+    known = known.unionByName(materialise(space.compare(more), "distances"))
+    return known, _roots(known, space)
 
 
 def _bounded(pairs: DataFrame, space: Space, sketches: DataFrame) -> DataFrame:
@@ -241,10 +325,10 @@ def _bounded(pairs: DataFrame, space: Space, sketches: DataFrame) -> DataFrame:
             both = np.concatenate([got["sketch_a"], got["sketch_b"]])
             aux = np.concatenate([got["aux_a"], got["aux_b"]])
             keep = may_link(both, aux, np.arange(n), n + np.arange(n), bound)
-            yield pa.RecordBatch.from_arrays([pa.array(got["a"][keep]), pa.array(got["b"][keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(got[c][keep]) for c in ("a", "b", "met")], names=["a", "b", "met"])
 
     joined = pairs.join(right, "b").join(left, "a")
-    return materialise(joined.mapInArrow(run, "a long, b long"), "pairs")
+    return materialise(joined.mapInArrow(run, "a long, b long, met long"), "pairs")
 
 
 def _roots(known: DataFrame, space: Space) -> DataFrame:
@@ -256,22 +340,15 @@ def _with_root(rows: DataFrame, roots: DataFrame, column: str, name: str) -> Dat
     return rows.join(part, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _new(pairs: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those pairs that are neither known nor connected."""
-    apart = _with_root(_with_root(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-    return materialise(apart.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-
-
-def _open(rest: DataFrame, roots: DataFrame, known: DataFrame, sketches: DataFrame | None) -> DataFrame:
-    """Members of regions that are not all connected, with what is known of each."""
-    state = materialise(_with_root(rest, roots, "id", "root"), "rest")
+def _open(crowd: DataFrame, roots: DataFrame, known: DataFrame, sketches: DataFrame | None) -> DataFrame:
+    """Members of crowded regions that are not all connected, with what is known of each."""
+    state = materialise(_with_root(crowd, roots, "id", "root"), "crowd")
     span = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     live = materialise(span.filter("lo < hi").select("key"), "live")
-    home = known.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("d", "a")).alias("near"), F.avg("d").alias("middle"))
-    home = home.select("id", F.col("near.a").alias("home"), F.col("near.d").alias("away"), "middle")
+    home = known.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("d", "a")).alias("near"))
+    home = home.select("id", F.col("near.a").alias("home"), F.col("near.d").alias("away"))
     state = state.join(live, "key").join(home, "id", "left")
     columns = [F.coalesce("home", "id").alias("home"), F.coalesce("away", F.lit(0.0)).alias("away")]
-    columns += [F.coalesce("middle", F.lit(1.0)).alias("middle")]
     if sketches is None:
         return materialise(state.select("key", "id", "aux", "root", *columns), "open")
     state = state.join(sketches.select("id", "sketch"), "id")
