@@ -11,10 +11,10 @@ who is connected, so no step makes all pairs of a region.
 * What is left of a crowded region is dealt in blocks, every two of which meet in one task. There a
   pair is left out when components connect it already, when two members have the same nearest pivot
   at distances that differ by more than the limit (the triangle inequality keeps them apart), or
-  when sketches bound it from below. Of the pairs left the task returns a spanning forest, of fewer
-  edges than members, never the pairs.
+  when sketches bound it from below. Of the pairs left the task returns a few spanning forests, each of
+  fewer edges than members, never the pairs.
 * Forest edges are compared. Most link, and connect the region. A region that had more pairs than its
-  forest held goes to the next round, which takes twice as many forests that share no edge, until
+  forests held goes to the next round, which takes four times as many that share no edge, until
   it is connected or no pair is left out.
 
 So the result is exact however crowded a region is, and what a round gives grows with the members.
@@ -35,6 +35,8 @@ from tsforge.llm.components import components
 
 #: Members whose pairs are made at once, and members of a block of a crowded region.
 FEW, BLOCK = 4, 2048
+#: Forests of the first round, and their growth from round to round.
+FORESTS = 4
 #: Words of sketches that are compared at once.
 PAIRS = 1 << 22
 
@@ -290,7 +292,7 @@ def connect(members: DataFrame, space: Space) -> DataFrame:
     roots = _roots(known, space)
     known, roots = _learn(pairs.select("a", "b"), known, roots, space)
 
-    many, live = 1, None
+    many, live = FORESTS, None
     while True:
         open_ = _open(crowd if live is None else crowd.join(live, "key", "left_semi"), roots, known, sketches)
         if open_.isEmpty():
@@ -298,7 +300,7 @@ def connect(members: DataFrame, space: Space) -> DataFrame:
         found = _round(_in_blocks(open_), space, many)
         live = materialise(found.filter("a IS NULL").select("key").distinct(), "live")
         known, roots = _learn(found.filter("a IS NOT NULL").select("a", "b").distinct(), known, roots, space)
-        many *= 2
+        many *= FORESTS
 
 
 def _learn(pairs: DataFrame, known: DataFrame, roots: DataFrame, space: Space) -> tuple[DataFrame, DataFrame]:
