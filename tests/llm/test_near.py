@@ -271,3 +271,86 @@ def test_stars_do_not_depend_on_batches():
         assert pairs == {(a, b) for g in groups if len(g) <= regions.FEW for k, a in enumerate(g) for b in g[k + 1 :] if b - a <= 500}
         wanted = [(n, b, b, g[0] if b - g[0] <= 500 else b) for n, g in enumerate(groups) if len(g) > regions.FEW for b in g]
         assert sorted(crowd) == wanted
+
+
+def test_near_copies_give_one_edge_a_member(make, monkeypatch):
+    """Items that meet in many regions: one region of the same members, no more edges than its members, all links found."""
+    made = []
+
+    class Close:
+        step = 1 << 30
+
+        def __init__(self, body, key):
+            self.spot = np.array([int(x) for x in body])
+
+        def may(self, a, b):
+            return np.ones(len(a), dtype=bool)
+
+        def links(self, i, rest):
+            return abs(self.spot[rest] - self.spot[i]) <= 1
+
+    rows = [(key, k, 0) for key in range(30) for k in range(100)] + [(100 + k, k, 0) for k in range(300)]
+    bodies = make([(k, str(k if k < 50 else 10 * k).encode()) for k in range(300)], "id long, body binary")
+    members = make(rows, "key long, id long, aux long")
+    assert regions._shared(members).count() == 100
+    monkeypatch.setattr(regions, "components", lambda edges: made.append(edges.count()) or components(edges))
+    space = regions.Space(near=lambda a, b: np.ones(len(a), bool), bodies=lambda ids: bodies, judge=Close)
+    got = regions.connect(members, space).collect()
+    assert made == [49] and sorted(r["id"] for r in got) == list(range(50)) and len({r["root"] for r in got}) == 1
+
+
+def test_shared_members_do_not_depend_on_batches():
+    rng = np.random.default_rng(4)
+    size = rng.choice([1, 1, 2, 3, 40], 60)
+    key = np.repeat(np.arange(60), size)
+    ids = np.concatenate([np.sort(rng.choice(1000, n, replace=False)) for n in size])
+    wanted = [(k, i) for k, i in zip(key.tolist(), ids.tolist()) if size[k] > 1]
+    sums = {n: int(jaccard.tx.mix(ids[key == n].view(np.uint64) ^ jaccard.tx.BASE).sum().view(np.int64)) for n in range(60)}
+    again = rng.integers(1, 3, len(key))
+    k, i, none = np.repeat(key, again), np.repeat(ids, again), np.zeros(0, dtype=np.int64)
+    for step in (1, 2, 3, 7, 1000):
+        shared, rows, marks = regions.Shared(), [], []
+        for first in [*range(0, len(k), step), None]:
+            part = (k[first : first + step], i[first : first + step]) if first is not None else (none, none)
+            r, m = shared.feed(*part, part[1], end=first is None)
+            rows += zip(*(x.tolist() for x in r[:2]))
+            marks += zip(*(x.tolist() for x in m))
+        assert sorted(rows) == wanted
+        assert sorted(marks) == [(n, int(size[n]), sums[n]) for n in range(60) if size[n] > 1]
+
+
+def test_settled_rows_are_those_that_links_reach(monkeypatch):
+    rng = np.random.default_rng(6)
+
+    class Close:
+        def __init__(self, spot, step):
+            self.spot, self.step = spot, step
+
+        def may(self, a, b):
+            return abs(self.spot[a] - self.spot[b]) <= 3
+
+        def links(self, i, rest):
+            return abs(self.spot[rest] - self.spot[i]) <= 2
+
+    for step in (1, 5, 1 << 30):
+        for _ in range(20):
+            size = rng.choice([1, 2, 3, 30, 65, 90], 4)
+            n, region = int(size.sum()), np.repeat(np.arange(4), size)
+            spot, root = rng.integers(0, 300, n), rng.integers(0, 2 * n, n)
+            side = rng.integers(0, 2, n) * rng.integers(0, 2, 4)[region]
+            got = regions.settle(size, np.zeros(n), side, lambda a, b: np.ones(len(a), bool), Close(spot, step), root)
+            two = [len(set(side[region == k].tolist())) > 1 for k in range(4)]
+            a, b = np.triu_indices(n, 1)
+            linked = (abs(spot[a] - spot[b]) <= 2) & ~(np.array(two)[region[a]] & (side[a] == side[b])) | (root[a] == root[b])
+            pairs = [(int(x), int(y)) for x, y in zip(a, b) if region[x] == region[y]]
+            pairs = [p for p, yes in zip(pairs, linked[region[a] == region[b]].tolist()) if yes]
+            wanted = least_reachable(range(n), pairs)
+            classes = [wanted[k] for k in range(n)]
+            assert len(set(zip(classes, got.tolist()))) == len(set(classes)) == len(set(got.tolist()))
+
+
+def test_sieve_passes_all_wanted_and_few_others(make):
+    ids = np.random.default_rng(9).integers(-(1 << 63), 1 << 63, 4000)
+    words = regions.sieve(make([(int(i),) for i in ids[:1000]], "id long"))
+    got = regions.passes(words, ids.view(np.uint64))
+    assert got[:1000].all() and got[1000:].mean() < 0.25

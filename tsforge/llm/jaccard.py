@@ -7,10 +7,9 @@ shingles, else 1, so its nearest pivots are its own shingles, and ties are broke
 order. A document can only link to one that it shares at least 3/4 of its shingles with, so the
 window around the regions' boundaries is the first n - ceil(3n/4) + 1 shingles of that order: two
 linked documents meet in at least one region. The order puts shingles that many documents
-share last (counted over all documents), then goes by hash. Inside the regions, pivots are
-documents; see ``regions``: Voronoi homes, windows by the triangle inequality, recursion, and an
-exact comparison of what is left. Parity sketches bound the difference of two sets from below, so
-texts travel only for pairs that are likely to link.
+share last (counted over all documents), then goes by hash. See ``regions`` for what happens inside: regions
+of the same documents are one, parity sketches, which bound the difference of two sets from below, cut a
+region into the parts that may be connected, and sets travel to these parts only, for an exact comparison.
 
 Equal sets are one class, so copies are compared once. Sets are of 64-bit shingle hashes.
 
@@ -22,7 +21,7 @@ there is none. Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,10 @@ from pyspark.sql import functions as F
 
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
-from tsforge.llm.regions import Space, connect
+from tsforge.llm.regions import Space, connect, passes, sieve
 
-LIMIT = 0.25
 #: A shingle counts as common from this share of a batch's sets on; as many common ones are kept.
 COMMON_SHARE, COMMON_LEAST, COMMON = 0.0005, 4, 1 << 17
-#: Pairs of texts compared at once.
-PAIRS = 256
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,35 +138,48 @@ def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of one text of each of these sets."""
+def _of_sets(docs: DataFrame, ids: DataFrame, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """(id, aux, ``name``): size and ``make(shingles)`` of these sets."""
+    words = docs.sparkSession.sparkContext.broadcast(sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for first, _, _, keys in _sets(batch.column("text")):
+            for _, sets, at, keys in _sets(batch.column("text")):
                 rows = _one_of_each(keys, seen)
-                text = batch.column("text").take(pa.array(rows + first))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), text], names=["id", "text"])
+                rows = rows[passes(words.value, keys[rows])]
+                made = [make(sets[at[r] : at[r + 1]]) for r in rows.tolist()]
+                size = (at[rows + 1] - at[rows]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[rows].view(np.int64)), pa.array(size), pa.array(made, type=pa.binary())],
+                    names=["id", "aux", name],
+                )
 
-    return docs.select("text").mapInArrow(run, "id long, text string").join(ids, "id").dropDuplicates(["id"])
+    found = docs.select("text").mapInArrow(run, f"id long, aux long, {name} binary")
+    return materialise(found.join(ids, "id").dropDuplicates(["id"]), name)
 
 
-def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        d = np.zeros(batch.num_rows)
-        for first in range(0, batch.num_rows, PAIRS):
-            part = batch.slice(first, PAIRS)
-            left = [s[a:b] for _, s, at, _ in _sets(part.column("text_a")) for a, b in zip(at[:-1], at[1:])]
-            right = [s[a:b] for _, s, at, _ in _sets(part.column("text_b")) for a, b in zip(at[:-1], at[1:])]
-            for k, (x, y) in enumerate(zip(left, right)):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                union = len(both) - shared
-                # Exactly the limit for a link, and above it for none, whatever the rounding.
-                d[first + k] = 1 - shared / union if 4 * shared != 3 * union else LIMIT
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d)], names=["a", "b", "d"])
+class Sets:
+    """Sets of shingles (sorted, as bytes) as a judge of links."""
+
+    step = 1 << 30
+
+    def __init__(self, body: np.ndarray, key: np.ndarray):
+        self.size = np.fromiter(map(len, body), dtype=np.int64, count=len(body)) // 8
+        self.at = np.r_[0, np.cumsum(self.size)]
+        shingles, code = np.unique(np.frombuffer(b"".join(body.tolist()), dtype=np.uint64), return_inverse=True)
+        self.code, self.own = code, np.zeros(len(shingles), dtype=bool)
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.ones(len(a), dtype=bool)
+
+    def links(self, i: int, rest: np.ndarray) -> np.ndarray:
+        mine = self.code[self.at[i] : self.at[i + 1]]
+        self.own[mine] = True
+        flat, row = _spread(self.code, self.at, rest)
+        shared = np.bincount(row[self.own[flat]], minlength=len(rest))
+        self.own[mine] = False
+        return 4 * shared >= 3 * (len(mine) + self.size[rest] - shared)
 
 
 def parity(sets: np.ndarray) -> bytes:
@@ -190,46 +199,6 @@ def within_limit(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 7 * bits <= a + b
 
 
-def _sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, aux, sketch) of these sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
-            for _, sets, at, keys in _sets(batch.column("text")):
-                rows = _one_of_each(keys, seen)
-                bits = [parity(sets[at[r] : at[r + 1]]) for r in rows.tolist()]
-                size = (at[rows + 1] - at[rows]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows].view(np.int64)), pa.array(size), pa.array(bits, type=pa.binary())],
-                    names=["id", "aux", "sketch"],
-                )
-
-    return docs.select("text").mapInArrow(run, "id long, aux long, sketch binary").join(ids, "id").dropDuplicates(["id"])
-
-
-class Comparer:
-    """Exact distances of pairs; texts that were fetched once stay in written tables."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs, self.texts = docs, None
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if self.texts is None:
-            self.texts = materialise(_texts(self.docs, ids), "texts")
-        else:
-            missing = materialise(ids.join(self.texts.select("id"), "id", "left_anti"), "missing")
-            if not missing.isEmpty():
-                self.texts = self.texts.unionByName(materialise(_texts(self.docs, missing), "texts"))
-        texts = self.texts
-        # The pivot's side may be one text for very many pairs: it comes last, where the rows
-        # are heavy enough for a skewed partition to be split.
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_distance, "a long, b long, d double")
-
-
 def near_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id), one row per row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -243,10 +212,10 @@ def near_documents(docs: DataFrame) -> DataFrame:
     members = _members(docs, common[order], count[order])
     space = Space(
         near=similar_sizes,
-        compare=Comparer(docs),
-        limit=LIMIT,
-        sketches=lambda ids: _sketches(docs, ids),
+        sketches=lambda ids: _of_sets(docs, ids, parity, "sketch"),
         bound=within_limit,
+        bodies=lambda ids: _of_sets(docs, ids, np.ndarray.tobytes, "body"),
+        judge=Sets,
     )
     roots = connect(members, space)
 

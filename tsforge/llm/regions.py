@@ -18,18 +18,25 @@ who is connected, so no step makes all pairs of a region.
   it is connected or no pair is left out.
 
 So the result is exact however crowded a region is, and what a round gives grows with the members.
+
+A space that gives the ``bodies`` of its items needs no rounds. Regions of the same members are one; sketches, where
+there are any, cut each region into the parts that they connect; then bodies travel to the parts, whose pairs
+are compared where they lie, but for those that are connected by then. A task returns at most one edge a member.
+Behind sketches each item goes to its largest part first, and only parts that this leaves open are looked at in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsforge.llm import text as tx
 from tsforge.llm.base import materialise
 from tsforge.llm.components import components
 
@@ -39,6 +46,21 @@ FEW, BLOCK = 4, 2048
 FORESTS = 4
 #: Words of sketches that are compared at once.
 PAIRS = 1 << 22
+#: Members up to which all pairs of a region are listed with those of other regions, and pairs listed at once.
+LISTED, LISTS = 64, 1 << 16
+#: Bits of a sieve for each wanted id, and at most.
+SIEVE, SIEVE_MOST = 8, 1 << 26
+
+
+class Judge(Protocol):
+    """What tells rows of a task apart. ``may(a, b)`` is false only for pairs that do not link; ``links(i, rest)`` is
+    exact and given at most ``step`` rows at once, which are not connected with i by then."""
+
+    step: int
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray: ...
+
+    def links(self, i: int, rest: np.ndarray) -> np.ndarray: ...
 
 
 @dataclass(frozen=True)
@@ -48,16 +70,19 @@ class Space:
     ``near(aux, aux)`` and ``bound(bits, aux, aux)``, on arrays, are false only for pairs that
     cannot link; ``bits`` is in how many bits two sketches differ. ``sketches(ids)`` gives (id, aux,
     sketch), with sketches of a power of two of 64-bit words whose halves can be folded by XOR.
-    ``compare(pairs)`` adds the distance ``d`` to pairs (a, b). ``metric`` says that d keeps the
-    triangle inequality.
+    ``compare(pairs)`` adds the distance ``d`` to pairs (a, b), which link up to ``limit``. ``metric`` says
+    that d keeps the triangle inequality. ``bodies(ids)`` gives (id, body) and ``judge(bodies,
+    keys)`` a judge of rows of regions.
     """
 
     near: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    compare: Callable[[DataFrame], DataFrame]
-    limit: float
+    compare: Callable[[DataFrame], DataFrame] | None = None
+    limit: float = 0.0
     metric: bool = True
     sketches: Callable[[DataFrame], DataFrame] | None = None
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
+    bodies: Callable[[DataFrame], DataFrame] | None = None
+    judge: Callable[[np.ndarray, np.ndarray], Judge] | None = None
 
     @property
     def rules(self) -> Rules:
@@ -276,6 +301,8 @@ def connect(members: DataFrame, space: Space) -> DataFrame:
 
     ``members`` (key, id, aux) are the regions. A pair links when its distance is at most the limit.
     """
+    if space.bodies:
+        return _settled(members, space)
     found = _stars(members, space)
     crowd = found.filter("key IS NOT NULL").select("key", "id", "aux")
     pairs = found.filter("pivot <> id").groupBy(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
@@ -355,3 +382,252 @@ def _open(crowd: DataFrame, roots: DataFrame, known: DataFrame, sketches: DataFr
         return materialise(state.select("key", "id", "aux", "root", *columns), "open")
     state = state.join(sketches.select("id", "sketch"), "id")
     return materialise(state.select("key", "id", "aux", "root", *columns, "sketch"), "open")
+
+
+class Shared:
+    """Members of batches sorted by (key, id) whose region has others, and a mark for each of these regions."""
+
+    def __init__(self):
+        self.held: tuple[np.ndarray, ...] | None = None
+        self.told, self.total, self.count = False, np.uint64(0), 0
+
+    def feed(self, key: np.ndarray, ids: np.ndarray, aux: np.ndarray, end: bool = False):
+        """(members (key, id, aux), marks (key, members, sum of the mixed ids)) that are settled by these rows."""
+        old = self.held is not None
+        if old:
+            key, ids, aux = (np.concatenate(x) for x in zip(self.held, (key, ids, aux)))
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])][: len(key)]
+        key, ids, aux = key[fresh], ids[fresh], aux[fresh]
+        again = key[1:] == key[:-1]
+        shared = (np.r_[False, again] | np.r_[again, False])[: len(key)]
+        start = np.flatnonzero(np.r_[True, ~again][: len(key)])
+        count, mixed = np.diff(np.r_[start, len(key)]), tx.mix(ids.view(np.uint64) ^ tx.BASE)
+        if old:
+            # The held row is in the sums of its region already.
+            mixed[0], shared[0] = self.total, shared[0] and not self.told
+            count[0] += self.count - 1
+        total = np.add.reduceat(mixed, start) if len(start) else mixed
+        if len(key) and not end:
+            told = self.told if old and len(key) == 1 else count[-1] > 1
+            self.held, self.told, self.total, self.count = (key[-1:], ids[-1:], aux[-1:]), bool(told), total[-1], int(count[-1])
+        done = count > 1
+        if not end:
+            done[-1:] = False
+        return (key[shared], ids[shared], aux[shared]), (key[start][done], count[done], total[done].view(np.int64))
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """(key, id, aux, n) of regions with more than one member, one region, that of the least key, of those with the same members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = Shared()
+        none = np.zeros(0, dtype=np.int64)
+
+        def out(rows, marks):
+            gaps = pa.nulls(len(marks[0]), pa.int64()), pa.nulls(len(rows[0]), pa.int64())
+            columns = [
+                pa.array(np.r_[rows[0], marks[0]]),
+                pa.concat_arrays([pa.array(rows[1]), gaps[0]]),
+                pa.array(np.r_[rows[2], marks[1]]),
+                pa.concat_arrays([gaps[1], pa.array(marks[2])]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "id", "aux", "mark"])
+
+        for batch in batches:
+            if batch.num_rows:
+                found = out(*shared.feed(*(batch.column(c).to_numpy() for c in ("key", "id", "aux"))))
+                if found.num_rows:
+                    yield found
+        if shared.held is not None:
+            yield out(*shared.feed(none, none, none, end=True))
+
+    dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions("key", "id")
+    found = materialise(dealt.mapInArrow(run, "key long, id long, aux long, mark long"), "shared")
+    regions = found.filter("id IS NULL").groupBy("mark", F.col("aux").alias("n")).agg(F.min("key").alias("key"))
+    return materialise(found.filter("id IS NOT NULL").drop("mark").join(regions.drop("mark"), "key"), "regions")
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bitmap that all these ids (hashes) pass and few others, of bounded size."""
+    cells = 64
+    while cells < SIEVE * ids.count() and cells < SIEVE_MOST:
+        cells *= 2
+    cell = F.col("id").bitwiseAND(F.lit(cells - 1))
+    bit = F.expr("shiftleft(1L, CAST(id & 63 AS INT))")
+    rows = ids.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(cells // 64, dtype=np.uint64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids (as unsigned) pass a sieve."""
+    cell = ids & np.uint64(64 * len(words) - 1)
+    return (words[(cell >> np.uint64(6)).astype(np.int64)] >> (ids & np.uint64(63)) & np.uint64(1)) > 0
+
+
+def settle(size: np.ndarray, aux: np.ndarray, side: np.ndarray, near, judge: Judge, root: np.ndarray | None = None) -> np.ndarray:
+    """A label for each row, the same where rows of a region are linked, directly or not, or have the same root.
+
+    Rows lie region by region, of ``size`` rows each. Where ``side`` differs in a region, only pairs of both sides count.
+    """
+    parent = list(range(len(aux)))
+    if root is not None and len(root):
+        region = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((root, region))
+        head = np.r_[True, (np.diff(root[order]) != 0) | (np.diff(region[order]) != 0)]
+        at = np.flatnonzero(head)
+        known = np.zeros(len(aux), dtype=np.int64)
+        known[order] = np.repeat(order[at], np.diff(np.r_[at, len(order)]))
+        parent = known.tolist()
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(i: int, rest: np.ndarray) -> list[int]:
+        linked = []
+        for lo in range(0, len(rest), judge.step):
+            root = find(i)
+            part = np.array([j for j in rest[lo : lo + judge.step].tolist() if find(j) != root], dtype=np.int64)
+            if len(part):
+                for j in part[judge.links(i, part)].tolist():
+                    parent[find(j)] = find(i)
+                    linked.append(j)
+        return linked
+
+    last = np.cumsum(size)
+    first = last - size
+    two = np.maximum.reduceat(side, first) != np.minimum.reduceat(side, first) if len(size) else size > 0
+    mixed = np.repeat(two, size)
+    end = np.repeat(np.where(size <= LISTED, last, 0), size)
+    many = np.maximum(end - np.arange(len(aux)) - 1, 0)
+    total, lo = np.cumsum(many), 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] - many[lo] + LISTS, side="right")))
+        n = many[lo:hi]
+        a = np.repeat(np.arange(lo, hi), n)
+        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keep = near(aux[a], aux[b]) & ~(mixed[a] & (side[a] == side[b]))
+        a, b = a[keep], b[keep]
+        keep = judge.may(a, b)
+        a, b = a[keep], b[keep]
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]][: len(a)])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)]):
+            join(int(a[s]), b[s:e])
+        lo = hi
+    for k in np.flatnonzero(size > LISTED).tolist():
+        rows, both = np.arange(first[k], last[k]), bool(two[k])
+        label = np.array([find(x) for x in rows.tolist()])
+        for i in rows[:-1].tolist():
+            at = i - int(first[k])
+            rest = rows[at + 1 :][label[at + 1 :] != label[at]]
+            if both:
+                rest = rest[side[rest] != side[i]]
+            rest = rest[near(np.broadcast_to(aux[i], len(rest)), aux[rest])]
+            if len(rest):
+                rest = rest[judge.may(np.full(len(rest), i), rest)]
+            linked = join(i, rest) if len(rest) else []
+            for r in {int(label[j - first[k]]) for j in [i, *linked]}:
+                if find(r) != r:
+                    label[label == r] = find(r)
+    return np.fromiter(map(find, range(len(parent))), dtype=np.int64, count=len(parent))
+
+
+class _Bounds:
+    """Sketches as a judge: what they let link counts as linked."""
+
+    step = 1 << 30
+
+    def __init__(self, sketch: np.ndarray, aux: np.ndarray, bound):
+        self.sketches, self.aux, self.bound = Sketches(sketch), aux, bound
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.bound(self.sketches.differ(a, b), self.aux[a], self.aux[b])
+
+    def links(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return np.ones(len(rest), dtype=bool)
+
+
+def _labelled(members: DataFrame, bodies: DataFrame, near, judge, out, ddl: str) -> DataFrame:
+    """``out(ids, aux, labels)`` of the members (key, id, aux, n, root) of each task, labelled by what its regions link."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.least("mine", "other").cast("long") * F.col("blocks") + F.greatest("mine", "other")
+    side = (F.col("mine") > F.col("other")).cast("int")
+    rows = rows.select("key", part.alias("part"), side.alias("side"), "id", "aux", "root").join(bodies.select("id", "body"), "id")
+    names = ["key", "part", "side", "id", "aux", "root", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(got):
+            change = np.r_[True, (got["key"][1:] != got["key"][:-1]) | (got["part"][1:] != got["part"][:-1])]
+            size = np.diff(np.r_[np.flatnonzero(change), len(change)])
+            judged = judge(got["body"], got["aux"], got["key"])
+            return out(got["id"], got["aux"], settle(size, got["aux"], got["side"], near, judged, got["root"]))
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+            # The last region may go on; all before it are settled at once.
+            change = (got["key"] != got["key"][-1]) | (got["part"] != got["part"][-1])
+            cut = int(np.flatnonzero(change)[-1]) + 1 if change.any() else 0
+            goes_on = held and held[-1]["key"][-1] == got["key"][0] and held[-1]["part"][-1] == got["part"][0]
+            if held and (cut or not goes_on):
+                whole = [*held, {n: x[:cut] for n, x in got.items()}]
+                held = []
+                yield done({n: np.concatenate([p[n] for p in whole]) for n in names})
+            elif cut:
+                yield done({n: x[:cut] for n, x in got.items()})
+            held.append({n: x[cut:] for n, x in got.items()})
+        if held:
+            yield done({n: np.concatenate([p[n] for p in held]) for n in names})
+
+    spread = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").select(*names)
+    return spread.mapInArrow(run, ddl)
+
+
+def _parts(ids: np.ndarray, aux: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """(key, id, aux, n) of labels with more than one row; the key tells the members."""
+    _, code, count = np.unique(label, return_inverse=True, return_counts=True)
+    total = np.zeros(len(count), dtype=np.uint64)
+    np.add.at(total, code, tx.mix(ids.view(np.uint64) ^ tx.BASE))
+    key, many = tx.mix(total + count.astype(np.uint64)).view(np.int64)[code], count[code].astype(np.int64)
+    keep = many > 1
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, aux, many)], names=["key", "id", "aux", "n"])
+
+
+def _edges(ids: np.ndarray, aux: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """(a, b): each row that is not its label's own, with that one."""
+    keep = label != np.arange(len(label))
+    return pa.RecordBatch.from_arrays([pa.array(ids[label[keep]]), pa.array(ids[keep])], names=["a", "b"])
+
+
+def _settled(members: DataFrame, space: Space) -> DataFrame:
+    """``connect`` for items whose bodies travel to the regions."""
+    regions, own = _shared(members), F.col("id").alias("root")
+    if space.sketches:
+        ids = materialise(regions.select("id").distinct(), "ids")
+        sketches = space.sketches(ids).withColumnRenamed("sketch", "body")
+        judge = lambda body, aux, key, bound=space.bound: _Bounds(body, aux, bound)
+        found = _labelled(regions.select("*", own), sketches, space.near, judge, _parts, "key long, id long, aux long, n long")
+        regions = materialise(found.dropDuplicates(["key", "id"]), "regions")
+    ids = materialise(regions.select("id").distinct(), "ids")
+    bodies = space.bodies(ids)
+    judge = lambda body, aux, key, judge=space.judge: judge(body, key)
+
+    def links(rows: DataFrame) -> DataFrame:
+        return materialise(_labelled(rows, bodies, space.near, judge, _edges, "a long, b long"), "links")
+
+    if not space.sketches:
+        return materialise(components(links(regions.select("*", own))), "roots")
+    # What sketches let meet mostly links: each item in its largest region first, then the regions that this leaves open.
+    largest = regions.groupBy("id").agg(F.max_by(F.struct("key", "aux", "n"), F.struct("n", "key")).alias("best"))
+    found = links(largest.select("best.*", "id", own))
+    state = materialise(_with_root(regions, materialise(components(found), "roots"), "id", "root"), "state")
+    live = state.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return materialise(components(found.union(links(state.join(live, "key", "left_semi")))), "roots")
