@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
 from tsforge.llm.quality import lines_of, normal_lines
-from tsforge.llm.regions import Space, connect
+from tsforge.llm.regions import Space, connect, passes, sieve
 
 BLOCKS, EDITED, LIMIT, MIN_BYTES, KEY_BYTES = 5, 2, 0.2, 16, 8
 #: First bits of the blocks, and the choices of blocks that make keys.
@@ -45,6 +45,10 @@ EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
 CHOICES = list(combinations(range(BLOCKS), BLOCKS - EDITED))
 #: Words whose votes are held at once.
 VOTES = 1 << 17
+#: Where the number of a key's choice begins; it leads, so that of regions with the same members the first choice stays.
+CHOICE_AT = 59
+#: Counts of hashed pairs of bytes of a line, and pairs of lines whose counts are compared at once.
+CELLS, PAIRS = 256, 1 << 12
 _GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -115,24 +119,15 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     at: dict[int, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | (1 << k)
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
-    for k, c in enumerate(b):
-        same = at.get(c, 0)
+    full = (1 << len(a)) - 1
+    plus, minus = full, 0
+    for same in [at.get(c, 0) for c in b]:
         vertical = same | minus
-        across = (((same & plus) + plus) ^ plus) | same
-        up = minus | (full & ~(across | plus))
-        down = plus & across
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-            if score - (len(b) - k - 1) > most:
-                return most + 1
-        up, down = ((up << 1) | 1) & full, (down << 1) & full
-        plus = down | (full & ~(vertical | up))
-        minus = up & vertical
-    return min(score, most + 1)
+        across = (((same & plus) + plus) ^ plus) | vertical
+        up = ((minus | ~(across | plus)) << 1) | 1
+        minus, plus = full & up & across, full & (((plus & across) << 1) | ~(across | up))
+    # Down the last column, from the length of b at its top.
+    return min(len(b) + plus.bit_count() - minus.bit_count(), most + 1)
 
 
 def line_distance(a: bytes, b: bytes) -> float:
@@ -173,50 +168,66 @@ def _occurrences(column: pa.Array) -> pa.Array:
 
 
 def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of one line of each id."""
+    """(id, body): SimHash and choices that have a key (8 bytes each), then the normalised line of each id."""
+    words = docs.sparkSession.sparkContext.broadcast(sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for _, raw, offsets in tx.slices(batch.column("text")):
-                begin, end, _, key, *_ = worded_lines(raw, offsets)
-                data, out, line = raw.tobytes(), [], []
-                for i, a, b in zip(key.view(np.int64).tolist(), begin.tolist(), end.tolist()):
-                    if i not in seen:
-                        seen.add(i)
-                        out.append(i)
-                        line.append(data[a:b])
+                begin, end, _, key, n, first, _, w = worded_lines(raw, offsets)
+                use = np.flatnonzero(passes(words.value, key))
+                use = use[np.sort(np.unique(key[use], return_index=True)[1])]
+                use = use[[i not in seen for i in key[use].tolist()]] if len(use) else use
+                seen.update(key[use].tolist())
+                told = np.stack([x.view(np.uint64) for x in simhashes(raw, w, first[use], n[use])], axis=1)
+                data, out = raw.tobytes(), key[use].view(np.int64)
+                line = [h.tobytes() + normalise(data[a:b]) for h, a, b in zip(told, begin[use].tolist(), end[use].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, type=pa.int64()), pa.array(line, type=pa.binary())], names=["id", "line"]
+                    [pa.array(out), pa.array(line, type=pa.binary())], names=["id", "body"]
                 )
 
-    return docs.select("text").mapInArrow(run, "id long, line binary").join(ids, "id").dropDuplicates(["id"])
-
-
-class Comparer:
-    """Edit distances of pairs; lines that were fetched once stay in written tables."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs, self.lines = docs, None
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if self.lines is None:
-            self.lines = materialise(_line_texts(self.docs, ids), "lines")
-        else:
-            missing = materialise(ids.join(self.lines.select("id"), "id", "left_anti"), "missing")
-            if not missing.isEmpty():
-                self.lines = self.lines.unionByName(materialise(_line_texts(self.docs, missing), "lines"))
-        both = pairs.join(self.lines.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-        both = both.join(self.lines.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-        return both.select("a", "b", "line_a", "line_b").mapInArrow(_distance, "a long, b long, d double")
-
-
-def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("line_a"), batch.column("line_b"))
-        d = [line_distance(normalise(a.as_py()), normalise(b.as_py())) for a, b in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(d, type=pa.float64())], names=["a", "b", "d"])
+    return materialise(docs.select("text").mapInArrow(run, "id long, body binary").join(ids, "id").dropDuplicates(["id"]), "body")
+
+
+class Lines:
+    """Normalised lines as a judge of links.
+
+    Two lines that meet in several regions are compared in that of their first choice of blocks, which no other
+    region of the same members replaces. An edit takes at most two pairs of neighbouring bytes away and brings
+    two, so the counts of pairs, also those of hashed pairs, differ by at most four times the edits."""
+
+    step = 1
+
+    def __init__(self, body: np.ndarray, key: np.ndarray):
+        self.choice = key >> CHOICE_AT
+        told = np.frombuffer(b"".join([x[:16] for x in body.tolist()]), dtype=np.int64).reshape(-1, 2)
+        self.bits, self.usable = told[:, 0], told[:, 1]
+        self.lines = [x[16:] for x in body.tolist()]
+        self.size = np.fromiter(map(len, self.lines), dtype=np.int64, count=len(body))
+        raw = np.frombuffer(b"".join(self.lines), dtype=np.uint8).astype(np.int64)
+        row = np.repeat(np.arange(len(body)), self.size)
+        inside = np.flatnonzero(row[1:] == row[:-1])
+        cell = (raw[inside] * 37 + raw[inside + 1] * 101) % CELLS
+        count = np.bincount(row[inside] * CELLS + cell, minlength=len(body) * CELLS)
+        self.count = np.minimum(count, 255).astype(np.uint8).reshape(-1, CELLS)
+
+    def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), dtype=bool)
+        differ, usable = self.bits[a] ^ self.bits[b], self.usable[a] & self.usable[b]
+        for k, m in enumerate(masks()[:-1]):
+            out &= (self.choice[a] <= k) | ((differ & m) != 0) | ((usable >> k & 1) == 0)
+        first = np.flatnonzero(out)
+        a, b = a[first], b[first]
+        for lo in range(0, len(a), PAIRS):
+            x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
+            left, right = self.count[x], self.count[y]
+            differ = (np.maximum(left, right) - np.minimum(left, right)).sum(axis=1, dtype=np.int32)
+            out[first[lo : lo + PAIRS]] = differ <= 4 * (LIMIT * np.maximum(self.size[x], self.size[y])).astype(np.int64)
+        return out
+
+    def links(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return np.array([line_distance(self.lines[i], self.lines[j]) <= LIMIT for j in rest.tolist()], dtype=bool)
 
 
 def _without(text: pa.Array, ids: pa.Array, roots: pa.Array, keep: pa.Array) -> pa.Array:
@@ -259,12 +270,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     occurrences = materialise(docs.select(order.alias("key"), F.inline(found("text"))), "occurrences")
     told = [F.min(c).alias(c) for c in ("bits", "usable", "size")]
     lines = materialise(occurrences.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), *told), "distinct")
-    keys = [
-        F.when(F.col("usable").bitwiseAND(F.lit(1 << k)) != 0, F.xxhash64(F.col("bits").bitwiseAND(F.lit(m)), F.lit(k)))
-        for k, m in enumerate(masks())
-    ]
+    low = F.lit((1 << CHOICE_AT) - 1)
+    blocks = [F.xxhash64(F.col("bits").bitwiseAND(F.lit(m))).bitwiseAND(low) + F.lit(k << CHOICE_AT) for k, m in enumerate(masks())]
+    keys = [F.when(F.col("usable").bitwiseAND(F.lit(1 << k)) != 0, key) for k, key in enumerate(blocks)]
     members = lines.select(F.explode(F.array(*keys)).alias("key"), "id", F.col("size").cast("long").alias("aux"))
-    space = Space(near=like_lengths, compare=Comparer(docs), limit=LIMIT, metric=False)
+    space = Space(near=like_lengths, bodies=lambda ids: _line_texts(docs, ids), judge=Lines)
     roots = connect(members.filter("key IS NOT NULL"), space)
 
     grouped = lines.join(roots, "id", "left").filter("root IS NOT NULL OR lo < hi")
