@@ -96,3 +96,32 @@ def test_small_tables(spark, make, library, rows):
     assert [(r.doc_id, r.start, zlib.crc32(bytes(r.ids))) for r in got] == [
         (i, a, zlib.crc32(np.array(x, "<u4").tobytes())) for i, a, x in plain(rows, library)
     ]
+
+
+def test_each_part_is_looked_up_once():
+    """Known parts cost one look, new ones get the places they are learnt at."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, *args):
+            self.looks += 1
+            return super().get(*args)
+
+        def __contains__(self, word):
+            self.looks += 1
+            return super().__contains__(word)
+
+        def __getitem__(self, word):
+            self.looks += 1
+            return super().__getitem__(word)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, plain = idfiles.WordIds(path), Tokenizer.from_file(path)
+    tok.known = Counted()
+    first, second = ["apple", "12", "zebra", "x-y", "@@"], ["x-y", "pear", "apple", "&&", "zebra"]
+    for words in (first, second):
+        place = tok.slots(words, np.array([w.isalpha() for w in words]))
+        got = [tok.flat[tok.start[k] : tok.start[k] + tok.size[k]].tolist() for k in place]
+        assert got == [plain.encode(w, add_special_tokens=False).ids for w in words]
+    assert tok.known.looks == 10

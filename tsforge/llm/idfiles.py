@@ -36,6 +36,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,32 +129,39 @@ class WordIds:
         self.bytes = 0
         self.flat, self.start, self.size = (np.zeros(0, dtype=t) for t in (np.uint32, np.int64, np.int64))
 
-    def _learn(self, words: list[str], found: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+    def _learn(self, words: list[str], found: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
         size = np.concatenate(sizes)
-        self.known.update(zip(words, range(len(self.start), len(self.start) + len(words))))
+        places = range(len(self.start), len(self.start) + len(words))
+        self.known.update(zip(words, places))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
         self.flat = np.concatenate([self.flat, *found])
         self.bytes += sum(map(len, words)) + 170 * len(words) + 4 * int(size.sum())
+        return np.arange(places.start, places.stop)
 
-    def slots(self, words: list[str], letters: list[bool]) -> np.ndarray:
-        """Where the ids of each word are remembered."""
+    def slots(self, words: list[str], letters: np.ndarray) -> np.ndarray:
+        """Where the ids of each of these distinct words are remembered."""
         if self.bytes > REMEMBERED:
             self.forget()
-        known = self.known
-        new = [(w, pure) for w, pure in zip(words, letters) if w not in known]
-        runs, others = [w for w, pure in new if pure], [w for w, pure in new if not pure]
+        # One look at each word: most are known, and the places of the others follow from the order they are learnt in.
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(out < 0)
+        runs, others = new[letters[new]], new[~letters[new]]
         for lo in range(0, len(runs), 4096):
-            group = [" ".join(runs[k : k + 128]) for k in range(lo, min(lo + 4096, len(runs)), 128)]
+            at = runs[lo : lo + 4096]
+            names = [words[k] for k in at.tolist()]
+            group = [" ".join(names[k : k + 128]) for k in range(0, len(names), 128)]
             got = self.library.encode_batch_fast(group, add_special_tokens=False)
             ids = np.concatenate([np.array(g.ids, dtype=np.uint32) for g in got])
             stop = np.flatnonzero(self.last[ids]) + 1
-            self._learn(runs[lo : lo + 4096], [ids], [np.diff(stop, prepend=0)])
+            out[at] = self._learn(names, [ids], [np.diff(stop, prepend=0)])
         for lo in range(0, len(others), 4096):
-            group = others[lo : lo + 4096]
-            got = [np.array(g.ids, dtype=np.uint32) for g in self.library.encode_batch_fast(group, add_special_tokens=False)]
-            self._learn(group, got, [np.array([len(g) for g in got], dtype=np.int64)])
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+            at = others[lo : lo + 4096]
+            names = [words[k] for k in at.tolist()]
+            got = [g.ids for g in self.library.encode_batch_fast(names, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32)
+            out[at] = self._learn(names, [flat], [np.fromiter(map(len, got), dtype=np.int64, count=len(got))])
+        return out
 
     def encode(self, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets) for runs of rows; each row's ids end with ``end``."""
@@ -163,7 +171,7 @@ class WordIds:
             which = coded.indices.to_numpy().astype(np.int64)
             letters = np.zeros(len(coded.dictionary), dtype=bool)
             letters[which] = pure
-            slot = self.slots(coded.dictionary.to_pylist(), letters.tolist())[which]
+            slot = self.slots(coded.dictionary.to_pylist(), letters)[which]
             # The end id of a text is one more part, behind the text's own.
             behind = np.cumsum(w.count)
             size = np.insert(self.size[slot], behind, 1)
