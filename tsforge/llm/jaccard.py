@@ -9,7 +9,7 @@ window around the regions' boundaries is the first n - ceil(3n/4) + 1 shingles o
 linked documents meet in at least one region. The order puts shingles that many documents
 share last (counted over all documents), then goes by hash. See ``regions`` for what happens inside: regions
 of the same documents are one, parity sketches, which bound the difference of two sets from below, cut a
-region into the parts that may be connected, and sets travel to these parts only, for an exact comparison.
+region into the parts that may be connected, and texts travel to these parts only, for an exact comparison.
 
 Equal sets are one class, so copies are compared once. Sets are of 64-bit shingle hashes.
 
@@ -138,20 +138,23 @@ def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
 
 
-def _of_sets(docs: DataFrame, ids: DataFrame, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
-    """(id, aux, ``name``): size and ``make(shingles)`` of these sets."""
+def _of_sets(docs: DataFrame, ids: DataFrame, make: Callable[[np.ndarray], bytes] | None, name: str) -> DataFrame:
+    """(id, aux, ``name``): size and ``make(shingles)`` of these sets, or one text of each, which is smaller on disk."""
     words = docs.sparkSession.sparkContext.broadcast(sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            for _, sets, at, keys in _sets(batch.column("text")):
+            for first, sets, at, keys in _sets(batch.column("text")):
                 rows = _one_of_each(keys, seen)
                 rows = rows[passes(words.value, keys[rows])]
-                made = [make(sets[at[r] : at[r + 1]]) for r in rows.tolist()]
+                if make:
+                    made = pa.array([make(sets[at[r] : at[r + 1]]) for r in rows.tolist()], type=pa.binary())
+                else:
+                    made = batch.column("text").take(pa.array(rows + first)).cast(pa.binary())
                 size = (at[rows + 1] - at[rows]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows].view(np.int64)), pa.array(size), pa.array(made, type=pa.binary())],
+                    [pa.array(keys[rows].view(np.int64)), pa.array(size), made],
                     names=["id", "aux", name],
                 )
 
@@ -160,14 +163,15 @@ def _of_sets(docs: DataFrame, ids: DataFrame, make: Callable[[np.ndarray], bytes
 
 
 class Sets:
-    """Sets of shingles (sorted, as bytes) as a judge of links."""
+    """The sets of texts as a judge of links."""
 
     step = 1 << 30
 
     def __init__(self, body: np.ndarray, key: np.ndarray):
-        self.size = np.fromiter(map(len, body), dtype=np.int64, count=len(body)) // 8
+        found = [(sets, np.diff(at)) for _, sets, at, _ in _sets(pa.array(body.tolist(), type=pa.large_binary()).cast(pa.large_string()))]
+        self.size = np.concatenate([n for _, n in found])
         self.at = np.r_[0, np.cumsum(self.size)]
-        shingles, code = np.unique(np.frombuffer(b"".join(body.tolist()), dtype=np.uint64), return_inverse=True)
+        shingles, code = np.unique(np.concatenate([sets for sets, _ in found]), return_inverse=True)
         self.code, self.own = code, np.zeros(len(shingles), dtype=bool)
 
     def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,7 +218,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
         near=similar_sizes,
         sketches=lambda ids: _of_sets(docs, ids, parity, "sketch"),
         bound=within_limit,
-        bodies=lambda ids: _of_sets(docs, ids, np.ndarray.tobytes, "body"),
+        bodies=lambda ids: _of_sets(docs, ids, None, "body"),
         judge=Sets,
     )
     roots = connect(members, space)
