@@ -125,3 +125,20 @@ def test_each_part_is_looked_up_once():
         got = [tok.flat[tok.start[k] : tok.start[k] + tok.size[k]].tolist() for k in place]
         assert got == [plain.encode(w, add_special_tokens=False).ids for w in words]
     assert tok.known.looks == 10
+
+
+def test_new_parts_are_learnt_once_a_slice(library, monkeypatch):
+    """All new parts of a slice are added to the remembered ids together, and the parts of many slices stay known."""
+    tok = idfiles.WordIds(PATH)
+    added, learn = [], idfiles.WordIds._learn
+    monkeypatch.setattr(idfiles.WordIds, "_learn", lambda self, words, *x: added.append(len(words)) or learn(self, words, *x))
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(9000)}) + [f"#{k:x}#" for k in range(9000)]
+    place = tok.slots(words, np.array([w.isalpha() for w in words]))
+    assert added == [len(words)]
+    some = rng.sample(range(len(words)), 500)
+    got = [tok.flat[tok.start[k] : tok.start[k] + tok.size[k]].tolist() for k in place[some]]
+    assert got == [library.encode(words[k], add_special_tokens=False).ids for k in some]
+    tok.bytes = 100 << 20
+    tok.slots(words, np.array([w.isalpha() for w in words]))
+    assert added == [len(words)]

@@ -54,7 +54,7 @@ END, LEVEL = 1, 3
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 2048, 1 << 13, 1 << 16
 #: Compressed bytes of a shard, bytes of one read, bytes of text worked on at once, and bytes of parts
 #: and ids that a worker remembers.
-SHARD, READ, SLICE, REMEMBERED = 1 << 25, 1 << 23, 1 << 21, 64 << 20
+SHARD, READ, SLICE, REMEMBERED = 1 << 25, 1 << 23, 3 << 20, 128 << 20
 MAGIC = b"TOKIDS01"
 HEADER = len(MAGIC) + 1 + 32
 #: White space that the tokenizers split at and drop, whatever stands around it.
@@ -99,7 +99,7 @@ def parts(raw: np.ndarray, offsets: np.ndarray) -> tuple[tx.Words, np.ndarray]:
     end = stop[np.searchsorted(stop, start, side="right")]
     bound = np.searchsorted(start, offsets)
     count = np.diff(bound)
-    other = np.zeros(n + 1, dtype=np.int64)
+    other = np.zeros(n + 1, dtype=np.int32 if n < 1 << 31 else np.int64)
     np.cumsum(~(ascii_letter | first | second), out=other[1:])
     return tx.Words(start, end, np.repeat(np.arange(len(count)), count), count), other[end] == other[start]
 
@@ -146,21 +146,22 @@ class WordIds:
         # One look at each word: most are known, and the places of the others follow from the order they are learnt in.
         out = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         new = np.flatnonzero(out < 0)
-        runs, others = new[letters[new]], new[~letters[new]]
-        for lo in range(0, len(runs), 4096):
-            at = runs[lo : lo + 4096]
-            names = [words[k] for k in at.tolist()]
-            group = [" ".join(names[k : k + 128]) for k in range(0, len(names), 128)]
+        order, found, sizes = np.r_[new[letters[new]], new[~letters[new]]], [], []
+        names = [words[k] for k in order.tolist()]
+        runs = int(letters[new].sum())
+        for lo in range(0, runs, 4096):
+            hi = min(lo + 4096, runs)
+            group = [" ".join(names[k : min(k + 128, hi)]) for k in range(lo, hi, 128)]
             got = self.library.encode_batch_fast(group, add_special_tokens=False)
             ids = np.concatenate([np.array(g.ids, dtype=np.uint32) for g in got])
-            stop = np.flatnonzero(self.last[ids]) + 1
-            out[at] = self._learn(names, [ids], [np.diff(stop, prepend=0)])
-        for lo in range(0, len(others), 4096):
-            at = others[lo : lo + 4096]
-            names = [words[k] for k in at.tolist()]
-            got = [g.ids for g in self.library.encode_batch_fast(names, add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32)
-            out[at] = self._learn(names, [flat], [np.fromiter(map(len, got), dtype=np.int64, count=len(got))])
+            found.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0))
+        for lo in range(runs, len(names), 4096):
+            got = [g.ids for g in self.library.encode_batch_fast(names[lo : lo + 4096], add_special_tokens=False)]
+            found.append(np.fromiter(chain.from_iterable(got), dtype=np.uint32))
+            sizes.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+        if names:
+            out[order] = self._learn(names, found, sizes)
         return out
 
     def encode(self, column: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -179,7 +180,9 @@ class WordIds:
             flat = np.append(self.flat, np.uint32(end))
             total = np.zeros(len(size) + 1, dtype=np.int64)
             np.cumsum(size, out=total[1:])
-            ids = flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
+            # Half the bytes for places, where they are small enough.
+            kind = np.int32 if max(len(flat), int(total[-1])) < 1 << 31 else np.int64
+            ids = flat[np.repeat((start - total[:-1]).astype(kind), size) + np.arange(total[-1], dtype=kind)]
             yield first, ids, np.r_[0, total[behind + np.arange(1, len(behind) + 1)]]
 
 
