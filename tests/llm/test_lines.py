@@ -171,3 +171,63 @@ def test_a_pair_of_lines_is_compared_in_one_region_only():
     judge = lines.Lines(body, np.repeat(choices << lines.CHOICE_AT, 2))
     assert judge.may(2 * choices, 2 * choices + 1).tolist() == [True] + [False] * (len(choices) - 1)
     assert judge.links(0, np.array([1])).all()
+
+
+def test_a_bound_tells_crowds_of_unlike_lines_apart(monkeypatch):
+    """Few of the pairs of a crowd of unlike lines take an edit distance, and the groups are those of all pairs."""
+    from tsforge.llm import regions
+
+    rng = random.Random(12)
+    syllables = "the and ing ion ent ber ver sch lich keit".split()
+    crowd = ["".join(rng.choice(syllables) + rng.choice(("", " ")) for _ in range(rng.randint(40, 50))).encode() for _ in range(120)]
+    for k in range(0, 40, 2):
+        at = rng.randrange(len(crowd[k]))
+        crowd[k + 1] = crowd[k][:at] + b"x" * rng.randint(0, 60) + crowd[k][at + rng.randint(0, 9) :]
+    calls, exact = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda *x: calls.append(x) or exact(*x))
+    for many in (20, 120):
+        rows = crowd[:many]
+        told = np.array([0, 1], dtype=np.int64).tobytes()
+        body = np.array([told + x for x in rows] + [None], dtype=object)[:-1]
+        judge = lines.Lines(body, np.zeros(many, dtype=np.int64))
+        size = np.fromiter(map(len, rows), dtype=np.int64)
+        calls.clear()
+        label = regions.settle(np.array([many]), size, np.zeros(many, dtype=np.int64), lines.like_lengths, judge)
+        assert len(calls) < many * (many - 1) // 20
+        root = list(range(many))
+        for i in range(many):
+            for j in range(i):
+                if similar_fast(exact, rows[i], rows[j]):
+                    root = [root[i] if r == root[j] else r for r in root]
+        assert len(set(root)) < many
+        pairs = lambda x: {(i, j) for i in range(many) for j in range(i) if x[i] == x[j]}
+        assert pairs(root) == pairs(label.tolist())
+
+
+def similar_fast(distance, a, b):
+    return abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and distance(a, b, 1 << 30) <= 0.2 * max(len(a), len(b))
+
+
+def test_the_bound_of_beginnings_is_below_the_distance():
+    rng = random.Random(5)
+    word = lambda n: bytes(rng.choice(b"abc 12\xc3\xa4\x9f") for _ in range(n))
+    for words in (1, 2, 3):
+        pairs = []
+        for _ in range(40):
+            a = word(rng.randint(64 * (words - 1) + 1, 64 * words + 60))
+            b = bytearray(a if rng.random() < 0.7 else word(rng.randint(1, len(a))))
+            for _ in range(rng.randint(0, 30)):
+                at = rng.randint(0, len(b))
+                b[at : at + rng.randint(0, 2)] = word(rng.randint(0, 2))
+            b = bytes(b[: len(a)]) or b"a"
+            pairs.append((a, b))
+        size = np.array([[len(a), len(b)] for a, b in pairs]).ravel()
+        raw = np.frombuffer(b"".join(x for p in pairs for x in p), dtype=np.uint8)
+        start = np.cumsum(size) - size
+        most = (0.2 * size[::2]).astype(np.int64)
+        got = lines._prefix_bound(raw, start[::2], size[::2], start[1::2], size[1::2], most, words)
+        for (a, b), bound in zip(pairs, got.tolist()):
+            d = levenshtein(a, b)
+            assert bound <= d or bound > int(0.2 * len(a)) < d
+            if len(a) <= 64 * words and len(set(a + b) & set(b"\xc3\xa4\x9f")) == 0 and d <= int(0.2 * len(a)):
+                assert bound == d

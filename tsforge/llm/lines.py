@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tsforge.llm import text as tx
 from tsforge.llm.base import materialise, query, table
-from tsforge.llm.quality import lines_of, normal_lines
+from tsforge.llm.quality import lines_of
 from tsforge.llm.regions import Space, connect, passes, sieve
 
 BLOCKS, EDITED, LIMIT, MIN_BYTES, KEY_BYTES = 5, 2, 0.2, 16, 8
@@ -47,8 +47,15 @@ CHOICES = list(combinations(range(BLOCKS), BLOCKS - EDITED))
 VOTES = 1 << 17
 #: Where the number of a key's choice begins; it leads, so that of regions with the same members the first choice stays.
 CHOICE_AT = 59
-#: Counts of hashed pairs of bytes of a line, and pairs of lines whose counts are compared at once.
-CELLS, PAIRS = 256, 1 << 12
+#: Share of the longer line that a bound on the distance looks at, and groups of its 64-byte words that go together.
+SHARE, GROUPS = 0.32, (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Words of pairs that are bounded at once, and pairs below which, for each word, the bound costs more than the distance.
+LANES, FEWEST = 1 << 12, 8
+#: Symbols of the bound: letters, digits and the space by themselves, other bytes a few to one.
+SYMBOLS = np.array([ord_ % 27 + 37 for ord_ in range(256)], dtype=np.int64)
+SYMBOLS[97:123], SYMBOLS[48:58], SYMBOLS[32] = np.arange(26), np.arange(26, 36), 36
+#: The bits of a byte, highest first, in a byte each.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).view(np.uint64).ravel()
 _GAP = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -57,26 +64,43 @@ def normalise(line: bytes) -> bytes:
     return _GAP.sub(b" ", line.lower()).strip()
 
 
-def worded_lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(begin, end, text, id, words, first word, normalised bytes, all words) of every line with a word."""
+def worded_lines(raw: np.ndarray, offsets: np.ndarray, hashed: list | None = None) -> tuple[np.ndarray, ...]:
+    """(begin, end, text, id, words, first word, normalised bytes, all words) of every line with a word.
+
+    The hashes of the words are added to ``hashed``."""
     w = tx.words(raw, offsets, tx.PUNCTUATION)
     begin, end, doc = lines_of(raw, offsets)
-    ids, n = normal_lines(raw, w, begin, end)
-    first = np.searchsorted(w.start, begin)
+    word_hash = tx.word_hashes(raw, w, lower=True)
+    if hashed is not None:
+        hashed.append(word_hash)
+    first, last = np.searchsorted(w.start, begin), np.searchsorted(w.start, end)
+    ids, n = tx.sequence_hashes(word_hash, first, last), last - first
     total = np.r_[0, np.cumsum(w.end - w.start)]
     use = n > 0
     size = (total[first + n] - total[first] + n - 1)[use]
     return begin[use], end[use], doc[use], ids[use], n[use], first[use], size, w
 
 
-def simhashes(raw: np.ndarray, w: tx.Words, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ones(bits: np.ndarray, begin: np.ndarray, most: int) -> np.ndarray:
+    """How often each bit, lowest byte first and highest bit of a byte first, is set in the hashes of each range."""
+    octets = bits.view(np.uint8).reshape(-1, 8)
+    if most < 256:
+        # Eight counts of a byte each are added at once.
+        return np.add.reduceat(SPREAD[octets], begin, axis=0).view(np.uint8).reshape(len(begin), 64)
+    return np.add.reduceat(np.unpackbits(octets, axis=1), begin, axis=0, dtype=np.int32)
+
+
+def simhashes(
+    raw: np.ndarray, w: tx.Words, first: np.ndarray, n: np.ndarray, word_hash: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """SimHash of each line, a majority for each bit among the words of its block, and which choices have a key."""
     hashes, usable = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.int64)
     if not len(n):
         return hashes, usable
     block_of_bit = np.searchsorted(EDGES, np.arange(64), side="right") - 1
-    mine = (block_of_bit == np.arange(BLOCKS)[:, None]).astype(np.int8)
-    word_hash = tx.word_hashes(raw, w, lower=True)
+    # Bits of each block, in the order of the bytes of a hash.
+    mine = np.packbits(block_of_bit == np.arange(BLOCKS)[:, None], axis=1).view(np.uint64).ravel()
+    word_hash = tx.word_hashes(raw, w, lower=True) if word_hash is None else word_hash
     letter = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64)
     second = np.where(w.end - w.start > 1, letter[np.minimum(w.start + 1, len(raw) - 1)], 0)
     block = (tx.mix(letter[w.start] * np.uint64(256) + second.astype(np.uint64)) % np.uint64(BLOCKS)).astype(np.int64)
@@ -87,11 +111,11 @@ def simhashes(raw: np.ndarray, w: tx.Words, first: np.ndarray, n: np.ndarray) ->
         many = n[start:stop]
         inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         word = np.repeat(first[start:stop], many) + inside
-        bits = np.unpackbits(word_hash[word].view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-        votes = np.add.reduceat((2 * bits - 1) * mine[block[word]], np.cumsum(many) - many, axis=0, dtype=np.int32)
-        # Bits in the order of the number: the last byte of a little-endian one comes first.
-        hashes[start:stop] = np.packbits(votes > 0, axis=1).view(">u8").ravel()
         at = np.repeat(np.arange(len(many)), many) * BLOCKS + block[word]
+        voters = np.bincount(at, minlength=len(many) * BLOCKS).reshape(-1, BLOCKS)
+        ones = _ones(word_hash[word] & mine[block[word]], np.cumsum(many) - many, int(many.max()))
+        # Bits in the order of the number: the last byte of a little-endian one comes first.
+        hashes[start:stop] = np.packbits(2 * ones.astype(np.int32) > voters[:, block_of_bit], axis=1).view(">u8").ravel()
         size = np.bincount(at, weights=(w.end - w.start)[word], minlength=len(many) * BLOCKS).reshape(-1, BLOCKS)
         for k, chosen in enumerate(CHOICES):
             usable[start:stop] |= (size[:, list(chosen)].sum(axis=1) >= KEY_BYTES).astype(np.int64) << k
@@ -120,14 +144,81 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | (1 << k)
     full = (1 << len(a)) - 1
-    plus, minus = full, 0
-    for same in [at.get(c, 0) for c in b]:
-        vertical = same | minus
-        across = (((same & plus) + plus) ^ plus) | vertical
-        up = ((minus | ~(across | plus)) << 1) | 1
-        minus, plus = full & up & across, full & (((plus & across) << 1) | ~(across | up))
-    # Down the last column, from the length of b at its top.
-    return min(len(b) + plus.bit_count() - minus.bit_count(), most + 1)
+    plus, minus, score = full, 0, len(a)
+    for lo in range(0, len(b), 64):
+        part = b[lo : lo + 64]
+        for same in [at.get(c, 0) for c in part]:
+            vertical = same | minus
+            across = (((same & plus) + plus) ^ plus) | vertical
+            up = ((minus | ~(across | plus)) << 1) | 1
+            minus, plus = full & up & across, full & (((plus & across) << 1) | ~(across | up))
+        # Down this column, from the bytes of b before it at its top; each byte that is left takes one off at most.
+        done = lo + len(part)
+        score = done + plus.bit_count() - minus.bit_count()
+        if score - (len(b) - done) > most:
+            return most + 1
+    return min(score, most + 1)
+
+
+def _prefix_bound(raw: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
+    """A lower bound of the edit distance of the pairs of lines at x and y, exact up to ``most`` for a first line of at most
+    ``64 * words`` bytes: the first so many bytes of the first line against all beginnings of the second, and what the lengths
+    of the rests differ by. First lines have more than ``64 * (words - 1)`` bytes. All pairs go a column at a time."""
+    n, pair = len(x), np.arange(len(x))
+    p = np.minimum(64 * words, nx)
+    at = np.zeros((words, 64 * n), dtype=np.uint64)
+    for i in range(min(64 * words, int(nx.max()))):
+        bit = (i < nx).astype(np.uint64) << np.uint64(i % 64)
+        at[i // 64][SYMBOLS[raw[x + np.minimum(i, nx - 1)]] * n + pair] |= bit
+    columns = np.minimum(ny, p + most)
+    plus, minus = [np.full(n, ~np.uint64(0)) for _ in range(words)], [np.zeros(n, dtype=np.uint64) for _ in range(words)]
+    none, one, high, top = np.uint64(0), np.uint64(1), np.uint64(63), (p - 1 - 64 * (words - 1)).astype(np.uint64)
+    score, rest = p.astype(np.uint64), nx - p
+    best = p + np.abs(rest - ny)
+    early = int((p - most).min())
+    for lo in range(0, int(columns.max()), 64):
+        column = np.arange(lo, min(lo + 64, int(columns.max())))[:, None]
+        places = SYMBOLS[raw[y + np.minimum(column, ny - 1)]] * n + pair
+        for j, where in zip(column.ravel().tolist(), places):
+            more, less = one, none
+            for w in range(words):
+                same = at[w].take(where)
+                vertical = same | minus[w]
+                if w:
+                    same |= less
+                across = (((same & plus[w]) + plus[w]) ^ plus[w]) | same
+                up, down = minus[w] | ~(across | plus[w]), plus[w] & across
+                last = top if w == words - 1 else high
+                above = up >> last & one, down >> last & one
+                up, down = up << one | more, down << one | less
+                plus[w], minus[w] = down | ~(vertical | up), up & vertical
+                more, less = above
+            score += more
+            score -= less
+            if j + 1 >= early:
+                bound = score.view(np.int64) + np.abs(rest - (ny - 1 - j))
+                # Behind the last column of a pair its best stays.
+                best = np.minimum(best, np.where(j < columns, bound, best))
+    return best
+
+
+def surely_apart(raw: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of lines a bound of their distance keeps apart. Long lines, and groups of few pairs, are left open."""
+    first = size[a] >= size[b]
+    x, y = np.where(first, a, b), np.where(first, b, a)
+    most = (LIMIT * size[x]).astype(np.int64)
+    words = np.ceil(SHARE * size[x] / 64).astype(np.int64)
+    out = np.zeros(len(a), dtype=bool)
+    order = np.argsort(size[x], kind="stable")
+    edges = np.searchsorted(words[order], GROUPS, side="right")
+    for group, lo, hi in zip(GROUPS[1:], edges.tolist(), edges[1:].tolist()):
+        if hi - lo < FEWEST * group:
+            continue
+        step = LANES // group
+        for begin in range(lo, hi, step):
+            k = order[begin : min(begin + step, hi)]
+            out[k] = _prefix_bound(raw, start[x[k]], size[x[k]], start[y[k]], size[y[k]], most[k], group) > most[k]
+    return out
 
 
 def line_distance(a: bytes, b: bytes) -> float:
@@ -155,10 +246,11 @@ def _occurrences(column: pa.Array) -> pa.Array:
     kind = pa.struct([("id", pa.int64()), ("bits", pa.int64()), ("usable", pa.int32()), ("size", pa.int32())])
     parts, counts = [], [np.zeros(0, dtype=np.int64)]
     for _, raw, offsets in tx.slices(column):
-        _, _, doc, key, n, first, size, w = worded_lines(raw, offsets)
+        hashed: list[np.ndarray] = []
+        _, _, doc, key, n, first, size, w = worded_lines(raw, offsets, hashed)
         order = np.lexsort((key, doc))
         fresh = order[np.r_[True, (np.diff(doc[order]) != 0) | (key[order][1:] != key[order][:-1])][: len(order)]]
-        bits, usable = simhashes(raw, w, first[fresh], n[fresh])
+        bits, usable = simhashes(raw, w, first[fresh], n[fresh], *hashed)
         usable[size[fresh] < MIN_BYTES] = 0
         parts.append((key[fresh].view(np.int64), bits.view(np.int64), usable.astype(np.int32), size[fresh].astype(np.int32)))
         counts.append(np.bincount(doc[fresh], minlength=len(offsets) - 1))
@@ -175,12 +267,13 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             seen: set[int] = set()
             for _, raw, offsets in tx.slices(batch.column("text")):
-                begin, end, _, key, n, first, _, w = worded_lines(raw, offsets)
+                hashed: list[np.ndarray] = []
+                begin, end, _, key, n, first, _, w = worded_lines(raw, offsets, hashed)
                 use = np.flatnonzero(passes(words.value, key))
                 use = use[np.sort(np.unique(key[use], return_index=True)[1])]
                 use = use[[i not in seen for i in key[use].tolist()]] if len(use) else use
                 seen.update(key[use].tolist())
-                told = np.stack([x.view(np.uint64) for x in simhashes(raw, w, first[use], n[use])], axis=1)
+                told = np.stack([x.view(np.uint64) for x in simhashes(raw, w, first[use], n[use], *hashed)], axis=1)
                 data, out = raw.tobytes(), key[use].view(np.int64)
                 line = [h.tobytes() + normalise(data[a:b]) for h, a, b in zip(told, begin[use].tolist(), end[use].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -194,8 +287,7 @@ class Lines:
     """Normalised lines as a judge of links.
 
     Two lines that meet in several regions are compared in that of their first choice of blocks, which no other
-    region of the same members replaces. An edit takes at most two pairs of neighbouring bytes away and brings
-    two, so the counts of pairs, also those of hashed pairs, differ by at most four times the edits."""
+    region of the same members replaces. Most pairs that do not link are told apart many at a time by their beginnings."""
 
     step = 1
 
@@ -205,12 +297,7 @@ class Lines:
         self.bits, self.usable = told[:, 0], told[:, 1]
         self.lines = [x[16:] for x in body.tolist()]
         self.size = np.fromiter(map(len, self.lines), dtype=np.int64, count=len(body))
-        raw = np.frombuffer(b"".join(self.lines), dtype=np.uint8).astype(np.int64)
-        row = np.repeat(np.arange(len(body)), self.size)
-        inside = np.flatnonzero(row[1:] == row[:-1])
-        cell = (raw[inside] * 37 + raw[inside + 1] * 101) % CELLS
-        count = np.bincount(row[inside] * CELLS + cell, minlength=len(body) * CELLS)
-        self.count = np.minimum(count, 255).astype(np.uint8).reshape(-1, CELLS)
+        self.raw, self.start = np.frombuffer(b"".join(self.lines), dtype=np.uint8), np.cumsum(self.size) - self.size
 
     def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), dtype=bool)
@@ -218,12 +305,7 @@ class Lines:
         for k, m in enumerate(masks()[:-1]):
             out &= (self.choice[a] <= k) | ((differ & m) != 0) | ((usable >> k & 1) == 0)
         first = np.flatnonzero(out)
-        a, b = a[first], b[first]
-        for lo in range(0, len(a), PAIRS):
-            x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
-            left, right = self.count[x], self.count[y]
-            differ = (np.maximum(left, right) - np.minimum(left, right)).sum(axis=1, dtype=np.int32)
-            out[first[lo : lo + PAIRS]] = differ <= 4 * (LIMIT * np.maximum(self.size[x], self.size[y])).astype(np.int64)
+        out[first] = ~surely_apart(self.raw, self.start, self.size, a[first], b[first])
         return out
 
     def links(self, i: int, rest: np.ndarray) -> np.ndarray:
