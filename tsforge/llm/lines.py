@@ -44,7 +44,7 @@ BLOCKS, EDITED, LIMIT, MIN_BYTES, KEY_BYTES = 5, 2, 0.2, 16, 8
 EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
 CHOICES = list(combinations(range(BLOCKS), BLOCKS - EDITED))
 #: Words whose votes are held at once.
-VOTES = 1 << 17
+VOTES = 1 << 14
 #: Where the number of a key's choice begins; it leads, so that of regions with the same members the first choice stays.
 CHOICE_AT = 59
 #: Share of the longer line that a bound on the distance looks at, and groups of its 64-byte words that go together.

@@ -51,7 +51,7 @@ LISTED, LISTS = 64, 1 << 18
 #: Pairs of a larger region that are listed first.
 FIRST = 1 << 13
 #: Bytes of bodies whose regions are settled together.
-HELD = 16 << 20
+HELD = 8 << 20
 #: Bits of a sieve for each wanted id, and at most.
 SIEVE, SIEVE_MOST = 8, 1 << 26
 
