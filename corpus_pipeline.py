@@ -2,11 +2,16 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
 which is written as Parquet and read again as the next stage's ``docs``. Stages that change texts
-bring ``n_chars`` up to date and drop documents that they leave without a word.
+bring ``n_chars`` up to date and drop documents that they leave without a word. Rows go to Python in
+batches of bounded bytes: ten thousand whole texts at once cost an executor hundreds of MB, in its
+JVM and in every worker that it keeps from stage to stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,20 @@ from pyspark.sql import functions as F
 from tsforge.llm import base, chunks, jaccard, lines, ordinal, packing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH = "2m"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """The stage with batches of at most about ``BATCH``, also where its result is written later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def _rewritten(docs: DataFrame, removed: str) -> DataFrame:
@@ -23,27 +42,32 @@ def _rewritten(docs: DataFrame, removed: str) -> DataFrame:
     return left.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
+@_in_small_batches
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject."""
     model = ordinal.fit_labelled(docs, base.table(spark, sf_dir, "labels"))
     return ordinal.score(docs, model).filter("NOT toxic").select(*COLUMNS)
 
 
+@_in_small_batches
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of like lines."""
     return _rewritten(lines.deduplicate(docs.select(*COLUMNS)), "removed_lines")
 
 
+@_in_small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join."""
     return jaccard.one_of_each_group(docs.select(*COLUMNS))
 
 
+@_in_small_batches
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each repeated passage."""
     return _rewritten(chunks.deduplicate(docs.select(*COLUMNS)), "removed_words")
 
 
+@_in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1,024 tokens holding every token of the documents that are left."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -77,3 +77,23 @@ def test_run_equals_its_stages(spark, tmp_path):
         rows = spark.read.parquet(str(tmp_path / f"by-{name}"))
     key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(cp.run(spark, folder)) == key(rows)
+
+
+def test_stages_give_python_small_batches(spark, tmp_path):
+    """Rows of many whole texts come to Python in batches of bounded bytes, once a stage has begun."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    folder = _folder(spark, tmp_path, *_corpus())
+    docs = spark.createDataFrame([(i, f"{i} " + "word " * 10_000, "en", "s", 50_000) for i in range(200)], DOCS).repartition(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    for _, stage in cp.STAGES:
+        spark.conf.unset(name)
+        stage(spark, docs.limit(0) if stage is cp.toxicity else docs, folder)
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 4 << 20
+    spark.conf.unset(name)
