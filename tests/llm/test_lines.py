@@ -231,3 +231,40 @@ def test_the_bound_of_beginnings_is_below_the_distance():
             assert bound <= d or bound > int(0.2 * len(a)) < d
             if len(a) <= 64 * words and len(set(a + b) & set(b"\xc3\xa4\x9f")) == 0 and d <= int(0.2 * len(a)):
                 assert bound == d
+
+
+def test_pairs_that_surely_link_take_no_edit_distance(monkeypatch):
+    """Lines with a few edits link by equal stretches; what is called alike is alike, at any number of edits."""
+    rng = random.Random(15)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    found = []
+    for edits in (0, 1, 3, 8, 25):
+        for _ in range(60):
+            a = word(rng.randint(60, 160))
+            b = bytearray(a)
+            for _ in range(edits):
+                at = rng.randint(0, len(b))
+                b[at : at + rng.randint(0, 3)] = word(rng.randint(0, 3))
+            b, most = bytes(b), rng.randint(0, 32)
+            d = levenshtein(a, b)
+            found.append((edits, most >= 3 * edits + lines.ANCHOR, lines.surely_alike(a, b, most)))
+            assert d <= most or not found[-1][2]
+    assert all(alike for edits, room, alike in found if edits <= 1 and room)
+    assert sum(alike for edits, room, alike in found if edits == 3 and room) >= 0.8 * sum(room for edits, room, _ in found if edits == 3)
+    calls, exact = [], lines.edit_distance
+    monkeypatch.setattr(lines, "edit_distance", lambda *x: calls.append(x) or exact(*x))
+    base = b" ".join(word(9).replace(b" ", b"x") for _ in range(60))
+    told = np.array([0, 1], dtype=np.int64).tobytes()
+    rows = [base[:at] + b"zebra" + base[at + 5 :] for at in range(0, 500, 25)]
+    judge = lines.Lines(np.array([told + x for x in rows] + [None], dtype=object)[:-1], np.zeros(len(rows), dtype=np.int64))
+    a, b = np.triu_indices(len(rows), 1)
+    assert judge.may(a, b).all() and judge.links(0, np.arange(1, len(rows))).all() and not calls
+
+
+def test_votes_of_long_and_short_lines_together():
+    """Counts of bits over ranges of any length, beside a sum of the unpacked bits."""
+    bits = tx.mix(np.arange(3000, dtype=np.uint64))
+    for begin in ([0], [0, 1, 4, 300], [0, 255, 510, 511, 1400], list(range(0, 3000, 7))):
+        plain = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+        wanted = np.stack([part.sum(axis=0) for part in np.split(plain, begin[1:])])
+        assert (lines._ones(bits, np.array(begin)) == wanted).all()
