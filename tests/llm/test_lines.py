@@ -268,3 +268,82 @@ def test_votes_of_long_and_short_lines_together():
         plain = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
         wanted = np.stack([part.sum(axis=0) for part in np.split(plain, begin[1:])])
         assert (lines._ones(bits, np.array(begin)) == wanted).all()
+
+
+def test_the_bound_of_blocks_is_below_a_distance_within_the_limit():
+    """Lines with edits anywhere, and unlike ones; only pairs that are apart may be told apart."""
+    rng = random.Random(21)
+    word = lambda n: bytes(rng.choice(b"abc 12\xc3\xa4\x9f") for _ in range(n))
+    pairs = []
+    for k in range(60):
+        a = word(rng.randint(64, 420))
+        b = bytearray(a if k % 4 else word(len(a) - rng.randint(0, 10)))
+        for _ in range(rng.randint(0, len(a) // 8)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 3)] = word(rng.randint(0, 3))
+        pairs.append((a, bytes(b[: len(a)])))
+        if k % 4 == 1:
+            # A whole stretch is moved out of the way, to the largest shift within the limit.
+            pairs.append((a, a[: len(a) // 3] + a[len(a) // 3 + len(a) // 5 :]))
+    size = np.array([[len(a), len(b)] for a, b in pairs]).ravel()
+    raw = np.frombuffer(b"".join(x for p in pairs for x in p), dtype=np.uint8)
+    start, most = np.cumsum(size) - size, (0.2 * size[::2]).astype(np.int64)
+    got = lines._block_bound(raw, start[::2], size[::2], start[1::2], size[1::2], most)
+    exact = [levenshtein(a, b) for a, b in pairs]
+    near = [(bound, d) for bound, d, limit in zip(got.tolist(), exact, most.tolist()) if d <= limit]
+    assert len(near) > 20 and all(bound <= d for bound, d in near)
+    assert (got > most).sum() >= 10
+
+
+def test_long_unlike_lines_take_no_edit_distance(monkeypatch):
+    rng = random.Random(22)
+    syllables = "the and ing ion ent ber ver sch lich keit".split()
+    rows = ["".join(rng.choice(syllables) + rng.choice(("", " ")) for _ in range(2600)).encode() for _ in range(12)]
+    told = np.array([0, 1], dtype=np.int64).tobytes()
+    judge = lines.Lines(np.array([told + x for x in rows] + [None], dtype=object)[:-1], np.zeros(len(rows), dtype=np.int64))
+    a, b = np.triu_indices(len(rows), 1)
+    assert min(map(len, rows)) > 6400 and not judge.may(a, b).any()
+
+
+def test_edit_distance_in_a_band():
+    """Shifts up to the edge of the band, and limits on both sides of the distance."""
+    rng = random.Random(23)
+    for _ in range(60):
+        a = bytes(rng.choice(b"abc ") for _ in range(rng.randint(150, 330)))
+        b, cut = bytearray(a), rng.randint(0, 40)
+        at, to = rng.randrange(len(a) - 40), rng.randrange(len(a) - 40)
+        moved = bytes(b[at : at + cut])
+        del b[at : at + cut]
+        b[to:to] = moved + bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 12)))
+        b, d = bytes(b), levenshtein(a, bytes(b))
+        for most in (d - 1, d, d + 1, 2 * d + 5, 1 << 30):
+            if most >= 0:
+                assert lines.edit_distance(a, b, most) == min(d, most + 1)
+                assert lines.edit_distance(b, a, most) == min(d, most + 1)
+
+
+def test_texts_whose_lines_all_stay_are_not_read_again(monkeypatch):
+    """Lines go at the beginning, the middle and the end of a text; texts that lose none are left as they are."""
+    import pyarrow as pa
+
+    rng = random.Random(24)
+    words, texts = ["first line", "Zweite Zeile ä", "third", "", " ", "!!"], []
+    for _ in range(300):
+        texts.append(None if rng.random() < 0.1 else "\n".join(rng.choice(words) for _ in range(rng.randint(0, 6))))
+    known = lines._occurrences(pa.array(texts, type=pa.string())).to_pylist()
+    goes = {known[k][0]["id"] for k in range(300) if texts[k] == "third"} or {None}
+    told = [[(x["id"], x["id"], x["id"] not in goes, x["again"]) for x in row if x["again"] or x["id"] in goes] for row in known]
+    kinds = pa.int64(), pa.int64(), pa.bool_(), pa.bool_()
+    columns = [pa.array([[x[c] for x in row] or None for row in told], type=pa.list_(kind)) for c, kind in enumerate(kinds)]
+    read, whole = [], lines.worded_lines
+    monkeypatch.setattr(lines, "worded_lines", lambda raw, at, *x: read.append(len(at) - 1) or whole(raw, at, *x))
+    got = lines._without(pa.array(texts, type=pa.string()), *columns).to_pylist()
+    assert sum(read) == sum(r["removed"] > 0 for r in got) < 250
+    for text, r in zip(texts, got):
+        met, left = set(), []
+        for line in (text or "").split("\n"):
+            if not plain(line) or (plain(line) not in met and plain(line) != b"third"):
+                left.append(line)
+            met.add(plain(line))
+        assert r["text"] == (None if text is None else "\n".join(left))
+        assert r["removed"] == len((text or "").split("\n")) - len(left)

@@ -74,7 +74,8 @@ class Space:
     sketch), with sketches of a power of two of 64-bit words whose halves can be folded by XOR.
     ``compare(pairs)`` adds the distance ``d`` to pairs (a, b), which link up to ``limit``. ``metric`` says
     that d keeps the triangle inequality. ``bodies(ids)`` gives (id, body) and ``judge(bodies,
-    keys)`` a judge of rows of regions.
+    keys)`` a judge of rows of regions. ``distinct`` says that no member of a region comes twice, so
+    that a sort by the key alone, which takes less time, is enough.
     """
 
     near: Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -85,6 +86,7 @@ class Space:
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
     bodies: Callable[[DataFrame], DataFrame] | None = None
     judge: Callable[[np.ndarray, np.ndarray], Judge] | None = None
+    distinct: bool = False
 
     @property
     def rules(self) -> Rules:
@@ -387,7 +389,9 @@ def _open(crowd: DataFrame, roots: DataFrame, known: DataFrame, sketches: DataFr
 
 
 class Shared:
-    """Members of batches sorted by (key, id) whose region has others, and a mark for each of these regions."""
+    """Members of batches sorted by key whose region has others, and a mark for each of these regions.
+
+    Where members come twice, batches are sorted by (key, id)."""
 
     def __init__(self):
         self.held: tuple[np.ndarray, ...] | None = None
@@ -418,7 +422,7 @@ class Shared:
         return (key[shared], ids[shared], aux[shared]), (key[start][done], count[done], total[done].view(np.int64))
 
 
-def _shared(members: DataFrame) -> DataFrame:
+def _shared(members: DataFrame, distinct: bool = False) -> DataFrame:
     """(key, id, aux, n) of regions with more than one member, one region, that of the least key, of those with the same members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +447,8 @@ def _shared(members: DataFrame) -> DataFrame:
         if shared.held is not None:
             yield out(*shared.feed(none, none, none, end=True))
 
-    dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions("key", "id")
+    order = ["key"] if distinct else ["key", "id"]
+    dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions(*order)
     found = materialise(dealt.mapInArrow(run, "key long, id long, aux long, mark long"), "shared")
     regions = found.filter("id IS NULL").groupBy("mark", F.col("aux").alias("n")).agg(F.min("key").alias("key"))
     return materialise(found.filter("id IS NOT NULL").drop("mark").join(regions.drop("mark"), "key"), "regions")
@@ -616,7 +621,7 @@ def _edges(ids: np.ndarray, aux: np.ndarray, label: np.ndarray) -> pa.RecordBatc
 
 def _settled(members: DataFrame, space: Space) -> DataFrame:
     """``connect`` for items whose bodies travel to the regions."""
-    regions, own = _shared(members), F.col("id").alias("root")
+    regions, own = _shared(members, space.distinct), F.col("id").alias("root")
     if space.sketches:
         ids = materialise(regions.select("id").distinct(), "ids")
         sketches = space.sketches(ids).withColumnRenamed("sketch", "body")

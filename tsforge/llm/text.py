@@ -44,6 +44,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: What hashes of short spans start from, by length.
+_START = mix(np.arange(256, dtype=np.uint64) * GRAM[0] + GRAM[1])
+
+
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of rows of about ``size`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,10 +107,13 @@ def _chained(
     n: np.ndarray, blocks: np.ndarray, load: Callable[[np.ndarray, int], np.ndarray], whole: Callable[[int], bytes]
 ) -> np.ndarray:
     """Start from lengths ``n`` and mix in ``blocks`` blocks, all spans a block at a time."""
-    h = mix(n.astype(np.uint64) * GRAM[0] + GRAM[1])
+    h = _START[n] if not len(n) or n.max() < len(_START) else mix(n.astype(np.uint64) * GRAM[0] + GRAM[1])
     live, k = np.flatnonzero((blocks > 0) & (blocks <= LONGEST)), 0
     while len(live):
-        h[live] = mix(h[live] ^ load(live, k))
+        if len(live) == len(h):
+            h = mix(h ^ load(live, k))
+        else:
+            h[live] = mix(h[live] ^ load(live, k))
         k += 1
         live = live[blocks[live] > k]
     for i in np.flatnonzero(blocks > LONGEST).tolist():
