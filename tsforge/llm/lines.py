@@ -44,6 +44,8 @@ BLOCKS, EDITED, LIMIT, MIN_BYTES, KEY_BYTES = 5, 2, 0.2, 16, 8
 #: First bits of the blocks, and the choices of blocks that make keys.
 EDGES = [round(64 * k / BLOCKS) for k in range(BLOCKS + 1)]
 CHOICES = list(combinations(range(BLOCKS), BLOCKS - EDITED))
+#: Bytes of texts whose lines are hashed at once; what that takes stays in a CPU's cache.
+PART = 1 << 18
 #: Words whose votes are held at once.
 VOTES = 1 << 14
 #: Lines that a task keeps from giving twice.
@@ -274,11 +276,10 @@ def _block_bound(raw: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray,
     order = np.argsort(-columns, kind="stable")
     pair, begin, first, columns = pair[order], begin[order], first[order], columns[order]
     n, one = len(pair), np.uint64(1)
-    lane, column = np.arange(n), y[pair] + first
-    at = np.zeros((64, n), dtype=np.uint64)
+    lane, column = np.arange(n) * 64, y[pair] + first - 1
+    at = np.zeros(64 * n, dtype=np.uint64)
     for i in range(64):
-        at[SYMBOLS[raw[x[pair] + begin + i]], lane] |= one << np.uint64(i)
-    at = at.ravel()
+        at[lane + SYMBOLS[raw[x[pair] + begin + i]]] |= one << np.uint64(i)
     plus, minus = np.full(n, ~np.uint64(0)), np.zeros(n, dtype=np.uint64)
     score, best = np.full(n, 64, dtype=np.uint64), np.full(n, 64, dtype=np.uint64)
     live = n
@@ -286,7 +287,10 @@ def _block_bound(raw: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray,
         if columns[live - 1] <= j:
             live = int(np.searchsorted(-columns, -j, side="left"))
         above, below, now = plus[:live], minus[:live], score[:live]
-        same = at.take(SYMBOLS.take(raw.take(column[:live] + j)) * n + lane[:live])
+        column[:live] += 1
+        place = SYMBOLS.take(raw.take(column[:live]))
+        place += lane[:live]
+        same = at.take(place)
         vertical = same | below
         across = same & above
         across += above
@@ -389,7 +393,7 @@ def _occurrences(column: pa.Array) -> pa.Array:
     """Distinct lines of each text: (id, simhash, choices that have a key, length, whether the text holds it again)."""
     kind = pa.struct([("id", pa.int64()), ("bits", pa.int64()), ("usable", pa.int32()), ("size", pa.int32()), ("again", pa.bool_())])
     parts, counts = [], [np.zeros(0, dtype=np.int64)]
-    for _, raw, offsets in tx.slices(column):
+    for _, raw, offsets in tx.slices(column, PART):
         hashed: list[np.ndarray] = []
         _, _, doc, key, n, first, size, w = worded_lines(raw, offsets, hashed)
         order = np.lexsort((key, doc))
@@ -433,7 +437,7 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            for _, raw, offsets in tx.slices(batch.column("text")):
+            for _, raw, offsets in tx.slices(batch.column("text"), PART):
                 hashed: list[np.ndarray] = []
                 _, _, _, key, n, first, size, w = worded_lines(raw, offsets, hashed)
                 use = np.flatnonzero(passes(words.value, key))
@@ -537,7 +541,7 @@ def _without(text: pa.Array, ids: pa.Array, roots: pa.Array, keep: pa.Array, aga
     order = np.argsort(named)
     named, root, stays = named[order], root[order], stays[order].astype(bool)
     parts = [pa.array([], type=pa.string())]
-    for first, raw, offsets in tx.slices(text.take(pa.array(rows))):
+    for first, raw, offsets in tx.slices(text.take(pa.array(rows)), PART):
         begin, _, doc, key, *_ = worded_lines(raw, offsets)
         mine = name(rows[first + doc], key)
         at = np.minimum(np.searchsorted(named, mine), len(named) - 1)
