@@ -454,6 +454,17 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialise(docs.select("text").mapInArrow(run, "id long, body binary").join(ids, "id").dropDuplicates(["id"]), "body")
 
 
+def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, id, length) of each choice of blocks that a line has a key for."""
+    ids, bits, usable, size = (batch.column(c).to_numpy() for c in ("id", "bits", "usable", "size"))
+    low, found = np.uint64((1 << CHOICE_AT) - 1), []
+    for k, m in enumerate(masks()):
+        rows = np.flatnonzero(usable >> k & 1)
+        key = (tx.mix((bits[rows] & m).view(np.uint64)) & low).view(np.int64) + (k << CHOICE_AT)
+        found.append((key, ids[rows], size[rows].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Lines:
     """Normalised lines as a judge of links.
 
@@ -573,12 +584,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     occurrences = materialise(docs.select(order.alias("key"), F.inline(found("text"))), "occurrences")
     told = [*(F.min(c).alias(c) for c in ("bits", "usable", "size")), F.max("again").alias("again")]
     lines = materialise(occurrences.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), *told), "distinct")
-    low = F.lit((1 << CHOICE_AT) - 1)
-    blocks = [F.xxhash64(F.col("bits").bitwiseAND(F.lit(m))).bitwiseAND(low) + F.lit(k << CHOICE_AT) for k, m in enumerate(masks())]
-    keys = [F.when(F.col("usable").bitwiseAND(F.lit(1 << k)) != 0, key) for k, key in enumerate(blocks)]
-    members = lines.select(F.explode(F.array(*keys)).alias("key"), "id", F.col("size").cast("long").alias("aux"))
-    space = Space(near=like_lengths, bodies=lambda ids: _line_texts(docs, ids), judge=Lines, distinct=True)
-    roots = connect(members.filter("key IS NOT NULL"), space)
+    space = Space(near=like_lengths, bodies=lambda ids: _line_texts(docs, ids), judge=Lines, members=_members, many=len(CHOICES))
+    roots = connect(lines.select("id", "bits", "usable", "size"), space)
 
     grouped = lines.join(roots, "id", "left").filter("root IS NOT NULL OR lo < hi OR again")
     grouped = grouped.select("id", F.coalesce("root", "id").alias("root"), "lo")

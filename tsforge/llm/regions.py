@@ -50,6 +50,8 @@ PAIRS = 1 << 22
 LISTED, LISTS = 64, 1 << 18
 #: Bytes of bodies whose regions are settled together.
 HELD = 8 << 20
+#: Members that travel together to a part, and members of a part.
+PACKED, DEALT = 1 << 19, 1 << 17
 #: Bits of a sieve for each wanted id, and at most.
 SIEVE, SIEVE_MOST = 8, 1 << 26
 
@@ -76,8 +78,8 @@ class Space:
     sketch), with sketches of a power of two of 64-bit words whose halves can be folded by XOR.
     ``compare(pairs)`` adds the distance ``d`` to pairs (a, b), which link up to ``limit``. ``metric`` says
     that d keeps the triangle inequality. ``bodies(ids)`` gives (id, body) and ``judge(bodies,
-    keys)`` a judge of rows of regions. ``distinct`` says that no member of a region comes twice, so
-    that a sort by the key alone, which takes less time, is enough.
+    keys)`` a judge of rows of regions. ``members(batch)`` makes the arrays (key, id, aux) of members, none of which comes
+    twice in a region, of a batch of written rows, ``many`` of a row at most; they travel packed.
     """
 
     near: Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -88,7 +90,8 @@ class Space:
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
     bodies: Callable[[DataFrame], DataFrame] | None = None
     judge: Callable[[np.ndarray, np.ndarray], Judge] | None = None
-    distinct: bool = False
+    members: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+    many: int = 1
 
     @property
     def rules(self) -> Rules:
@@ -424,8 +427,61 @@ class Shared:
         return (key[shared], ids[shared], aux[shared]), (key[start][done], count[done], total[done].view(np.int64))
 
 
-def _shared(members: DataFrame, distinct: bool = False) -> DataFrame:
+def _by_key(members: DataFrame, space: Space | None) -> tuple[DataFrame, Callable]:
+    """Rows that hold the members of whole regions, and what reads them in a task as (key, id, aux, whether no region goes on)."""
+    make = space.members if space else None
+    if make is None:
+        dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions("key", "id")
+        return dealt, lambda batches: ((*(b.column(c).to_numpy() for c in ("key", "id", "aux")), False) for b in batches if b.num_rows)
+    # A part holds whole regions and about DEALT members, which are sorted in one step.
+    parts = np.uint64(max(1, -(-members.count() * space.many // DEALT)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held):
+            rows = np.stack([np.concatenate(x) for x in zip(*held)], axis=1)
+            part = (tx.mix(rows[:, 0].view(np.uint64)) % parts).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            offsets = (np.r_[head, len(part)] * rows.itemsize * 3).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(rows[order])])
+            return pa.RecordBatch.from_arrays([pa.array(part[head]), packed], names=["part", "rows"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(make(batch))
+            n += len(held[-1][0])
+            if n >= PACKED:
+                yield out(held)
+                held, n = [], 0
+        if n:
+            yield out(held)
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        held, at = [], None
+
+        def done():
+            rows = np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 3)
+            rows = rows[np.argsort(rows[:, 0])]
+            return *np.ascontiguousarray(rows.T), True
+
+        for batch in batches:
+            for part, rows in zip(batch.column("part").to_pylist(), batch.column("rows").to_pylist()):
+                if held and part != at:
+                    yield done()
+                    held.clear()
+                at = part
+                held.append(rows)
+        if held:
+            yield done()
+
+    packed = members.mapInArrow(pack, "part int, rows binary")
+    return packed.repartition("part").sortWithinPartitions("part"), read
+
+
+def _shared(members: DataFrame, space: Space | None = None) -> DataFrame:
     """(key, id, aux, n) of regions with more than one member, one region, that of the least key, of those with the same members."""
+    dealt, read = _by_key(members, space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = Shared()
@@ -441,16 +497,13 @@ def _shared(members: DataFrame, distinct: bool = False) -> DataFrame:
             ]
             return pa.RecordBatch.from_arrays(columns, names=["key", "id", "aux", "mark"])
 
-        for batch in batches:
-            if batch.num_rows:
-                found = out(*shared.feed(*(batch.column(c).to_numpy() for c in ("key", "id", "aux"))))
-                if found.num_rows:
-                    yield found
+        for key, ids, aux, whole in read(batches):
+            found = out(*(Shared() if whole else shared).feed(key, ids, aux, end=whole))
+            if found.num_rows:
+                yield found
         if shared.held is not None:
             yield out(*shared.feed(none, none, none, end=True))
 
-    order = ["key"] if distinct else ["key", "id"]
-    dealt = members.select("key", "id", "aux").repartition("key").sortWithinPartitions(*order)
     found = materialise(dealt.mapInArrow(run, "key long, id long, aux long, mark long"), "shared")
     regions = found.filter("id IS NULL").groupBy("mark", F.col("aux").alias("n")).agg(F.min("key").alias("key"))
     return materialise(found.filter("id IS NOT NULL").drop("mark").join(regions.drop("mark"), "key"), "regions")
@@ -645,7 +698,7 @@ def _edges(ids: np.ndarray, aux: np.ndarray, label: np.ndarray) -> pa.RecordBatc
 
 def _settled(members: DataFrame, space: Space) -> DataFrame:
     """``connect`` for items whose bodies travel to the regions."""
-    regions, own = _shared(members, space.distinct), F.col("id").alias("root")
+    regions, own = _shared(members, space), F.col("id").alias("root")
     if space.sketches:
         ids = materialise(regions.select("id").distinct(), "ids")
         sketches = space.sketches(ids).withColumnRenamed("sketch", "body")
