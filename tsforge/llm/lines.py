@@ -432,7 +432,7 @@ def _bodies(told: np.ndarray, raw: np.ndarray, w: tx.Words, first: np.ndarray, n
 
 
 def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, body): SimHash and choices that have a key (8 bytes each), then the normalised line of each id."""
+    """(id, body): SimHash and choices that have a key (8 bytes each), then the normalised line of each id, and of few others."""
     words = docs.sparkSession.sparkContext.broadcast(sieve(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +451,7 @@ def _line_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 body = _bodies(told, raw, w, first[use], n[use], size[use])
                 yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), body], names=["id", "body"])
 
-    return materialise(docs.select("text").mapInArrow(run, "id long, body binary").join(ids, "id").dropDuplicates(["id"]), "body")
+    return docs.select("text").mapInArrow(run, "id long, body binary").repartition("id").dropDuplicates(["id"])
 
 
 def _members(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

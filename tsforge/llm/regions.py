@@ -77,7 +77,7 @@ class Space:
     cannot link; ``bits`` is in how many bits two sketches differ. ``sketches(ids)`` gives (id, aux,
     sketch), with sketches of a power of two of 64-bit words whose halves can be folded by XOR.
     ``compare(pairs)`` adds the distance ``d`` to pairs (a, b), which link up to ``limit``. ``metric`` says
-    that d keeps the triangle inequality. ``bodies(ids)`` gives (id, body) and ``judge(bodies,
+    that d keeps the triangle inequality. ``bodies(ids)`` gives (id, body), once each and others too, and ``judge(bodies,
     keys)`` a judge of rows of regions. ``members(batch)`` makes the arrays (key, id, aux) of members, none of which comes
     twice in a region, of a batch of written rows, ``many`` of a row at most; they travel packed.
     """
