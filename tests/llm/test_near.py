@@ -354,3 +354,25 @@ def test_sieve_passes_all_wanted_and_few_others(make):
     words = regions.sieve(make([(int(i),) for i in ids[:1000]], "id long"))
     got = regions.passes(words, ids.view(np.uint64))
     assert got[:1000].all() and got[1000:].mean() < 0.25
+
+
+def test_packed_members_give_the_regions_of_rows(make, monkeypatch):
+    """Members that a task makes of written rows and packs are those of an exploded table, however few travel together."""
+    rng = np.random.default_rng(8)
+    rows = [(int(i), int(n)) for i, n in zip(rng.choice(10**6, 400, replace=False), rng.integers(1, 30, 400))]
+    whole = make(rows, "id long, aux long")
+
+    def members(batch):
+        ids, aux = (batch.column(c).to_numpy() for c in ("id", "aux"))
+        return np.r_[ids % 150, 1000 + aux], np.r_[ids, ids], np.r_[aux, aux]
+
+    plain = make([r for i, n in rows for r in ((i % 150, i, n), (1000 + n, i, n))], "key long, id long, aux long")
+    wanted = sorted(tuple(r) for r in regions._shared(plain).select("key", "id", "aux", "n").collect())
+    assert len(wanted) > 500
+    for packed, dealt in ((1 << 19, 1 << 17), (7, 50), (100, 1)):
+        monkeypatch.setattr(regions, "PACKED", packed)
+        monkeypatch.setattr(regions, "DEALT", dealt)
+        space = regions.Space(near=lambda a, b: np.ones(len(a), bool), members=members, many=2)
+        assert sorted(tuple(r) for r in regions._shared(whole, space).select("key", "id", "aux", "n").collect()) == wanted
+    none = make([], "id long, aux long")
+    assert regions._shared(none, space).count() == 0
