@@ -84,9 +84,11 @@ def _sifted(raw, start, size, most, first, x, q: int, bits: int, limit: float) -
     gram = np.zeros(len(at), dtype=np.uint32)
     for k in range(q):
         gram |= raw[at + k].astype(np.uint32) << np.uint32(8 * k)
-    gram = (gram * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int64)
+    del at
+    gram = (gram * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int32)
     # A gram as the longer string looks for it: by its cell.
-    sought = (inside * CELLS // np.repeat(size, many) << bits) + gram
+    sought = (inside * CELLS // np.repeat(size, many) << bits).astype(np.int32) + gram
+    del inside
 
     x, first = np.searchsorted(used, x), np.searchsorted(used, first[x])
     words = (x - 1) // 64 - first // 64 + 1
@@ -121,7 +123,7 @@ def _kept(gram: np.ndarray, head: np.ndarray, size: np.ndarray, many: np.ndarray
         # One string of each word at a time, so that buckets that come twice get the same bit twice.
         b, e = begin[slot::64], end[slot::64]
         at = gram[_ranges((head[slot::64, None] + b).ravel(), (head[slot::64, None] + e).ravel())]
-        at += np.repeat(base[slot::64].ravel(), np.maximum(e - b, 0).ravel())
+        at = at + np.repeat(base[slot::64].ravel(), np.maximum(e - b, 0).ravel())
         out[at] |= _ONE << np.uint64(slot)
     return out
 
@@ -140,9 +142,7 @@ def _left(wanted, kept, sought, base, head, many, most, q: int) -> np.ndarray:
         place, near = head[live:] + t, base[live:]
         edits = np.zeros(len(place), dtype=np.uint64)
         for _ in range(q):
-            at = sought.take(place)
-            at += near
-            new = kept.take(at)
+            new = kept.take(sought.take(place) + near)
             new |= reach[0][live:]
             np.invert(new, out=new)
             for k in range(q - 1):

@@ -59,8 +59,8 @@ SHARE, BLOCK_SHARE = 0.32, 0.44
 LANES, FEWEST = 1 << 12, 2
 #: Bytes of lines for each column of the bound of blocks below which it costs more than the distances.
 COLUMN = 15
-#: Rows of a region above which a bound by grams sifts its pairs.
-CROWD = 32
+#: Rows of a region above which a bound by grams sifts its pairs, and bytes of regions that are sifted together.
+CROWD, SIFTED = 32, 2 << 20
 #: The last bit of a word.
 _LAST = np.uint64(63)
 #: Bytes that must be equal again behind an edit, and how far behind it they are looked for.
@@ -488,12 +488,18 @@ class Lines:
         self.alike: set[int] = set()
 
     def sift(self, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        region = np.repeat(np.arange(len(begin)), end - begin)
-        rows = np.concatenate([np.arange(b, e) for b, e in zip(begin.tolist(), end.tolist())])
-        order = np.lexsort((self.size[rows], region))
-        rows = rows[order]
-        for a, b in crowds.sift(self.raw, self.start[rows], self.size[rows], region[order], LIMIT):
-            yield rows[a], rows[b]
+        total = np.cumsum([self.size[b:e].sum() for b, e in zip(begin.tolist(), end.tolist())])
+        lo = 0
+        while lo < len(begin):
+            # Whole regions of SIFTED bytes, since their grams take many times that.
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SIFTED, side="right")))
+            rows = np.concatenate([np.arange(b, e) for b, e in zip(begin[lo:hi].tolist(), end[lo:hi].tolist())])
+            region = np.repeat(np.arange(lo, hi), end[lo:hi] - begin[lo:hi])
+            order = np.lexsort((self.size[rows], region))
+            rows = rows[order]
+            for a, b in crowds.sift(self.raw, self.start[rows], self.size[rows], region[order], LIMIT):
+                yield rows[a], rows[b]
+            lo = hi
 
     def may(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), dtype=bool)

@@ -51,7 +51,7 @@ LISTED, LISTS = 64, 1 << 18
 #: Bytes of bodies whose regions are settled together.
 HELD = 8 << 20
 #: Members that travel together to a part, and members of a part.
-PACKED, DEALT = 1 << 19, 1 << 17
+PACKED, DEALT = 1 << 18, 1 << 17
 #: Bits of a sieve for each wanted id, and at most.
 SIEVE, SIEVE_MOST = 8, 1 << 26
 
